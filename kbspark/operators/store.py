@@ -118,10 +118,11 @@ def get_or_create(spark: SparkSession, root: str, schema: T.StructType = VECTOR_
     return spark.read.parquet(snap)
 
 
-def commit(spark: SparkSession, root: str, df: DataFrame, partitions: int | None = None) -> DataFrame:
+def commit(spark: SparkSession, root: str, df: DataFrame, partitions: int | None = None,
+           key: str = "id") -> DataFrame:
     """Write ``df`` as a new snapshot and move the pointer to it (readers keep the old one meanwhile)."""
     snap = os.path.join(root, "snap-" + uuid.uuid4().hex)
-    out = df if partitions is None else df.repartition(partitions, "id")
+    out = df if partitions is None else df.repartition(partitions, key)
     out.write.parquet(snap)
     _write_pointer(spark, root, snap)
     return spark.read.parquet(snap)

@@ -337,4 +337,16 @@ FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, kind, response_time_s AS v,
              row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d'), kind ORDER BY response_time_s) AS rn,
              count(*) OVER (PARTITION BY strftime(ts, '%Y-%m-%d'), kind) AS n FROM request_log)
 GROUP BY day, kind"""),
+    # embedding, populate and streaming (embedding values are not compared; shape and ids are)
+    "populate_index": _with(("kb_docs",), f"SELECT substr(sha256(path), 1, 10) AS id, path, {P.VECTOR_DIM}::INTEGER AS dim FROM kb_docs"),
+    "stream_populate": _with(("kb_docs",), f"SELECT substr(sha256(path), 1, 10) AS id, path, {P.VECTOR_DIM}::INTEGER AS dim FROM kb_docs"),
+    "stream_request_metrics": _with(("request_log",), """SELECT day, kind, count(*) AS requests, round(avg(v), 6) AS avg_s,
+  max(v) AS max_s, min(v) FILTER (WHERE rn >= ceil(0.5 * n)) AS p50_s, min(v) FILTER (WHERE rn >= ceil(0.95 * n)) AS p95_s
+FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, kind, response_time_s AS v,
+             row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d'), kind ORDER BY response_time_s) AS rn,
+             count(*) OVER (PARTITION BY strftime(ts, '%Y-%m-%d'), kind) AS n FROM request_log
+      WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM request_log) - INTERVAL 1 HOUR)
+GROUP BY day, kind"""),
+    "stream_ingest_pages": f"""SELECT {_path('url')} AS path, url, {_HOST} AS host, {_text_of('html')} AS text FROM (
+  SELECT arg_max(url, page_id) AS url, arg_max(html, page_id) AS html FROM pages GROUP BY {_path('url')})""",
 }

@@ -356,6 +356,44 @@ def q_request_metrics_daily(spark, d):
     return daily_metrics(X.request_log(spark, d))
 
 
+# --- embedding, populate, streaming ---------------------------------------------------------------
+
+def q_embed_documents(spark, d):
+    from kbspark.operators.embed import apply_embedder, fit_hashing_embedder
+    docs = truncate_for_embedding(load(spark, d, "documents").select("doc_id", "text"))
+    model = fit_hashing_embedder(docs)
+    emb = apply_embedder(model, docs)
+    return emb.select("doc_id", F.size("embedding").alias("dim"), F.round(l2_norm("embedding"), 6).alias("norm"))
+
+
+def q_populate_index(spark, d):
+    from kbspark.streaming.populate import vector_records
+    recs = vector_records(X.kb_docs(spark, d).select("path", "text"))
+    empty = spark.createDataFrame([], K.VECTOR_SCHEMA)
+    coll = K.upsert_replace(empty, recs.select(empty.columns))
+    return coll.select("id", F.col("metadata")["file_path"].alias("path"), F.size("embedding").alias("dim"))
+
+
+def q_stream_request_metrics(spark, d):
+    from kbspark.streaming.metrics import run_request_metrics
+    return run_request_metrics(spark, f"{d.rstrip('/')}/events.parquet")
+
+
+def q_stream_populate(spark, d):
+    from kbspark.streaming.populate import docs_stream, run_populate
+    from kbspark.streaming.runner import stream_dir
+    coll = run_populate(spark, docs_stream(spark, f"{d.rstrip('/')}/documents.parquet", X.KB_BASE),
+                        stream_dir(spark, "collection"))
+    return coll.select("id", F.col("metadata")["file_path"].alias("path"), F.size("embedding").alias("dim"))
+
+
+def q_stream_ingest_pages(spark, d):
+    from kbspark.streaming.ingest import pages_stream, run_ingest
+    from kbspark.streaming.runner import stream_dir
+    kb = run_ingest(spark, pages_stream(spark, f"{d.rstrip('/')}/pages.parquet"), stream_dir(spark, "kb"))
+    return kb.select("path", "url", "host", "text")
+
+
 QUERIES: dict[str, Query] = {
     # sources, links, crawl, ingest
     "scan_sitemaps": q_scan_sitemaps,
@@ -415,4 +453,10 @@ QUERIES: dict[str, Query] = {
     "score_requests": q_score_requests,
     "log_requests": q_log_requests,
     "request_metrics_daily": q_request_metrics_daily,
+    # embedding, populate and streaming
+    "embed_documents": q_embed_documents,
+    "populate_index": q_populate_index,
+    "stream_request_metrics": q_stream_request_metrics,
+    "stream_populate": q_stream_populate,
+    "stream_ingest_pages": q_stream_ingest_pages,
 }
