@@ -120,11 +120,12 @@ def html_to_text_parser(html) -> Column:
     """P5 fallback: the stdlib parser in an Arrow-batched pandas UDF (one call per batch)."""
     import pandas as pd
 
-    @F.pandas_udf("string")
-    def _extract(s: pd.Series) -> pd.Series:
+    def _extract(s):
         return s.map(parse_text)
 
-    return _extract(_c(html))
+    # Real (not postponed) annotations: the UDF kind is read from them.
+    _extract.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(_extract, "string")(_c(html))
 
 
 unescape = _stdlib_html.unescape

@@ -56,7 +56,7 @@ SITEMAP_SUFFIX = ".xml"
 # names; "&amp;" is always applied last so "&amp;lt;" becomes "&lt;").
 HTML_ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
+    ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
     ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
     ("&laquo;", "«"), ("&raquo;", "»"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
     ("&ldquo;", "“"), ("&rdquo;", "”"), ("&bull;", "•"), ("&trade;", "™"),

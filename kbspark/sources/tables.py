@@ -46,20 +46,36 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     return scan_url_list(spark.read.text(path), order=None)
 
 
-def scan_kb_docs(spark: SparkSession, root: str) -> DataFrame:
+def scan_kb_docs(spark: SparkSession, root: str, include_empty: bool = True) -> DataFrame:
     """S3: every ``*.txt`` below ``root`` as one row ``(path, text)``.
 
     Whole file per row (``wholetext``), absolute path from the file metadata,
-    CRLF normalised to LF as Python's text mode does.  Zero-byte files produce
-    no row from the text source; they are added back from a binary listing
-    (which reads only the length, not the content).
+    CRLF normalised to LF as Python's text mode does.  Spark's file sources
+    skip zero-byte files; with ``include_empty`` they are added back from the
+    file-system listing (names and lengths only, as the scan planner itself
+    lists files).
     """
     texts = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
              .text(root, wholetext=True)
-             .select(F.regexp_replace(F.col("_metadata.file_path"), "^file:", "").alias("path"),
+             .select(F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "").alias("path"),
                      F.regexp_replace("value", "\r\n?", "\n").alias("text")))
-    empty = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.txt").load(root)
-             .filter(F.col("length") == 0)
-             .select(F.regexp_replace("path", "^file:", "").alias("path"), F.lit("").alias("text")))
-    return texts.unionByName(empty)
+    if not include_empty:
+        return texts
+    empty = _empty_files(spark, root, ".txt")
+    if not empty:
+        return texts
+    return texts.unionByName(spark.createDataFrame([(p, "") for p in empty], "path string, text string"))
+
+
+def _empty_files(spark: SparkSession, root: str, suffix: str) -> list[str]:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    it = fs.listFiles(path, True)
+    out = []
+    while it.hasNext():
+        st = it.next()
+        name = st.getPath().getName()
+        if st.getLen() == 0 and name.endswith(suffix) and not name.startswith((".", "_")):
+            out.append(st.getPath().toUri().getPath())
+    return out
