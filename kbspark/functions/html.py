@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark import params as P
+from kbspark.session import spread
 
 # Non-text regions, then any start/end tag.  ``(?is)``: case-insensitive, dot matches newline.
 STRIP_PATTERN = (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>"
@@ -73,7 +74,7 @@ def extract_text(df: DataFrame, html: str = "html", out: str = "text", tag: str
     """
     src = _c(html) if tag is None else F.coalesce(region_html(html, tag), _c(html))
     tmp = f"__{out}_stripped"
-    return (df.withColumn(tmp, decode_entities(strip_tags(src)))
+    return (spread(df).withColumn(tmp, decode_entities(strip_tags(src)))
             .withColumn(out, decode_numeric(F.col(tmp))).drop(tmp))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -64,3 +64,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="kbspark-ckpt-")
     spark.sparkContext.setCheckpointDir(scratch)
     return spark.sparkContext.getCheckpointDir()
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Repartition only when the input has fewer partitions than the cluster has cores.
+
+    Used in front of heavy per-row work (text extraction, tokenizing,
+    embedding, vector scoring).  A landed file with one row group is one
+    task however large it is; on a cluster reading many files the input
+    already has more partitions than cores and this is a no-op.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
