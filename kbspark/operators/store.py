@@ -1,9 +1,8 @@
-"""Vector collections as Parquet snapshots (K3-K7, A1).
+"""Vector collections and their upsert policies (K3-K7, A1).
 
-Plain Parquet has no MERGE, so a write never touches what it reads: every
-change produces a new snapshot folder, and the collection's current snapshot
-is named by a small pointer file written last (readers see either the old or
-the new snapshot, never a half-written one).  Upsert policies:
+Plain Parquet has no MERGE; the merge is a keyed aggregate and the write
+replaces only the hash buckets a batch touches (see :func:`upsert_into`).
+Upsert policies:
 
 * ``replace`` (K4): insert or replace by id; the newest version wins.
 * ``ignore``  (K5): add only ids not yet stored; inside one batch the first wins.
@@ -11,10 +10,6 @@ the new snapshot, never a half-written one).  Upsert policies:
 
 from __future__ import annotations
 
-import json
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,86 +65,74 @@ def count_records(collection: DataFrame) -> DataFrame:
     return collection.agg(F.count("*").alias("records"))
 
 
-# --- snapshot folders --------------------------------------------------------------------------
+# --- collections on disk ------------------------------------------------------------------------
+#
+# A collection is a Parquet folder partitioned by ``bucket = pmod(xxhash64(key), B)``.
+# An upsert reads only the buckets the batch touches, merges them with the
+# batch, checkpoints the merge (so it no longer reads the files it replaces)
+# and overwrites just those buckets (dynamic partition overwrite).  Work per
+# batch grows with the batch and the buckets it touches, not the collection.
+
+DEFAULT_BUCKETS = 64
+
 
-def _pointer(root: str) -> str:
-    return os.path.join(root, "_CURRENT")
+def bucket_of(key: str, buckets: int = DEFAULT_BUCKETS):
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
 
-def _hadoop_fs(spark: SparkSession, path: str):
+def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def current_snapshot(spark: SparkSession, root: str) -> str | None:
-    """Folder of the collection's current snapshot, or None when the collection is new."""
-    fs, p, jvm = _hadoop_fs(spark, _pointer(root))
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return json.loads(reader.readLine())["snapshot"]
-    finally:
-        stream.close()
-
-
-def _write_pointer(spark: SparkSession, root: str, snapshot: str) -> None:
-    fs, p, jvm = _hadoop_fs(spark, _pointer(root))
-    tmp = jvm.org.apache.hadoop.fs.Path(_pointer(root) + "." + uuid.uuid4().hex)
-    out = fs.create(tmp, True)
-    try:
-        out.write(bytearray(json.dumps({"snapshot": snapshot}).encode("utf-8")))
-    finally:
-        out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(tmp, p)
-
-
-def get_or_create(spark: SparkSession, root: str, schema: T.StructType = VECTOR_SCHEMA) -> DataFrame:
-    """K6: the current snapshot, or an empty collection with ``schema`` (created on first use)."""
-    snap = current_snapshot(spark, root)
-    if snap is None:
-        snap = os.path.join(root, "snap-" + uuid.uuid4().hex)
-        spark.createDataFrame([], schema).write.parquet(snap)
-        _write_pointer(spark, root, snap)
-    return spark.read.parquet(snap)
-
-
-def commit(spark: SparkSession, root: str, df: DataFrame, partitions: int | None = None,
-           key: str = "id") -> DataFrame:
-    """Write ``df`` as a new snapshot and move the pointer to it (readers keep the old one meanwhile)."""
-    snap = os.path.join(root, "snap-" + uuid.uuid4().hex)
-    out = df if partitions is None else df.repartition(partitions, key)
-    out.write.parquet(snap)
-    _write_pointer(spark, root, snap)
-    return spark.read.parquet(snap)
-
-
-def apply_batch(spark: SparkSession, root: str, batch: DataFrame, policy: str = "replace",
-                schema: T.StructType = VECTOR_SCHEMA) -> DataFrame:
-    """Upsert ``batch`` into the collection at ``root`` with policy ``replace`` or ``ignore``.
-
-    Idempotent: replaying the same batch gives the same snapshot content.
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    full = T.StructType(list(schema.fields) + [T.StructField("bucket", T.IntegerType())])
+    return spark.read.schema(full).parquet(path)
+
+
+def get_or_create(spark: SparkSession, path: str, schema: T.StructType = VECTOR_SCHEMA) -> DataFrame:
+    """K6: the collection at ``path``; created empty with ``schema`` on first use."""
+    if not _exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        empty = spark.createDataFrame([], schema).withColumn("bucket", F.lit(0).cast("int"))
+        empty.write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return _read(spark, path, schema).select(*schema.fieldNames())
+
+
+def upsert_into(spark: SparkSession, path: str, batch: DataFrame, policy: str = "replace", key: str = "id",
+                schema: T.StructType = VECTOR_SCHEMA, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """K4/K5 on disk: merge ``batch`` into the collection at ``path`` by ``key``.
+
+    ``policy`` is ``replace`` (newest ``version`` wins, the batch wins ties) or
+    ``ignore`` (stored rows kept, new keys added; first row per key in the
+    batch).  Idempotent: replaying a batch rewrites the same rows.
     """
-    old = get_or_create(spark, root, schema)
-    batch = batch.select(old.columns)
-    merged = upsert_replace(old, batch) if policy == "replace" else upsert_ignore(old, batch)
-    return commit(spark, root, merged)
+    get_or_create(spark, path, schema)
+    cols = schema.fieldNames()
+    incoming = batch.select(*cols).withColumn("bucket", bucket_of(key, buckets))
+    # At most ``buckets`` small ints: a bounded list, applied as a static
+    # partition filter so only the touched bucket folders are listed and read.
+    touched = sorted(r[0] for r in incoming.select("bucket").distinct().collect())
+    if not touched:
+        return get_or_create(spark, path, schema)
+    stored = _read(spark, path, schema).filter(F.col("bucket").isin(touched))
+    old, new = stored.drop("bucket"), incoming.drop("bucket")
+    merged = upsert_replace(old, new, key) if policy == "replace" else upsert_ignore(old, new, key)
+    merged = merged.withColumn("bucket", bucket_of(key, buckets)).checkpoint(eager=True)
+    (merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket").parquet(path))
+    return get_or_create(spark, path, schema)
 
 
 def list_collections(spark: SparkSession, parent: str) -> list[str]:
-    """K7: names of the collections (folders with a pointer) under ``parent``."""
-    fs, p, jvm = _hadoop_fs(spark, parent)
+    """K7: names of the collections (Parquet folders with a commit marker) under ``parent``."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(parent)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
         return []
-    names = []
-    for st in fs.listStatus(p):
-        if st.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_CURRENT")):
-            names.append(st.getPath().getName())
-    return sorted(names)
+    return sorted(st.getPath().getName() for st in fs.listStatus(p)
+                  if st.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")))
 
 
 def append_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:

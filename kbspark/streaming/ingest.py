@@ -3,7 +3,8 @@
 Landed pages carry no event time, so the landing time is the watermark
 column; ``dropDuplicatesWithinWatermark`` keeps one row per url without
 keeping state for ever.  Each micro-batch is merged into the knowledge-base
-snapshot by path; within and across batches the later landing wins.
+by path (only the path buckets a batch touches are rewritten); within and
+across batches the later landing wins.
 """
 
 from __future__ import annotations
@@ -48,9 +49,7 @@ def run_ingest(spark: SparkSession, stream: DataFrame, root: str, params: KbPara
     def apply(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
-        old = store.get_or_create(spark, root, KB_SCHEMA)
-        merged = store.upsert_replace(old, kb_rows(batch, epoch, params).select(old.columns), key="path")
-        store.commit(spark, root, merged, key="path")
+        store.upsert_into(spark, root, kb_rows(batch, epoch, params), "replace", key="path", schema=KB_SCHEMA)
 
     run_available_now(stream, f"{base}/_checkpoint", foreach_batch=apply)
     return store.get_or_create(spark, root, KB_SCHEMA)

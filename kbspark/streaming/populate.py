@@ -46,7 +46,7 @@ def run_populate(spark: SparkSession, stream: DataFrame, root: str, policy: str
     def apply(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():        # availableNow may end with an empty batch
             return
-        store.apply_batch(spark, root, vector_records(batch, params, epoch), policy)
+        store.upsert_into(spark, root, vector_records(batch, params, epoch), policy)
 
     run_available_now(stream, f"{base}/_checkpoint", foreach_batch=apply)
     return store.get_or_create(spark, root)

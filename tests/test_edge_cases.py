@@ -286,13 +286,20 @@ def test_upsert_policies_in_batch_duplicates_and_replay(spark):
     assert sorted(map(tuple, empty.collect())) == sorted(map(tuple, rep.collect()))
 
 
-def test_snapshot_store_roundtrip(spark):
-    root = tempfile.mkdtemp(prefix="kbspark-store-")
-    batch = spark.createDataFrame([("x", [1.0, 0.0], {"file_path": "/p"}, "doc", 1)], K.VECTOR_SCHEMA)
-    K.apply_batch(spark, root, batch, "replace")
-    K.apply_batch(spark, root, batch, "replace")          # replay
-    coll = K.get_or_create(spark, root)
-    assert coll.count() == 1
-    K.apply_batch(spark, root, batch.withColumn("document", F.lit("new")), "ignore")
-    assert K.get_or_create(spark, root).first().document == "doc"
-    assert K.list_collections(spark, os.path.dirname(root)) .count(os.path.basename(root)) == 1
+def test_collection_store_roundtrip(spark):
+    parent = tempfile.mkdtemp(prefix="kbspark-store-")
+    root = os.path.join(parent, "coll")
+    rows = [(f"id{i}", [1.0, 0.0], {"file_path": f"/p{i}"}, "doc", 1) for i in range(20)]
+    batch = spark.createDataFrame(rows, K.VECTOR_SCHEMA)
+    K.upsert_into(spark, root, batch, "replace")
+    K.upsert_into(spark, root, batch, "replace")          # replay: unchanged
+    assert K.get_or_create(spark, root).count() == 20
+    one = spark.createDataFrame([("id3", [0.0, 1.0], {"file_path": "/p3"}, "new", 2),
+                                 ("idx", [0.0, 1.0], {"file_path": "/px"}, "new", 2)], K.VECTOR_SCHEMA)
+    K.upsert_into(spark, root, one, "ignore")
+    got = {r.id: r.document for r in K.get_or_create(spark, root).collect()}
+    assert len(got) == 21 and got["id3"] == "doc" and got["idx"] == "new"
+    K.upsert_into(spark, root, one, "replace")
+    got = {r.id: r.document for r in K.get_or_create(spark, root).collect()}
+    assert len(got) == 21 and got["id3"] == "new"
+    assert K.list_collections(spark, parent) == ["coll"]
