@@ -284,11 +284,11 @@ FROM cq q LEFT JOIN p_best b ON b.qid = q.qid LEFT JOIN kb_docs k ON k.path = b.
     "prompt_with_context": f"""SELECT c.conv_id, c.turn, {_prompt_ctx('c.text', 'd.text')} AS prompt
 FROM conversations c JOIN documents d ON d.doc_id = c.conv_id WHERE c.role = 'user'""",
     "prompt_dispatch": _with(("p_best", "c_best"), f"""SELECT qid, mode, source, {_prompt_for('text', 'context')} AS prompt FROM (
-  SELECT qid, mode, text, '' AS context, NULL::VARCHAR AS source FROM cq WHERE mode = 'None'
+  SELECT qid, mode, text, '' AS context, NULL::VARCHAR AS source FROM cq WHERE mode = 'none'
   UNION ALL SELECT q.qid, q.mode, q.text, k.text, b.path FROM cq q LEFT JOIN p_best b ON b.qid = q.qid
-    LEFT JOIN kb_docs k ON k.path = b.path WHERE q.mode = 'Pinecone'
+    LEFT JOIN kb_docs k ON k.path = b.path WHERE q.mode = 'dot'
   UNION ALL SELECT q.qid, q.mode, q.text, b.document, b.id FROM cq q LEFT JOIN c_best b ON b.qid = q.qid
-    WHERE q.mode = 'Chroma')"""),
+    WHERE q.mode = 'l2')"""),
     "answer_questions": _with(("p_best", "c_best"), f"""SELECT qid, conv_id, turn, mode,
   CASE WHEN error IS NULL THEN CASE WHEN source IS NULL THEN stripped
        ELSE {_with_citation('stripped', _citation('source', KB_BASE))} END END AS answer, error
@@ -296,13 +296,13 @@ FROM (SELECT *, substr(output, greatest(length(prompt) - {P.ECHO_OFFSET}, 0) + 1
   SELECT *, substr(prompt, 3) || ' answer ' || conv_id::VARCHAR AS output FROM (
     SELECT *, {_prompt_for('text', 'context')} AS prompt FROM (
       SELECT qid, conv_id, turn, mode, text, '' AS context, NULL::VARCHAR AS source, NULL::VARCHAR AS error
-      FROM cq WHERE mode = 'None'
+      FROM cq WHERE mode = 'none'
       UNION ALL SELECT q.qid, q.conv_id, q.turn, q.mode, q.text, k.text, b.path,
         CASE WHEN b.id IS NULL THEN 'no match' WHEN k.text IS NULL THEN 'document not found' END
-      FROM cq q LEFT JOIN p_best b ON b.qid = q.qid LEFT JOIN kb_docs k ON k.path = b.path WHERE q.mode = 'Pinecone'
+      FROM cq q LEFT JOIN p_best b ON b.qid = q.qid LEFT JOIN kb_docs k ON k.path = b.path WHERE q.mode = 'dot'
       UNION ALL SELECT q.qid, q.conv_id, q.turn, q.mode, q.text, b.document, b.id,
         CASE WHEN b.id IS NULL THEN 'no match' END
-      FROM cq q LEFT JOIN c_best b ON b.qid = q.qid WHERE q.mode = 'Chroma'))))"""),
+      FROM cq q LEFT JOIN c_best b ON b.qid = q.qid WHERE q.mode = 'l2'))))"""),
     "strip_prompt_echo": _with(("responses",), f"""SELECT conv_id, turn,
   substr(response, greatest(length(prompt) - {P.ECHO_OFFSET}, 0) + 1) AS answer FROM responses"""),
     "answer_with_citation": _with(("responses", "kb_docs"), f"""SELECT r.conv_id, r.turn,

@@ -45,7 +45,7 @@ TOP_K_L2 = 1           # squared-L2 backend asks for 1
 ID_HEX_CHARS = 10      # id = first 10 hex chars of sha256(path)
 FALLBACK_ID_CHARS = 50  # id = first 50 characters of the text when no path
 CLASSIFICATION = "public"
-BASE_PATH = "/home/cdsw/data"
+BASE_PATH = "/data/kb"        # any folder; a parameter everywhere
 # Fetch retries.
 MAX_RETRIES = 5
 RETRY_DELAY_SECONDS = 2

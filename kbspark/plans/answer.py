@@ -20,7 +20,7 @@ from kbspark.params import DEFAULT, KbParams
 from kbspark.plans.retrieve import retrieve_dot, retrieve_l2
 
 Generator = Callable[[DataFrame], DataFrame]
-MODES = ("None", "Pinecone", "Chroma")
+MODES = ("none", "dot", "l2")
 
 
 def contexts(questions: DataFrame, corpus_dot: DataFrame, docs: DataFrame, corpus_l2: DataFrame,
@@ -28,8 +28,8 @@ def contexts(questions: DataFrame, corpus_dot: DataFrame, docs: DataFrame, corpu
              exclude_l2: str | None = None) -> DataFrame:
     """P20 retrieval dispatch: ``(qid, context, source)`` per question by its ``mode``.
 
-    ``None`` -> empty context, no source; ``Pinecone`` -> dot-product top-k,
-    source = stored path; ``Chroma`` -> nearest by L2, source = stored id.
+    ``none`` -> empty context, no source; ``dot`` -> dot-product top-k,
+    source = stored path; ``l2`` -> nearest by squared L2, source = stored id.
     Any other mode yields no row (the original answered nothing).  The
     three branches are filtered from the same questions and unioned.
     ``exclude_dot`` / ``exclude_l2`` name question columns with a corpus id
@@ -37,13 +37,13 @@ def contexts(questions: DataFrame, corpus_dot: DataFrame, docs: DataFrame, corpu
     """
     extra = [c for c in (exclude_dot, exclude_l2) if c]
     keys = questions.select(q_id, "mode", "embedding", *extra)
-    none = keys.filter(F.col("mode") == "None").select(
+    none = keys.filter(F.col("mode") == "none").select(
         q_id, F.lit("").alias("context"), F.lit(None).cast("string").alias("source"),
         F.lit(None).cast("string").alias("error"))
-    dot_q = keys.filter(F.col("mode") == "Pinecone")
+    dot_q = keys.filter(F.col("mode") == "dot")
     dot = retrieve_dot(dot_q, corpus_dot, docs, params, q_id, exclude_dot).select(
         q_id, "context", F.col("path").alias("source"), "error")
-    l2_q = keys.filter(F.col("mode") == "Chroma")
+    l2_q = keys.filter(F.col("mode") == "l2")
     l2 = retrieve_l2(l2_q, corpus_l2, q_id, exclude_l2, params=params).select(
         q_id, F.col("document").alias("context"), F.col("id").alias("source"),
         F.when(F.col("id").isNull(), F.lit("no match")).alias("error"))

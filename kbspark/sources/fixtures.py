@@ -177,7 +177,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("value").alias("response_time_s"))
 
 
-CHAT_MODES = ("None", "Pinecone", "Chroma", "Other")
+CHAT_MODES = ("none", "dot", "l2", "other")
 
 
 def corpus_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
