@@ -303,3 +303,11 @@ def test_collection_store_roundtrip(spark):
     got = {r.id: r.document for r in K.get_or_create(spark, root).collect()}
     assert len(got) == 21 and got["id3"] == "new"
     assert K.list_collections(spark, parent) == ["coll"]
+
+
+def test_topk_many_identical_vectors_stay_bounded(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, embedding array<float>")
+    corpus = spark.range(0, 5000, numPartitions=4).select(F.col("id"), F.array(F.lit(1.0), F.lit(0.0))
+                                                          .cast("array<float>").alias("embedding"))
+    m = topk(q, corpus, k=3).orderBy("rank").collect()
+    assert [(r.rank, r.id, r.score) for r in m] == [(1, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0)]
