@@ -366,6 +366,20 @@ def q_embed_documents(spark, d):
     return emb.select("doc_id", F.size("embedding").alias("dim"), F.round(l2_norm("embedding"), 6).alias("norm"))
 
 
+def q_retrieve_by_text(spark, d):
+    """V5 + V11 + R4: documents and user questions embedded by one fitted model, then top-5 and context."""
+    from kbspark.operators.embed import apply_embedder, fit_hashing_embedder
+    kb = truncate_for_embedding(X.kb_docs(spark, d).select("path", "text", "doc_id"))
+    model = fit_hashing_embedder(kb)
+    corpus = apply_embedder(model, kb).select(F.col("path").alias("id"), "embedding")
+    conv = load(spark, d, "conversations").filter(F.col("role") == "user")
+    qs = truncate_for_embedding(conv.select((F.col("conv_id") * 10 + F.col("turn")).alias("qid"), "text"))
+    qv = apply_embedder(model, qs).select("qid", "embedding")
+    best = best_match(qv, topk(qv, corpus, k=P.TOP_K_DOT, metric="dot"))
+    ctx = fetch_context(best.withColumnRenamed("id", "path"), X.kb_docs(spark, d))
+    return ctx.select("qid", "path", "score", F.length("context").alias("context_chars"), "error")
+
+
 def q_populate_index(spark, d):
     from kbspark.streaming.populate import vector_records
     recs = vector_records(X.kb_docs(spark, d).select("path", "text"))
@@ -455,6 +469,7 @@ QUERIES: dict[str, Query] = {
     "request_metrics_daily": q_request_metrics_daily,
     # embedding, populate and streaming
     "embed_documents": q_embed_documents,
+    "retrieve_by_text": q_retrieve_by_text,
     "populate_index": q_populate_index,
     "stream_request_metrics": q_stream_request_metrics,
     "stream_populate": q_stream_populate,
