@@ -78,15 +78,14 @@ def score_requests(requests: DataFrame, generate: Generator, body: str = "body",
     """
     keep = [c for c in requests.columns if c != body]
     norm = requests.select(*keep, *normalized_columns(F.col(body)))
-    ok = norm.filter(F.col("error").isNull())
-    bad = norm.filter(F.col("error").isNotNull())
-    gen = generate(ok)
+    # One pass, no split-and-union: a bad request reaches the generator with
+    # no prompt (and gets no output).  A filter on ``error`` would be pushed
+    # below the projection and parse every body twice.
+    ok = F.col("error").isNull()
+    gen = generate(norm.withColumn("prompt", F.when(ok, F.col("prompt"))))
     if "elapsed_s" not in gen.columns:
-        gen = gen.withColumn("elapsed_s", F.lit(0.0))
-    gen = gen.withColumn("response", F.col("output")).drop("output")
-    bad = (bad.withColumn("response", F.lit(None).cast("string"))
-           .withColumn("elapsed_s", F.lit(None).cast("double")))
-    out = gen.unionByName(bad.select(gen.columns))
+        gen = gen.withColumn("elapsed_s", F.when(ok, F.lit(0.0)))
+    out = gen.withColumn("response", F.when(ok, F.col("output"))).drop("output")
     return out.withColumn("response_time_s", shown_seconds(F.col("elapsed_s")))
 
 

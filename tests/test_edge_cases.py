@@ -311,3 +311,19 @@ def test_topk_many_identical_vectors_stay_bounded(spark):
                                                           .cast("array<float>").alias("embedding"))
     m = topk(q, corpus, k=3).orderBy("rank").collect()
     assert [(r.rank, r.id, r.score) for r in m] == [(1, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0)]
+
+
+def test_score_requests_keeps_bad_requests_as_error_rows(spark):
+    from kbspark.plans.answer import request_log_rows, score_requests
+
+    bodies = ['{"prompt": "hello"}', '{"prompt": "p", "temperature": "hot"}', "{broken"]
+    rq = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "conv_id long, body string")
+
+    def gen(df):
+        return df.withColumn("output", F.concat(F.col("prompt"), F.lit("!")))
+
+    out = {r.conv_id: r for r in score_requests(rq, gen).collect()}
+    assert out[0].response == "hello!" and out[0].error is None and out[0].response_time_s == 0.0
+    assert out[1].response is None and out[1].error == "bad temperature"
+    assert out[2].response is None and out[2].error == "malformed body"
+    assert request_log_rows(score_requests(rq, gen)).count() == 1
