@@ -380,6 +380,12 @@ def q_retrieve_by_text(spark, d):
     return ctx.select("qid", "path", "score", F.length("context").alias("context_chars"), "error")
 
 
+def q_topk_ivf(spark, d):
+    """Approximate top-5 over a k-means inverted file (8 probed lists), leave-one-out."""
+    from kbspark.operators.ann import ivf_topk
+    return ivf_topk(X.questions_v(spark, d), X.corpus_dot(spark, d), k=P.TOP_K_DOT, n_probe=8, exclude="qid")
+
+
 def q_populate_index(spark, d):
     from kbspark.streaming.populate import vector_records
     recs = vector_records(X.kb_docs(spark, d).select("path", "text"))
@@ -470,6 +476,7 @@ QUERIES: dict[str, Query] = {
     # embedding, populate and streaming
     "embed_documents": q_embed_documents,
     "retrieve_by_text": q_retrieve_by_text,
+    "topk_ivf": q_topk_ivf,
     "populate_index": q_populate_index,
     "stream_request_metrics": q_stream_request_metrics,
     "stream_populate": q_stream_populate,

@@ -101,3 +101,17 @@ def test_generator_in_pandas_equals_native_stub(spark):
     b = answer_questions(qs, *args, pandas_gen, params, exclude_dot="self_vec", exclude_l2="self_path").select(cols)
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0
+
+
+def test_ivf_probing_every_list_is_exact_and_salting_is_invisible(spark):
+    from kbspark.operators.ann import ivf_topk, recall_at_k
+
+    qs, corpus = X.questions_v(spark, SF_SMALL), X.corpus_dot(spark, SF_SMALL)
+    exact = topk(qs, corpus, k=5, exclude="qid")
+    full = ivf_topk(qs, corpus, k=5, n_lists=6, n_probe=6, exclude="qid")
+    assert full.exceptAll(exact).count() == 0 and exact.exceptAll(full).count() == 0
+    a = ivf_topk(qs, corpus, k=5, n_lists=6, n_probe=2, exclude="qid")
+    b = ivf_topk(qs, corpus, k=5, n_lists=6, n_probe=2, exclude="qid", max_group_rows=30, max_group_questions=20)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    r = recall_at_k(a, exact).first()
+    assert r.total == exact.count() and 0.0 < r.recall <= 1.0
