@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from kbspark import params as P
 from kbspark.functions.html import STRIP_PATTERN
-from kbspark.sources.fixtures import CHAT_MODES, KB_BASE, ROOT_SITEMAP, TOKEN_CYCLE
+from kbspark.sources.fixtures import CHAT_MODES, KB_BASE, MAX_LOCS, ROOT_SITEMAP, TOKEN_CYCLE
 
 
 def _q(s: str) -> str:
@@ -29,7 +29,7 @@ CTE: dict[str, str] = {
     "page_hosts": """page_hosts AS (
   SELECT p.page_id, p.url, hs.host, hs.h, hs.sm FROM pages p
   JOIN hosts hs ON regexp_extract(p.url, '^[a-z]+://([^/?#]+)', 1) = hs.host)""",
-    "edges": f"""edges AS (
+    "link_edges": f"""link_edges AS (
   SELECT {ROOT} AS parent, sm AS child, h AS pos, NULL::BIGINT AS h FROM hosts
   UNION ALL SELECT sm, url, page_id, h FROM page_hosts
   UNION ALL SELECT sm, {ROOT}, {FAR}, h FROM hosts WHERE h % 10 = 7
@@ -37,6 +37,18 @@ CTE: dict[str, str] = {
   UNION ALL SELECT 'https://' || host || '/more.xml',
     regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '\\.html$', '') || '.html',
     page_id, h FROM page_hosts WHERE h % 10 = 5)""",
+    # Pagination of parents over the protocol limit (never triggered at the test scales).
+    "edges": f"""edges AS (
+  SELECT parent, child, pos, h FROM (SELECT *, count(*) OVER (PARTITION BY parent) AS n FROM link_edges)
+  WHERE n <= {MAX_LOCS}
+  UNION ALL
+  SELECT DISTINCT * FROM (
+    SELECT CASE WHEN x = 0 THEN regexp_replace(parent, '\\.xml$', '') || '-p' || part::VARCHAR || '.xml' ELSE parent END,
+           CASE WHEN x = 0 THEN child ELSE regexp_replace(parent, '\\.xml$', '') || '-p' || part::VARCHAR || '.xml' END,
+           CASE WHEN x = 0 THEN pos ELSE part END, h
+    FROM (SELECT *, hash(child, pos) % ceil(n / {int(MAX_LOCS * 0.8)})::UBIGINT AS part
+          FROM (SELECT *, count(*) OVER (PARTITION BY parent) AS n FROM link_edges) WHERE n > {MAX_LOCS}),
+         (SELECT unnest([0, 1]) AS x)))""",
     "sitemap_docs": """sitemap_docs AS (
   SELECT parent AS url, CASE WHEN max(h) % 10 = 3 THEN 404 ELSE 200 END AS status,
          CASE WHEN max(h) % 10 = 3 THEN 'http_404' WHEN max(h) % 10 = 9 THEN 'malformed' ELSE 'ok' END AS state
@@ -108,7 +120,7 @@ CTE: dict[str, str] = {
 }
 
 DEPS: dict[str, tuple[str, ...]] = {
-    "page_hosts": ("hosts",), "edges": ("hosts", "page_hosts"), "sitemap_docs": ("edges",),
+    "page_hosts": ("hosts",), "link_edges": ("hosts", "page_hosts"), "edges": ("link_edges",), "sitemap_docs": ("edges",),
     "links": ("sitemap_docs",), "walk": ("links",), "scanned": ("url_list",), "visits": ("scanned",),
     "dotc": ("kb_docs",), "l2c": ("kb_docs",), "cq": ("kb_docs",), "p_best": ("cq", "dotc"),
     "c_best": ("cq", "l2c"),

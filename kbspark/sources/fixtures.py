@@ -30,8 +30,8 @@ def _page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("host", F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(parent, child, pos, h)``: the link graph the sitemaps encode.
+def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(parent, child, pos, h)``: the link graph before pagination.
 
     root -> every host sitemap; host sitemap -> its pages; h%10=7 links back
     to root (a cycle); h%10=5 adds ``more.xml`` that lists each page url with
@@ -56,6 +56,31 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return root.unionByName(to_pages).unionByName(cycle).unionByName(to_more).unionByName(more_pages)
 
 
+MAX_LOCS = 50000       # links per sitemap document (sitemap protocol limit)
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(parent, child, pos, h)``: the link graph the sitemaps encode, paginated as the protocol requires.
+
+    A parent with more than ``MAX_LOCS`` links becomes an index of part
+    documents ``<parent>-p<i>.xml``; its links are spread over the parts by a
+    hash of the link, with slack so no part exceeds the limit in practice.
+    Every document (one group per url in :func:`sitemaps`) is thus bounded.
+    Parents within the limit are unchanged.
+    """
+    e = link_edges(spark, sf_dir)
+    per_parent = e.groupBy("parent").agg(F.count("*").alias("n"))
+    e = e.join(per_parent, "parent")
+    nparts = F.ceil(F.col("n") / F.lit(int(MAX_LOCS * 0.8)))
+    part = F.pmod(F.xxhash64("child", "pos"), nparts)
+    part_url = F.concat(F.regexp_replace("parent", r"\.xml$", ""), F.lit("-p"), part.cast("string"), F.lit(".xml"))
+    small = e.filter(F.col("n") <= MAX_LOCS).select("parent", "child", "pos", "h")
+    big = e.filter(F.col("n") > MAX_LOCS)
+    parts = big.select(part_url.alias("parent"), "child", "pos", "h")
+    index = big.select("parent", part_url.alias("child"), part.alias("pos"), "h").distinct()
+    return small.unionByName(parts).unionByName(index)
+
+
 def _xml_escape(c):
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
                      F.lit(">"), F.lit("&gt;"))

@@ -34,3 +34,18 @@ def test_upsert_label_sums(spark):
     assert rep.count() == ign.count() == 417
     assert rep.agg(F.sum("label")).first()[0] == 26885
     assert ign.agg(F.sum("label")).first()[0] == 10285
+
+
+def test_sitemap_pagination_keeps_reachable_pages(spark, monkeypatch):
+    from conftest import SF_SMALL
+
+    plain = C.crawl(X.sitemaps(spark, SF_SMALL), X.ROOT_SITEMAP)
+    monkeypatch.setattr(X, "MAX_LOCS", 10)
+    docs = X.sitemaps(spark, SF_SMALL)
+    paged = C.crawl(docs, X.ROOT_SITEMAP)
+    pages = lambda df: {r.url for r in df.filter(F.col("kind") == "page").collect()}
+    assert pages(paged) == pages(plain)
+    assert paged.filter(F.col("url").contains("-p")).count() > 0
+    # Every document stays small: a part holds far fewer links than its unpaginated parent.
+    widest = C.extract_locs(docs).groupBy("parent").count().agg(F.max("count")).first()[0]
+    assert widest <= 20
