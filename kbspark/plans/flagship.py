@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kbspark.functions.prompts import prompt_for
 from kbspark.operators.topk import best_match, topk
 from kbspark.params import DEFAULT
-from kbspark.plans.retrieve import fetch_context
+from kbspark.plans.retrieve import fetch_context, lookup
 from kbspark.sources import fixtures as X
 
 
@@ -23,7 +23,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     kb = X.kb_docs(spark, sf_dir)
     matches = topk(qs, corpus, k=DEFAULT.top_k, metric="dot", exclude="qid")
     best = best_match(qs, matches)
-    with_path = best.join(corpus.select("id", F.col("metadata")["file_path"].alias("path")), "id", "left")
+    paths = lookup(best, corpus.select("id", F.col("metadata")["file_path"].alias("path")), "id")
+    with_path = best.join(paths, "id", "left")
     ctx = fetch_context(with_path, kb)
     question = kb.select(F.col("doc_id").alias("qid"), F.col("text").alias("question"))
     return (ctx.join(question, "qid", "left")

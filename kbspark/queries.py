@@ -29,7 +29,7 @@ from kbspark.operators.metrics import daily_metrics
 from kbspark.operators.topk import best_match, relevance_report, topk
 from kbspark.plans.answer import answer_questions, contexts, request_log_rows, score_requests
 from kbspark.plans.ingest import build_kb, planned_writes
-from kbspark.plans.retrieve import fetch_context, retrieve_dot, retrieve_l2, where_contains, where_metadata
+from kbspark.plans.retrieve import fetch_context, lookup, retrieve_dot, retrieve_l2, where_contains, where_metadata
 from kbspark.sources import fixtures as X
 from kbspark.sources.tables import load, scan_sitemaps, scan_url_list
 
@@ -169,7 +169,8 @@ def q_fetch_context(spark, d):
     qs = X.questions_v(spark, d)
     corpus = X.corpus_dot(spark, d)
     best = best_match(qs, topk(qs, corpus, k=P.TOP_K_DOT, exclude="qid"))
-    with_path = best.join(corpus.select("id", F.col("metadata")["file_path"].alias("path")), "id", "left")
+    paths = lookup(best, corpus.select("id", F.col("metadata")["file_path"].alias("path")), "id")
+    with_path = best.join(paths, "id", "left")
     return fetch_context(with_path, X.kb_docs(spark, d)).select("qid", "id", "score", "path", "context", "error")
 
 
