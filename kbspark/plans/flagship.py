@@ -23,6 +23,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     kb = X.kb_docs(spark, sf_dir)
     matches = topk(qs, corpus, k=DEFAULT.top_k, metric="dot", exclude="qid")
     best = best_match(qs, matches)
+    best = best.checkpoint()         # one row per question; read by both lookups
     paths = lookup(best, corpus.select("id", F.col("metadata")["file_path"].alias("path")), "id")
     with_path = best.join(paths, "id", "left")
     ctx = fetch_context(with_path, kb)

@@ -169,6 +169,7 @@ def q_fetch_context(spark, d):
     qs = X.questions_v(spark, d)
     corpus = X.corpus_dot(spark, d)
     best = best_match(qs, topk(qs, corpus, k=P.TOP_K_DOT, exclude="qid"))
+    best = best.checkpoint()         # one row per question; read by both lookups
     paths = lookup(best, corpus.select("id", F.col("metadata")["file_path"].alias("path")), "id")
     with_path = best.join(paths, "id", "left")
     return fetch_context(with_path, X.kb_docs(spark, d)).select("qid", "id", "score", "path", "context", "error")
