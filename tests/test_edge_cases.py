@@ -12,7 +12,7 @@ from kbspark.functions import urls as U
 from kbspark.functions.html import extract_text, html_to_text_parser, parse_text
 from kbspark.functions.prompts import prompt_for, strip_echo
 from kbspark.functions.requests import normalized_columns
-from kbspark.functions.vectors import has_dimension, l2_norm, l2_normalize
+from kbspark.functions.vectors import has_dimension, l2_normalize
 from kbspark.operators import crawl as C
 from kbspark.operators import dedup as D
 from kbspark.operators import store as K
