@@ -23,6 +23,27 @@ Generator = Callable[[DataFrame], DataFrame]
 MODES = ("none", "dot", "l2")
 
 
+def model_generator(make_predict: Callable, batch_size: int = 8) -> Generator:
+    """Wrap a text-generation model factory as a :data:`Generator`.
+
+    ``make_predict()`` runs once per Python worker and returns
+    ``predict(prompts: numpy array of str) -> numpy array of str``; prompts
+    arrive in Arrow batches of ``batch_size`` (the original generated one
+    prompt at a time, reloading nothing but blocking per call).  Rows without
+    a prompt get no output.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import StringType
+
+    udf = predict_batch_udf(make_predict, return_type=StringType(), batch_size=batch_size)
+
+    def generate(df: DataFrame) -> DataFrame:
+        prompt = F.col("prompt")
+        return df.withColumn("output", F.when(prompt.isNotNull(), udf(F.coalesce(prompt, F.lit("")))))
+
+    return generate
+
+
 def contexts(questions: DataFrame, corpus_dot: DataFrame, docs: DataFrame, corpus_l2: DataFrame,
              params: KbParams = DEFAULT, q_id: str = "qid", exclude_dot: str | None = None,
              exclude_l2: str | None = None) -> DataFrame:

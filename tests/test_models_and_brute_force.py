@@ -115,3 +115,22 @@ def test_ivf_probing_every_list_is_exact_and_salting_is_invisible(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     r = recall_at_k(a, exact).first()
     assert r.total == exact.count() and 0.0 < r.recall <= 1.0
+
+
+def test_model_generator_matches_native_stub(spark):
+    from kbspark.plans.answer import model_generator, score_requests
+
+    def make_echo():
+        import numpy as np
+
+        def predict(prompts):
+            return np.array([p[2:] + " answer" for p in prompts], dtype=object)
+
+        return predict
+
+    rq = X.requests(spark, SF_SMALL)
+    a = score_requests(rq, model_generator(make_echo, batch_size=16)).select("conv_id", "turn", "response")
+    b = score_requests(rq, lambda df: df.withColumn(
+        "output", F.concat(F.substring("prompt", 3, 1 << 30), F.lit(" answer")))).select("conv_id", "turn", "response")
+    assert a.count() == b.count() > 0
+    assert a.exceptAll(b).count() == 0
