@@ -241,7 +241,7 @@ def q_describe_collection(spark, d):
 
 
 def q_truncate_tokens(spark, d):
-    docs = truncate_for_embedding(load(spark, d, "documents").select("doc_id", "text"))
+    docs = truncate_for_embedding(load(spark, d, "documents").select("doc_id", "text"), n=P.MAX_EMBED_TOKENS)
     return docs.select("doc_id", F.length("embed_text").alias("embed_chars"))
 
 
@@ -364,7 +364,7 @@ def q_request_metrics_daily(spark, d):
 
 def q_embed_documents(spark, d):
     from kbspark.operators.embed import apply_embedder, fit_hashing_embedder
-    docs = truncate_for_embedding(load(spark, d, "documents").select("doc_id", "text"))
+    docs = truncate_for_embedding(load(spark, d, "documents").select("doc_id", "text"), n=None)
     model = fit_hashing_embedder(docs)
     emb = apply_embedder(model, docs)
     return emb.select("doc_id", F.size("embedding").alias("dim"), F.round(l2_norm("embedding"), 6).alias("norm"))
@@ -373,11 +373,11 @@ def q_embed_documents(spark, d):
 def q_retrieve_by_text(spark, d):
     """V5 + V11 + R4: documents and user questions embedded by one fitted model, then top-5 and context."""
     from kbspark.operators.embed import apply_embedder, fit_hashing_embedder
-    kb = truncate_for_embedding(X.kb_docs(spark, d).select("path", "text", "doc_id"))
+    kb = truncate_for_embedding(X.kb_docs(spark, d).select("path", "text", "doc_id"), n=None)
     model = fit_hashing_embedder(kb)
     corpus = apply_embedder(model, kb).select(F.col("path").alias("id"), "embedding")
     conv = load(spark, d, "conversations").filter(F.col("role") == "user")
-    qs = truncate_for_embedding(conv.select((F.col("conv_id") * 10 + F.col("turn")).alias("qid"), "text"))
+    qs = truncate_for_embedding(conv.select((F.col("conv_id") * 10 + F.col("turn")).alias("qid"), "text"), n=None)
     qv = apply_embedder(model, qs).select("qid", "embedding")
     best = best_match(qv, topk(qv, corpus, k=P.TOP_K_DOT, metric="dot"))
     ctx = fetch_context(best.withColumnRenamed("id", "path"), X.kb_docs(spark, d))

@@ -17,13 +17,15 @@ from kbspark.params import DEFAULT, KbParams
 from kbspark.streaming.runner import landed_stream, run_available_now, stream_dir
 
 
-def vector_records(docs: DataFrame, params: KbParams = DEFAULT, version=None) -> DataFrame:
+def vector_records(docs: DataFrame, params: KbParams = DEFAULT, version=None, max_tokens: int | None = None
+                   ) -> DataFrame:
     """R3 core: ``(path, text)`` -> ``(id, embedding, metadata, document, version)``.
 
     The embedder here is the stateless hashed term-frequency one, so every
-    micro-batch is embedded the same way without a fitted model.
+    micro-batch is embedded the same way without a fitted model; it reads
+    the whole text unless ``max_tokens`` asks for a token window (V1).
     """
-    t = truncate_for_embedding(docs, "text", params.max_embed_tokens, "embed_text")
+    t = truncate_for_embedding(docs, "text", max_tokens, "embed_text")
     e = hashing_tf_embed(t, "embed_text", params.dim)
     v = F.lit(0).cast("long") if version is None else F.lit(version).cast("long")
     return e.select(doc_id(F.col("path"), params.id_chars).alias("id"), "embedding",

@@ -16,11 +16,11 @@ from kbspark.sources.tables import load
 
 
 def test_retrieve_by_text_equals_brute_force(spark):
-    kb = truncate_for_embedding(X.kb_docs(spark, SF_SMALL).select("path", "text"))
+    kb = truncate_for_embedding(X.kb_docs(spark, SF_SMALL).select("path", "text"), n=None)
     model = fit_hashing_embedder(kb)
     corpus = apply_embedder(model, kb).select("path", "embedding").toPandas()
     conv = load(spark, SF_SMALL, "conversations").filter(F.col("role") == "user")
-    qs = truncate_for_embedding(conv.select((F.col("conv_id") * 10 + F.col("turn")).alias("qid"), "text"))
+    qs = truncate_for_embedding(conv.select((F.col("conv_id") * 10 + F.col("turn")).alias("qid"), "text"), n=None)
     qv = apply_embedder(model, qs).select("qid", "embedding").toPandas()
     C = np.stack(corpus.embedding.to_numpy()).astype(np.float64)
     Q = np.stack(qv.embedding.to_numpy()).astype(np.float64)
