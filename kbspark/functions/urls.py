@@ -28,17 +28,11 @@ def classify_link(url) -> Column:
 def url_origin(url) -> Column:
     """``scheme://authority`` -- scheme lower-cased, authority (user, port) as written.
 
-    Null when the string has no scheme.  ``try_parse_url`` never fails the query.
+    The authority is everything between ``//`` and the next ``/``, ``?`` or
+    ``#``, as a URL splitter reports it (a malformed host is kept, not
+    rejected).  Null when the string has no scheme.
     """
     u = _c(url)
-    scheme = F.lower(F.try_parse_url(u, F.lit("PROTOCOL")))
-    authority = F.coalesce(F.try_parse_url(u, F.lit("AUTHORITY")), F.lit(""))
-    return F.when(scheme.isNotNull(), F.concat(scheme, F.lit("://"), authority))
-
-
-def url_origin_regex(url) -> Column:
-    """P3 by pattern (the form the SQL oracle uses); equals :func:`url_origin` on absolute urls."""
-    u = _c(url)
     m = F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)", 0)
     scheme = F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
     auth = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
@@ -48,7 +42,7 @@ def url_origin_regex(url) -> Column:
 def in_scope(url, origin=None) -> Column:
     """The url starts with its own origin (false when the scheme is missing or upper-case)."""
     u = _c(url)
-    o = url_origin_regex(u) if origin is None else _c(origin)
+    o = url_origin(u) if origin is None else _c(origin)
     return F.coalesce(u.startswith(o), F.lit(False))
 
 

@@ -30,8 +30,8 @@ def planned_writes(url_lines: DataFrame, params: KbParams = DEFAULT, allowed_ori
     urls = first_occurrence(scan_url_list(url_lines), "url", "ord")
     urls = urls.filter(in_scope(F.col("url")))
     if allowed_origins is not None:
-        from kbspark.functions.urls import url_origin_regex
-        urls = (urls.withColumn("origin", url_origin_regex(F.col("url")))
+        from kbspark.functions.urls import url_origin
+        urls = (urls.withColumn("origin", url_origin(F.col("url")))
                 .join(allowed_origins.select("origin"), "origin", "left_semi").drop("origin"))
     return urls.withColumn("path", url_to_path(F.col("url"), params.base_path))
 

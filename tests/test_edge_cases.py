@@ -35,11 +35,11 @@ def test_classify_links(spark):
 
 
 def test_origin_and_scope(spark):
-    rows = ["HTTPS://U:p@Host:80/a", "https://h.example/a", "no-scheme/a", "http://h:8080/x?q#f"]
+    rows = ["HTTPS://U:p@Host:80/a", "https://h.example/a", "no-scheme/a", "http://h:8080/x?q#f", "https://a b/c"]
     df = spark.createDataFrame([(u,) for u in rows], "v string")
     got = df.select(U.url_origin("v").alias("o"), U.in_scope(F.col("v")).alias("s")).collect()
-    assert [r.o for r in got] == ["https://U:p@Host:80", "https://h.example", None, "http://h:8080"]
-    assert [r.s for r in got] == [False, True, False, True]
+    assert [r.o for r in got] == ["https://U:p@Host:80", "https://h.example", None, "http://h:8080", "https://a b"]
+    assert [r.s for r in got] == [False, True, False, True, True]
 
 
 def test_url_to_path_rules(spark):
