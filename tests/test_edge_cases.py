@@ -327,3 +327,14 @@ def test_score_requests_keeps_bad_requests_as_error_rows(spark):
     assert out[1].response is None and out[1].error == "bad temperature"
     assert out[2].response is None and out[2].error == "malformed body"
     assert request_log_rows(score_requests(rq, gen)).count() == 1
+
+
+def test_planned_writes_with_allowed_origins(spark):
+    from kbspark.plans.ingest import planned_writes
+
+    lines = spark.createDataFrame([(1, "https://a.example/x.html"), (2, " https://b.example/y \t"),
+                                   (3, "https://a.example/x.html"), (4, "")], "ord long, value string")
+    allow = spark.createDataFrame([("https://a.example",)], "origin string")
+    got = [(r.ord, r.url) for r in planned_writes(lines, allowed_origins=allow).collect()]
+    assert got == [(1, "https://a.example/x.html")]
+    assert planned_writes(lines).count() == 2
