@@ -140,7 +140,13 @@ def append_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("append").format(fmt).save(path)
 
 
-def write_kb(kb: DataFrame, path: str) -> None:
-    """K3: write the knowledge base partitioned by host; a rerun replaces only the hosts it holds."""
-    (kb.repartition("host").write.mode("overwrite")
+def write_kb(kb: DataFrame, path: str, files_per_host: int = 8) -> None:
+    """K3: write the knowledge base partitioned by host; a rerun replaces only the hosts it holds.
+
+    Rows are spread by ``(host, hash(path) mod files_per_host)`` before the
+    write, so a host holding a large share of the documents is written by
+    several tasks (several files) instead of one.
+    """
+    slot = F.pmod(F.xxhash64("path"), F.lit(files_per_host))
+    (kb.repartition("host", slot).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("host").parquet(path))
