@@ -85,7 +85,7 @@ def region_html(html, tag: str = "main") -> Column:
 
 
 class _TextCollector(HTMLParser):
-    """Reference semantics of a parser-based extractor, for the Python fallback and tests."""
+    """Text of a document as an HTML parser reports it (the Python fallback, and the check in tests)."""
 
     SKIP = {"script", "style", "template"}
 
