@@ -239,6 +239,7 @@ SELECT url, NULL::INTEGER, NULL::INTEGER, 'no_response' FROM fetch_log GROUP BY
     "build_kb": _with(("visits",), f"""SELECT w.path, w.url, {_HOST.replace('url', 'w.url')} AS host, {_text_of('p.html')} AS text
 FROM (SELECT path, arg_max(url, ord) AS url FROM visits WHERE url IN (SELECT url FROM pages) GROUP BY path) w
 JOIN pages p ON p.url = w.url"""),
+    "kb_unfetched": _with(("visits",), "SELECT ord, url, path FROM visits WHERE url NOT IN (SELECT url FROM pages)"),
     # vectors and collections
     "topk_cosine": _with(("vq", "dotc"), _topk_sql("SELECT id, cv FROM dotc", P.TOP_K_DOT)),
     "nearest_l2": _with(("vq", "dotc"), _topk_sql("SELECT id, cv FROM dotc", P.TOP_K_L2, "l2")),

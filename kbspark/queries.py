@@ -146,6 +146,12 @@ def q_path_collisions(spark, d):
     return D.collisions(writes, "path", "url")
 
 
+def q_kb_unfetched(spark, d):
+    from kbspark.plans.ingest import unfetched
+    lines = X.url_list(spark, d).withColumnRenamed("url", "value")
+    return unfetched(lines, load(spark, d, "pages"))
+
+
 def q_build_kb(spark, d):
     lines = X.url_list(spark, d).withColumnRenamed("url", "value")
     return build_kb(lines, load(spark, d, "pages"))
@@ -443,6 +449,7 @@ QUERIES: dict[str, Query] = {
     "kb_last_write_wins": q_kb_last_write_wins,
     "path_collisions": q_path_collisions,
     "build_kb": q_build_kb,
+    "kb_unfetched": q_kb_unfetched,
     # vectors and collections
     "topk_cosine": q_topk_cosine,
     "nearest_l2": q_nearest_l2,
