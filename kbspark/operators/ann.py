@@ -88,15 +88,21 @@ def _score_group_fn(k: int, metric: str):
 def ivf_topk(questions: DataFrame, corpus: DataFrame, k: int = 5, n_lists: int | None = None,
              n_probe: int = 8, metric: str = "dot", q_id: str = "qid", q_vec: str = "embedding",
              c_id: str = "id", c_vec: str = "embedding", exclude: str | None = None,
-             max_group_rows: int = 20000, max_group_questions: int = 4000, seed: int = 7) -> DataFrame:
-    """Approximate top-``k`` ``(qid, rank, id, score)``; exact when ``n_probe >= n_lists``."""
+             max_group_rows: int = 20000, max_group_questions: int = 4000, seed: int = 7,
+             train_fraction: float | None = None) -> DataFrame:
+    """Approximate top-``k`` ``(qid, rank, id, score)``; exact when ``n_probe >= n_lists``.
+
+    ``train_fraction`` fits the centroids on a sample of the corpus (k-means
+    iterates over its input); every corpus row is still assigned and searched.
+    """
     spark = questions.sparkSession
     cs = corpus.select(F.col(c_id).alias("id"), F.col(c_vec).alias("cv"))
     n = cs.count()
     if n_lists is None:
         n_lists = max(1, min(4096, int(math.sqrt(n))))
     feats = cs.select("id", "cv", array_to_vector("cv").alias("features"))
-    model = KMeans(k=n_lists, seed=seed, maxIter=20, featuresCol="features", predictionCol="list").fit(feats)
+    train = feats if not train_fraction else feats.sample(fraction=train_fraction, seed=seed)
+    model = KMeans(k=n_lists, seed=seed, maxIter=20, featuresCol="features", predictionCol="list").fit(train)
     centroids = np.array([c for c in model.clusterCenters()], dtype=np.float64)   # n_lists x dim, bounded
     assigned = model.transform(feats).select("id", "cv", F.col("list").cast("int").alias("list"))
 
