@@ -50,3 +50,31 @@ def test_write_kb_replaces_only_written_hosts(spark):
     after = spark.read.parquet(path)
     assert after.filter(F.col("host") == one_host).count() == 1
     assert after.filter(F.col("host") != one_host).count() == n - kb.filter(F.col("host") == one_host).count()
+
+
+def test_stream_metrics_drop_rows_behind_the_watermark(spark):
+    """Spark merges a late row while its window is still in state; once the watermark has
+    evicted (emitted) the window, rows for it are dropped.  Three landings, one per batch."""
+    from kbspark.streaming.metrics import windowed_metrics
+    from kbspark.streaming.runner import landed_stream, run_available_now, stream_dir
+
+    land = os.path.join(tempfile.mkdtemp(prefix="kbspark-land-"), "events")
+    landings = [
+        [(1, "2024-01-01 10:00:00", 1.0), (2, "2024-01-03 12:00:00", 2.0)],   # watermark -> Jan 3 11:00
+        [(3, "2024-01-03 12:30:00", 5.0)],                                    # Jan 1 window evicted here
+        [(4, "2024-01-01 11:00:00", 100.0),                                   # behind an evicted window: dropped
+         (5, "2024-01-03 11:30:00", 3.0),                                     # late but within the delay
+         (6, "2024-01-05 00:30:00", 4.0)],                                    # Jan 5 stays open
+    ]
+    for rows in landings:
+        (spark.createDataFrame(rows, "event_id long, ts string, value double")
+         .select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.lit("q").alias("event_type"), "value")
+         .coalesce(1).write.mode("append").parquet(land))
+    src = landed_stream(spark, land, max_files=1).select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"),
+        F.col("value").alias("response_time_s"))
+    base = stream_dir(spark, "late")
+    out = windowed_metrics(src, window="1 day", watermark="1 hour")
+    run_available_now(out, f"{base}/_checkpoint", f"{base}/out")
+    got = {r.day: (r.requests, r.max_s) for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {"2024-01-01": (1, 1.0), "2024-01-03": (3, 5.0)}
