@@ -78,3 +78,18 @@ def test_stream_metrics_drop_rows_behind_the_watermark(spark):
     run_available_now(out, f"{base}/_checkpoint", f"{base}/out")
     got = {r.day: (r.requests, r.max_s) for r in spark.read.parquet(f"{base}/out").collect()}
     assert got == {"2024-01-01": (1, 1.0), "2024-01-03": (3, 5.0)}
+
+
+def test_stream_ingest_sees_each_url_once(spark):
+    from kbspark.streaming.ingest import pages_stream, run_ingest
+    from kbspark.streaming.runner import stream_dir
+
+    land = os.path.join(tempfile.mkdtemp(prefix="kbspark-land-"), "pages")
+    landings = [[(1, "https://a.example/x.html", "<p>first</p>"), (2, "https://a.example/y", "<p>y</p>")],
+                [(3, "https://a.example/x.html", "<p>second copy</p>"), (4, "https://b.example/z", "<p>z</p>")]]
+    for rows in landings:
+        spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1) \
+            .write.mode("append").parquet(land)
+    kb = run_ingest(spark, pages_stream(spark, land), stream_dir(spark, "kb"))
+    got = {r.url: r.text for r in kb.collect()}
+    assert got == {"https://a.example/x.html": "first", "https://a.example/y": "y", "https://b.example/z": "z"}
