@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # ``name()='loc'`` matches the sitemap's default-namespace ``<loc>`` and not
 # ``image:loc``; ``//`` finds it at any depth.
+SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 LOC_TEXT_XPATH = "//*[name()='loc']/text()"
 LOC_NODE_XPATH = "//*[name()='loc']"
 _CORRUPT = "_corrupt_record"
@@ -27,11 +28,25 @@ def is_wellformed(xml) -> Column:
     return _c(xml).isNotNull() & parsed[_CORRUPT].isNull()
 
 
+def unprefix_locs(xml, ns: str = SITEMAP_NS) -> Column:
+    """Rewrite ``<P:loc>`` to ``<loc>`` where prefix ``P`` is bound to the sitemap namespace.
+
+    The XPath engine is not namespace-aware and its path must be a constant,
+    so a document that writes the sitemap namespace with a prefix is
+    normalised first; ``loc`` elements of other namespaces (``image:loc``)
+    are left alone.
+    """
+    x = _c(xml)
+    prefix = F.regexp_extract(x, r"xmlns:([A-Za-z_][\w.-]*)\s*=\s*[\"']" + ns.replace(".", r"\.") + r"[\"']", 1)
+    pattern = F.concat(F.lit(r"(</?)\Q"), prefix, F.lit(r"\E:loc\b"))
+    return F.when(prefix != "", F.regexp_replace(x, pattern, F.lit("$1loc"))).otherwise(x)
+
+
 def loc_texts(xml) -> Column:
-    """Text of every ``loc`` element, in document order (call only on gated bodies)."""
-    return F.xpath(_c(xml), F.lit(LOC_TEXT_XPATH))
+    """Text of every sitemap ``loc`` element, in document order (call only on gated bodies)."""
+    return F.xpath(unprefix_locs(xml), F.lit(LOC_TEXT_XPATH))
 
 
 def empty_loc_count(xml) -> Column:
     """``loc`` elements without text (their ``.text`` is None in a tree parser)."""
-    return F.size(F.xpath(_c(xml), F.lit(LOC_NODE_XPATH))) - F.size(loc_texts(xml))
+    return F.size(F.xpath(unprefix_locs(xml), F.lit(LOC_NODE_XPATH))) - F.size(loc_texts(xml))

@@ -84,6 +84,9 @@ XML_CASES = [
     ("index", "<sitemapindex><sitemap><loc>https://a/more.xml</loc></sitemap>"
               "<deep><a><b><loc>https://a/d.html</loc></b></a></deep></sitemapindex>"),
     ("broken", "<urlset><url><loc>https://a/x.html</loc></ur"),
+    ("prefixed", '<s:urlset xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9"><s:url><s:loc>https://a/s.html'
+                 '</s:loc></s:url><s:url><image:loc xmlns:image="http://i">https://a/i.xml</image:loc></s:url>'
+                 '</s:urlset>'),
 ]
 
 
@@ -91,10 +94,12 @@ def test_extract_locs_edge_cases(spark):
     docs = spark.createDataFrame([(u, 200, x) for u, x in XML_CASES] + [("gone", 404, None)],
                                  "url string, status int, xml string")
     states = dict(C.document_state(docs).select("url", "state").collect())
-    assert states == {"good": "ok", "cdata": "ok", "index": "ok", "broken": "malformed", "gone": "http_404"}
+    assert states == {"good": "ok", "cdata": "ok", "index": "ok", "broken": "malformed", "gone": "http_404",
+                      "prefixed": "ok"}
     locs = sorted((r.parent, r.pos, r.child) for r in C.extract_locs(docs).collect())
     assert locs == [("cdata", 0, "https://a/c.html"), ("good", 0, "https://a/x.html"),
-                    ("index", 0, "https://a/more.xml"), ("index", 1, "https://a/d.html")]
+                    ("index", 0, "https://a/more.xml"), ("index", 1, "https://a/d.html"),
+                    ("prefixed", 0, "https://a/s.html")]
 
 
 def test_crawl_cycle_and_errors(spark):
