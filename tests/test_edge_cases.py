@@ -343,3 +343,19 @@ def test_planned_writes_with_allowed_origins(spark):
     got = [(r.ord, r.url) for r in planned_writes(lines, allowed_origins=allow).collect()]
     assert got == [(1, "https://a.example/x.html")]
     assert planned_writes(lines).count() == 2
+
+
+def test_request_json_key_order(spark):
+    import json
+
+    from kbspark.functions.requests import request_json, response_json, response_text
+
+    df = spark.createDataFrame([('say "hi"', 0.5, 100)], "p string, t double, n int")
+    js = df.select(request_json(F.col("p"), F.col("t"), F.col("n"), 1.5).alias("j")).first().j
+    parsed = json.loads(js)
+    assert list(parsed) == ["request"]
+    assert list(parsed["request"]) == ["prompt", "temperature", "max_new_tokens", "repetition_penalty"]
+    assert parsed["request"] == {"prompt": 'say "hi"', "temperature": 0.5, "max_new_tokens": 100,
+                                 "repetition_penalty": 1.5}
+    back = df.select(response_text(response_json(F.col("p"))).alias("r")).first().r
+    assert back == 'say "hi"'
