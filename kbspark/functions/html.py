@@ -18,8 +18,13 @@ from kbspark import params as P
 from kbspark.session import spread
 
 # Non-text regions, then any start/end tag.  ``(?is)``: case-insensitive, dot matches newline.
-STRIP_PATTERN = (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>"
-                 r"|<!--.*?-->|<![^>]*>|<\?[^>]*>|</?[a-z][^>]*>")
+# A tag runs to the first ``>`` outside a quoted attribute value, so ``title="a > b"`` or
+# ``onclick="if(a>b)"`` stay inside the tag.  The JVM pattern uses possessive quantifiers (no
+# backtracking on an unclosed quote); the RE2 form for the SQL oracle matches the same text.
+_REGIONS = (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>"
+            r"|<!--.*?-->|<![^>]*>|<\?[^>]*>")
+STRIP_PATTERN = _REGIONS + r"""|</?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+STRIP_PATTERN_RE2 = _REGIONS + r"""|</?[a-z](?:[^>"']|"[^"]*"|'[^']*')*>"""
 
 
 def _c(x) -> Column:

@@ -10,7 +10,7 @@ none; the Spark side handles them and is unit-tested).
 from __future__ import annotations
 
 from kbspark import params as P
-from kbspark.functions.html import STRIP_PATTERN
+from kbspark.functions.html import STRIP_PATTERN_RE2
 from kbspark.sources.fixtures import CHAT_MODES, KB_BASE, MAX_LOCS, ROOT_SITEMAP, TOKEN_CYCLE
 
 
@@ -143,7 +143,7 @@ def _with(names: tuple[str, ...], body: str) -> str:
 
 
 def _text_of(html: str) -> str:
-    s = f"regexp_replace({html}, {_q(STRIP_PATTERN)}, '', 'g')"
+    s = f"regexp_replace({html}, {_q(STRIP_PATTERN_RE2)}, '', 'g')"
     for ent, ch in P.HTML_ENTITIES:
         s = f"replace({s}, {_q(ent)}, {_q(ch)})"
     return f"replace({s}, '&amp;', '&')"

@@ -135,6 +135,8 @@ HTML_CASES = [
     "<template><p>t</p></template>visible",
     "",
     "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>B</body></html>",
+    '<a title="x>y">t</a>',
+    "<img alt='a>b'>z<div onclick=\"if(a>b){go()}\">k</div>",
 ]
 
 
@@ -153,8 +155,8 @@ def test_html_text_equals_parser_on_landed_pages(spark):
     assert diff == 0
 
 
-def test_attribute_with_gt_needs_parser(spark):
-    html = '<a title="x>y">t</a>'
+def test_parser_fallback_udf(spark):
+    html = '<a title="x>y">t</a><script>x</script>'
     df = one(spark, html)
     assert df.select(html_to_text_parser(F.col("v"))).first()[0] == "t"
 
