@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,22 @@ def scan_kb_docs(spark: SparkSession, root: str, include_empty: bool = True) ->
 
 
 def _empty_files(spark: SparkSession, root: str, suffix: str) -> list[str]:
+    """Zero-byte ``*suffix`` files below ``root`` (file metadata only, never contents).
+
+    Local folders are listed in one native call; other file systems through
+    the Hadoop client the session already uses.
+    """
+    def keep(name: str) -> bool:
+        return name.endswith(suffix) and not name.startswith((".", "_"))
+
+    local = root[len("file:"):] if root.startswith("file:") else (root if "://" not in root else None)
+    if local is not None:
+        import pyarrow.fs as pafs
+
+        local = os.path.abspath("/" + local.lstrip("/") if local.startswith("//") else local)
+        infos = pafs.LocalFileSystem().get_file_info(pafs.FileSelector(local, recursive=True))
+        return [i.path for i in infos
+                if i.type == pafs.FileType.File and i.size == 0 and keep(i.base_name)]
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -75,7 +93,6 @@ def _empty_files(spark: SparkSession, root: str, suffix: str) -> list[str]:
     out = []
     while it.hasNext():
         st = it.next()
-        name = st.getPath().getName()
-        if st.getLen() == 0 and name.endswith(suffix) and not name.startswith((".", "_")):
+        if st.getLen() == 0 and keep(st.getPath().getName()):
             out.append(st.getPath().toUri().getPath())
     return out
