@@ -37,19 +37,24 @@ def planned_writes(url_lines: DataFrame, params: KbParams = DEFAULT, allowed_ori
 
 
 def build_kb(url_lines: DataFrame, pages: DataFrame, params: KbParams = DEFAULT,
-             allowed_origins: DataFrame | None = None) -> DataFrame:
+             allowed_origins: DataFrame | None = None, landing_order: str = "page_id") -> DataFrame:
     """R2: ``(path, url, host, text)`` -- one document per path, the last successful write wins.
 
     A url is written only if its page was landed (an inner join: unfetched
     urls go to :func:`unfetched`).  ``params.content_tag`` other than
     ``None`` extracts that region when the page has one (P6), else the page.
+    A url landed several times (re-crawls) contributes its latest landing by
+    ``landing_order``: the copies are reduced by url -- map-side first, on the
+    partitioning the join needs anyway -- so a url with many copies is
+    neither multiplied nor a hot join key.
     """
     writes = planned_writes(url_lines, params, allowed_origins)
     landed = writes.join(pages.select("url"), "url", "left_semi")
     winners = last_write_wins(landed.select("path", "ord", "url"), "path", "ord")
     tag = None if params.content_tag in (None, "", "page") else params.content_tag
-    texts = extract_text(pages.select("url", "html"), "html", "text", tag=tag)
-    return (winners.join(texts.select("url", "text"), "url")
+    texts = extract_text(pages.select("url", "html", landing_order), "html", "text", tag=tag)
+    latest = texts.groupBy("url").agg(F.max_by("text", landing_order).alias("text"))
+    return (winners.join(latest, "url")
             .select("path", "url", host_of(F.col("url")).alias("host"), "text"))
 
 

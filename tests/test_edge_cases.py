@@ -361,3 +361,16 @@ def test_request_json_key_order(spark):
                                  "repetition_penalty": 1.5}
     back = df.select(response_text(response_json(F.col("p"))).alias("r")).first().r
     assert back == 'say "hi"'
+
+
+def test_build_kb_keeps_latest_landing_of_a_url(spark):
+    from kbspark.plans.ingest import build_kb
+
+    lines = spark.createDataFrame([(1, "https://a.example/x.html"), (2, "https://a.example/y.html")],
+                                  "ord long, value string")
+    pages = spark.createDataFrame([(1, "https://a.example/x.html", "<p>old</p>"),
+                                   (5, "https://a.example/x.html", "<p>new</p>"),
+                                   (3, "https://a.example/y.html", "<p>y</p>")],
+                                  "page_id long, url string, html string")
+    got = {r.url: r.text for r in build_kb(lines, pages).collect()}
+    assert got == {"https://a.example/x.html": "new", "https://a.example/y.html": "y"}
