@@ -129,6 +129,11 @@ def html_to_text_parser(html) -> Column:
     def _extract(s):
         return s.map(parse_text)
 
+    from pyspark.sql import SparkSession
+
+    from kbspark.session import ship_package
+
+    ship_package(SparkSession.active())     # the UDF calls parse_text in the Python workers
     # Real (not postponed) annotations: the UDF kind is read from them.
     _extract.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return F.pandas_udf(_extract, "string")(_c(html))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kbspark.operators.topk import _SCORE_CELLS, _reduce
+from kbspark.session import ship_package
 
 
 def _probe_fn(centroids: np.ndarray, n_probe: int, metric: str):
@@ -96,6 +97,7 @@ def ivf_topk(questions: DataFrame, corpus: DataFrame, k: int = 5, n_lists: int |
     iterates over its input); every corpus row is still assigned and searched.
     """
     spark = questions.sparkSession
+    ship_package(spark)            # the scoring function runs in Python workers
     cs = corpus.select(F.col(c_id).alias("id"), F.col(c_vec).alias("cv"))
     n = cs.count()
     if n_lists is None:
