@@ -374,3 +374,28 @@ def test_build_kb_keeps_latest_landing_of_a_url(spark):
                                   "page_id long, url string, html string")
     got = {r.url: r.text for r in build_kb(lines, pages).collect()}
     assert got == {"https://a.example/x.html": "new", "https://a.example/y.html": "y"}
+
+
+def test_fallbacks_beyond_broadcast_bounds_give_same_results(spark):
+    from kbspark.plans.retrieve import lookup
+    from kbspark.sources import fixtures as X
+
+    docs = X.sitemaps(spark, SF_CHECK)
+    a = C.crawl(docs, X.ROOT_SITEMAP)
+    b = C.crawl(docs, X.ROOT_SITEMAP, broadcast_rows=0)        # shuffle joins at every level
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    small = X.kb_docs(spark, SF_CHECK).filter(F.col("doc_id") < 7).select("path")
+    table = X.kb_docs(spark, SF_CHECK).select("path", "text")
+    x = lookup(small, table, "path", n_keys=7)
+    y = lookup(small, table, "path", n_keys=7, broadcast_rows=0)
+    assert x.count() == y.count() == 7 and x.exceptAll(y).count() == 0
+
+
+def test_resolve_attempts_accept_last_response_option(spark):
+    log = spark.createDataFrame([("u", 1, 503, "e1"), ("u", 2, None, None), ("u", 3, 500, "e3"),
+                                 ("v", 1, None, None), ("w", 1, 503, "x"), ("w", 2, 200, "ok")],
+                                "url string, attempt int, status int, body string")
+    strict = {r.url: (r.attempt, r.outcome) for r in D.resolve_attempts(log).collect()}
+    assert strict == {"u": (3, "error_response"), "v": (None, "no_response"), "w": (2, "ok")}
+    loose = {r.url: r.outcome for r in D.resolve_attempts(log, accept_last_response=True).collect()}
+    assert loose == {"u": "accepted_error", "v": "no_response", "w": "ok"}
