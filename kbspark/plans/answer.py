@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.functions.prompts import prompt_for, strip_echo
-from kbspark.functions.requests import ENDPOINT_FIELDS, normalized_columns, shown_seconds
+from kbspark.functions.requests import normalized_columns, shown_seconds
 from kbspark.functions.urls import citation_link, path_to_citation, with_citation
 from kbspark.params import DEFAULT, KbParams
 from kbspark.plans.retrieve import retrieve_dot, retrieve_l2
 
 Generator = Callable[[DataFrame], DataFrame]
-MODES = ("none", "dot", "l2")
+MODES = ("none", "dot", "l2")     # no retrieval, dot-product collection, squared-L2 collection
+NO_RETRIEVAL, DOT, L2 = MODES
 
 
 def model_generator(make_predict: Callable, batch_size: int = 8) -> Generator:
@@ -58,13 +59,13 @@ def contexts(questions: DataFrame, corpus_dot: DataFrame, docs: DataFrame, corpu
     """
     extra = [c for c in (exclude_dot, exclude_l2) if c]
     keys = questions.select(q_id, "mode", "embedding", *extra)
-    none = keys.filter(F.col("mode") == "none").select(
+    none = keys.filter(F.col("mode") == NO_RETRIEVAL).select(
         q_id, F.lit("").alias("context"), F.lit(None).cast("string").alias("source"),
         F.lit(None).cast("string").alias("error"))
-    dot_q = keys.filter(F.col("mode") == "dot")
+    dot_q = keys.filter(F.col("mode") == DOT)
     dot = retrieve_dot(dot_q, corpus_dot, docs, params, q_id, exclude_dot).select(
         q_id, "context", F.col("path").alias("source"), "error")
-    l2_q = keys.filter(F.col("mode") == "l2")
+    l2_q = keys.filter(F.col("mode") == L2)
     l2 = retrieve_l2(l2_q, corpus_l2, q_id, exclude_l2, params=params).select(
         q_id, F.col("document").alias("context"), F.col("id").alias("source"),
         F.when(F.col("id").isNull(), F.lit("no match")).alias("error"))
@@ -115,5 +116,3 @@ def request_log_rows(scored: DataFrame) -> DataFrame:
     return scored.filter(F.col("error").isNull()).select(
         "prompt", "response", F.col("elapsed_s").alias("response_time_s"))
 
-
-ENDPOINT_ARGUMENTS = tuple(n for n, _, _ in ENDPOINT_FIELDS)
