@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import byte_bpe, line_quality, partenum, toxicity
+from kbspark.llm import byte_bpe, line_quality, mixing, partenum, toxicity
 from kbspark.sources.tables import load
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -42,9 +42,21 @@ def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_source_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.decide(load(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_line_quality": op2_line_quality,
     "op4_partenum_join": op4_partenum_join,
     "op5_toxicity": op5_toxicity,
+    "op7_source_mix": op7_source_mix,
+    "pipeline": pipeline,
 }
