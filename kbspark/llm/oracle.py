@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from kbspark.llm.line_quality import BOILERPLATE, LineRules
 from kbspark.llm.partenum import JoinParams
+from kbspark.llm.queries import URL_RULES
+from kbspark.llm.url_filter import LINK, URL, LinkParams
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -74,7 +76,56 @@ SELECT d.doc_id, coalesce(sized.n, 0)::BIGINT AS n_shingles,
 FROM d LEFT JOIN sized USING (doc_id) LEFT JOIN low USING (doc_id)"""
 
 
+_CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+           UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS t,
+             regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g') AS r FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), ''))
+           AS loss_sha256,
+       sum(length('<|im_start|>') + length(r) + 1 + length(t) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+def _url_filter(rules: list[tuple[str, str, str]], p: LinkParams = LinkParams()) -> str:
+    cases = sorted(rules, key=lambda r: (-len(r[1]) - len(r[2]), r[1:]))
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{x}')" for _, h, x in cases]
+    rule = " ".join(f"WHEN {f} THEN '{h}{x}'" for f, (_, h, x) in zip(fits, cases))
+    action = " ".join(f"WHEN {f} THEN '{a}'" for f, (a, _, _) in zip(fits, cases))
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+    host = low(f"coalesce(regexp_extract(url, '{URL}', 1), '')")
+    link = low("unnest(regexp_extract_all(html, '{}', 1))".format(LINK.replace("'", "''")))
+    rounds = "".join(f"""
+r{i + 1} AS (SELECT kind, host, sum(rank) AS rank FROM (
+      SELECT kind, host, rank * {1 - p.damping} AS rank FROM r0
+      UNION ALL SELECT w.kind, w.dst, r.rank * w.share * {p.damping} FROM r{i} r JOIN w ON w.kind = r.kind AND w.host = r.host)
+    GROUP BY kind, host),""" for i in range(p.rounds))
+    return rf"""
+WITH a AS (SELECT page_id, html, {host} AS host, coalesce(regexp_extract(url, '{URL}', 2), '') AS path FROM pages),
+b AS (SELECT *, CASE {rule} END AS rule, CASE {action} END AS action FROM a),
+s AS (SELECT host, count(*) FILTER (action = 'allow') AS allowed, count(*) FILTER (action = 'block') AS blocked
+      FROM b WHERE host <> '' GROUP BY host),
+r0 AS (SELECT * FROM (
+         SELECT 0 AS kind, host, allowed / nullif((SELECT sum(allowed) FROM s), 0) AS rank FROM s
+         UNION ALL SELECT 1, host, blocked / nullif((SELECT sum(blocked) FROM s), 0) FROM s) WHERE rank > 0),
+l AS (SELECT host AS src, {link} AS dst FROM a),
+e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND src <> dst GROUP BY src, dst),
+k AS (SELECT 0 AS kind, src AS host, dst, n FROM e UNION ALL SELECT 1, dst, src, n FROM e),
+w AS (SELECT kind, host, dst, n / sum(n) OVER (PARTITION BY kind, host) AS share FROM k),{rounds}
+v AS (SELECT host, coalesce(sum(rank) FILTER (kind = 0), 0) AS trust, coalesce(sum(rank) FILTER (kind = 1), 0) AS distrust
+      FROM r{p.rounds} GROUP BY host)
+SELECT page_id, b.host, path, rule, coalesce(action,
+         CASE WHEN round(distrust / nullif(trust + distrust, 0), 9) >= {p.threshold} THEN 'block' END, 'allow') AS verdict
+FROM b LEFT JOIN v ON v.host = b.host"""
+
+
 ORACLE = {
     "op2_line_quality": _line_quality(),
+    "op3_chat_format": _CHAT,
     "op4_partenum_join": _partenum(),
+    "op6_url_filter": _url_filter(URL_RULES),
 }
