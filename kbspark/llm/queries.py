@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import byte_bpe, chat, line_quality, mixing, partenum, toxicity, url_filter
+from kbspark.llm import byte_bpe, chat, line_quality, lsh_search, mixing, partenum, toxicity, url_filter
 from kbspark.sources.tables import load
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -65,6 +65,10 @@ def op7_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.decide(load(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_lsh_search(spark: SparkSession, d: str) -> DataFrame:
+    return lsh_search.search(load(spark, d, "embeddings"), F.col("id") % 20 == 0)
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,5 +83,6 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
     "op7_source_mix": op7_source_mix,
+    "op10_lsh_search": op10_lsh_search,
     "pipeline": pipeline,
 }
