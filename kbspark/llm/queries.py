@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import byte_bpe, chat, line_quality, lsh_search, mixing, partenum, toxicity, url_filter
+from kbspark.llm import (byte_bpe, chat, license_scan, line_quality, lsh_search, mixing, partenum, token_files, toxicity,
+                         url_filter)
+from kbspark.session import ensure_checkpoint_dir
 from kbspark.sources.tables import load
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -65,6 +67,16 @@ def op7_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.decide(load(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return license_scan.scan(load(spark, d, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    folder = token_files.new_folder(ensure_checkpoint_dir(spark))
+    token_files.write(load(spark, d, "documents"), folder, rank_file())
+    return token_files.scan(spark, folder)
+
+
 def op10_lsh_search(spark: SparkSession, d: str) -> DataFrame:
     return lsh_search.search(load(spark, d, "embeddings"), F.col("id") % 20 == 0)
 
@@ -83,6 +95,8 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
     "op7_source_mix": op7_source_mix,
+    "op8_license_scan": op8_license_scan,
+    "op9_token_counts": op9_token_counts,
     "op10_lsh_search": op10_lsh_search,
     "pipeline": pipeline,
 }
