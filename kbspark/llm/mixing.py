@@ -77,7 +77,7 @@ def apportion(df: DataFrame, group: list[str], order: list, weight: str, total:
     (about four a row) are ranked by their quotients ``weight / (2 q + 1)``.
     """
     all_ = Window.partitionBy(*group)
-    share = F.col(weight) / F.sum(weight).over(all_)
+    share = F.try_divide(F.col(weight), F.sum(weight).over(all_))
     n = F.count(F.lit(1)).over(all_)
     limit = F.when(F.col(weight) > 0, F.col(most)).otherwise(0)
 
@@ -128,7 +128,8 @@ def decide(df: DataFrame, p: MixParams = MixParams(), key: str = "doc_id", text:
     draw = F.xxhash64(F.lit(p.seed), "source", "shard")
     prime = F.element_at(F.array(*[F.lit(x).cast("long") for x in PRIMES]),
                          (F.pmod(draw, F.lit(len(PRIMES))) + 1).cast("int"))
-    rows = rows.withColumn("step", prime % F.col("n_blocks")).withColumn("turn", F.pmod(draw, F.col("n_blocks")))
+    some = F.greatest("n_blocks", F.lit(1))
+    rows = rows.withColumn("step", prime % some).withColumn("turn", F.pmod(draw, some))
     rows = rows.withColumn("spans", F.expr(f"""
         CASE WHEN size > 0 AND extra > 0 THEN transform(
             filter(sequence(start div {p.block}, (stop - 1) div {p.block}),
