@@ -46,19 +46,21 @@ def decode_entities(text) -> Column:
 def decode_numeric(text) -> Column:
     """Decimal and hex character references, then ``&amp;`` (always last)."""
     s = _c(text)
-    dec = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#([0-9]{1,7});"), 1))
-    hx = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#[xX]([0-9a-fA-F]{1,6});"), 1))
+    dec = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#([0-9]+);"), 1))
+    hx = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#[xX]([0-9a-fA-F]+);"), 1))
     out = F.aggregate(dec, s, lambda acc, n: F.replace(
-        acc, F.concat(F.lit("&#"), n, F.lit(";")), _codepoint(n.cast("int"))))
+        acc, F.concat(F.lit("&#"), n, F.lit(";")), _codepoint(n.try_cast("long"))))
     out = F.aggregate(hx, out, lambda acc, n: F.replace(
-        F.replace(acc, F.concat(F.lit("&#x"), n, F.lit(";")), _codepoint(F.conv(n, 16, 10).cast("int"))),
-        F.concat(F.lit("&#X"), n, F.lit(";")), _codepoint(F.conv(n, 16, 10).cast("int"))))
+        F.replace(acc, F.concat(F.lit("&#x"), n, F.lit(";")), _codepoint(F.conv(n, 16, 10).try_cast("long"))),
+        F.concat(F.lit("&#X"), n, F.lit(";")), _codepoint(F.conv(n, 16, 10).try_cast("long"))))
     return F.replace(F.when(s.contains("&#"), out).otherwise(s), F.lit("&amp;"), F.lit("&"))
 
 
 def _codepoint(n: Column) -> Column:
-    """String of one Unicode code point (big-endian UTF-32 bytes decoded)."""
-    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    """String of one Unicode code point (big-endian UTF-32 bytes decoded); U+FFFD for a number that is none."""
+    valid = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    code = F.when(F.coalesce(valid, F.lit(False)), n).otherwise(F.lit(0xFFFD)).cast("int")
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
 
 def strip_tags(html) -> Column:

@@ -56,12 +56,14 @@ def url_to_path(url, base: str = P.BASE_PATH, drop_html: bool = True) -> Column:
 
     Every ``http:/`` and ``https:/`` is removed, ``/`` stripped at both ends,
     runs of ``/`` collapse, last segment + ``.txt`` under ``base``.  Query
-    strings and fragments stay in the name.
+    strings and fragments stay in the name.  A path with a ``..`` segment
+    would leave the base folder; it is rejected (null).
     """
     u = drop_html_suffix(url) if drop_html else _c(url)
     s = F.replace(F.replace(u, F.lit("http:/"), F.lit("")), F.lit("https:/"), F.lit(""))
     s = F.regexp_replace(F.regexp_replace(s, "^/+|/+$", ""), "/+", "/")
-    return F.concat(F.lit(base.rstrip("/")), F.lit("/"), s, F.lit(".txt"))
+    path = F.concat(F.lit(base.rstrip("/")), F.lit("/"), s, F.lit(".txt"))
+    return F.when(~path_has_parent_ref(s), path)
 
 
 def path_has_parent_ref(path) -> Column:

@@ -39,21 +39,18 @@ def classify_links(links: DataFrame, col: str = "child") -> DataFrame:
     return links.withColumn("kind", classify_link(F.col(col))).filter(F.col("kind").isNotNull())
 
 
-def crawl(docs: DataFrame, root: str, max_depth: int = 64, broadcast_rows: int = 1_000_000) -> DataFrame:
+def crawl(docs: DataFrame, root: str) -> DataFrame:
     """Every page and sitemap reachable from ``root``, at its smallest depth.
 
     Set semantics: a sitemap is expanded once even when several sitemaps (or a
     cycle) lead to it.  Each level's frontier is checkpointed to the shared
     checkpoint folder so lineage stays short and a lost executor only repeats
-    one level.  Reaching ``max_depth`` with work left raises instead of
-    silently truncating.
+    one level.  The visited set ends the walk, however long a chain of
+    sitemaps is.
 
     Skew: one sitemap may hold a large share of all links.  The link table
-    keeps its scan partitioning (it is not hashed by parent), and each
-    level's frontier -- whose row count is known from its checkpoint -- is
-    broadcast when it has at most ``broadcast_rows`` urls, so every task
-    reads its own share of links.  Larger frontiers use a shuffle join, whose
-    skewed partitions AQE splits.
+    is joined without a hint: adaptive execution broadcasts a frontier of few
+    bytes and splits the skewed partitions of larger joins.
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
@@ -62,12 +59,9 @@ def crawl(docs: DataFrame, root: str, max_depth: int = 64, broadcast_rows: int =
     frontier = spark.createDataFrame([(root, "sitemap", 0)], "url string, kind string, depth int")
     visited = frontier.select("url")
     reached = [frontier]
-    width = 1
     depth = 0
     while True:
         parents = frontier.filter(F.col("kind") == "sitemap").select(F.col("url").alias("parent"))
-        if width <= broadcast_rows:
-            parents = F.broadcast(parents)
         nxt = (links.join(parents, "parent")
                .select(F.col("child").alias("url"), "kind").distinct()
                .withColumn("depth", F.lit(depth + 1)))
@@ -76,12 +70,9 @@ def crawl(docs: DataFrame, root: str, max_depth: int = 64, broadcast_rows: int =
         level = pages.unionByName(new_maps).checkpoint(eager=True)
         reached.append(level)
         frontier = level.filter(F.col("kind") == "sitemap")
-        width = frontier.count()
-        if width == 0:
+        if frontier.isEmpty():
             break
         depth += 1
-        if depth >= max_depth:
-            raise RuntimeError(f"sitemap crawl still growing at depth {max_depth}")
         # A union of checkpointed levels: short lineage without another write.
         visited = visited.unionByName(frontier.select("url"))
     out = reached[0]

@@ -46,8 +46,8 @@ def resolve_attempts(log: DataFrame, key: str = "url", accept_last_response: boo
     ok = F.col("status") == 200
     # Smaller is better: first success, else latest response; raised attempts
     # have no rank and are skipped by ``min_by``.  One aggregate, one shuffle.
-    rank = (F.when(F.col("status").isNull(), F.lit(None))
-            .when(ok, F.col("attempt")).otherwise(F.lit(1 << 20) - F.col("attempt")))
+    rank = F.when(F.col("status").isNotNull(), F.struct(
+        (~ok).cast("int").alias("failed"), F.when(ok, F.col("attempt")).otherwise(-F.col("attempt")).alias("turn")))
     out = (log.groupBy(key)
            .agg(F.min_by(F.struct("attempt", "status", "body"), rank).alias("_b"))
            .select(key, "_b.attempt", "_b.status", "_b.body"))

@@ -93,9 +93,9 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def get_or_create(spark: SparkSession, path: str, schema: T.StructType = VECTOR_SCHEMA) -> DataFrame:
     """K6: the collection at ``path``; created empty with ``schema`` on first use."""
-    if not _exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+    if not _exists(spark, path):       # an existing folder is never overwritten by a read
         empty = spark.createDataFrame([], schema).withColumn("bucket", F.lit(0).cast("int"))
-        empty.write.mode("overwrite").partitionBy("bucket").parquet(path)
+        empty.write.mode("ignore").partitionBy("bucket").parquet(path)
     return _read(spark, path, schema).select(*schema.fieldNames())
 
 

@@ -82,9 +82,9 @@ class KbParams:
     content_tag: str | None = None   # None = whole page (the original wrote the whole page text)
     max_crawl_depth: int = 64
     relevance_threshold: float = 0.3
-    # Largest question block (bytes of float32 vectors) shipped to every task
-    # of a top-k search; larger question sets are cut into blocks.
-    max_broadcast_bytes: int = 64 * 1024 * 1024
+    # Rows of a block of an exact top-k search.
+    question_block: int = 2048
+    corpus_block: int = 8192
     token_choices: tuple = field(default=TOKEN_CHOICES)
 
 

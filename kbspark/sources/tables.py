@@ -59,7 +59,8 @@ def scan_kb_docs(spark: SparkSession, root: str, include_empty: bool = True) ->
     """
     texts = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
              .text(root, wholetext=True)
-             .select(F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "").alias("path"),
+             .select(F.url_decode(F.replace(
+                         F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", ""), F.lit("+"), F.lit("%2B"))).alias("path"),
                      F.regexp_replace("value", "\r\n?", "\n").alias("text")))
     if not include_empty:
         return texts

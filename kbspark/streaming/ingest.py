@@ -26,12 +26,9 @@ KB_SCHEMA = T.StructType([
 ])
 
 
-def pages_stream(spark: SparkSession, path: str, max_files: int = 1, dedup_delay: str = "1 hour") -> DataFrame:
-    """Landed pages as a stream, one row per url within the dedup delay."""
-    src = landed_stream(spark, path, max_files)
-    return (src.withColumn("landed_at", F.current_timestamp())
-            .withWatermark("landed_at", dedup_delay)
-            .dropDuplicatesWithinWatermark(["url"]))
+def pages_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Landed pages as a stream; the merge by path (:func:`run_ingest`) keeps the latest landing of a page."""
+    return landed_stream(spark, path, max_files)
 
 
 def kb_rows(pages: DataFrame, epoch: int, params: KbParams = DEFAULT) -> DataFrame:

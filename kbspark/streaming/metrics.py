@@ -23,7 +23,7 @@ def windowed_metrics(log: DataFrame, ts: str = "ts", kind: str = "kind", value:
                       "avg_s", "max_s", "p50_s", "p95_s")
 
 
-def events_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+def events_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """The landed request log as a stream: ``(ts timestamp, kind, response_time_s)``."""
     src = landed_stream(spark, path, max_files)
     return src.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"),

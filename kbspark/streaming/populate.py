@@ -33,7 +33,7 @@ def vector_records(docs: DataFrame, params: KbParams = DEFAULT, version=None, ma
                     v.alias("version"))
 
 
-def docs_stream(spark: SparkSession, path: str, base: str, max_files: int = 1) -> DataFrame:
+def docs_stream(spark: SparkSession, path: str, base: str, max_files: int | None = None) -> DataFrame:
     """Landed documents as a stream of ``(path, text)`` placed under ``base``."""
     src = landed_stream(spark, path, max_files)
     p = F.concat(F.lit(base.rstrip("/") + "/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))

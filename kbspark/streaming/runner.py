@@ -20,14 +20,18 @@ def stream_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def landed_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+def landed_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """A landing folder (or one landed file) as a file stream with the landed schema.
 
-    File streams watch folders; a single file is watched through its folder
+    By default one ``availableNow`` batch takes all landed files, so that the
+    watermark cannot pass rows of files that are still waiting; ``max_files``
+    bounds a batch where files land in event-time order.  File streams watch folders; a single file is watched through its folder
     with a file-name filter.
     """
     schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     if path.rstrip("/").endswith(".parquet"):
         folder, name = path.rstrip("/").rsplit("/", 1)
         return reader.option("pathGlobFilter", name).parquet(folder)

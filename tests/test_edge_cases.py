@@ -17,7 +17,7 @@ from kbspark.operators import crawl as C
 from kbspark.operators import dedup as D
 from kbspark.operators import store as K
 from kbspark.operators.embed import mean_pool
-from kbspark.operators.topk import topk
+from kbspark.operators.topk import misfits, topk
 from kbspark.sources.tables import load, read_url_list, scan_kb_docs
 
 
@@ -116,11 +116,39 @@ def test_crawl_cycle_and_errors(spark):
     assert errs == [("loc", "a.xml", "empty_loc x1"), ("sitemap", "gone.xml", "not_fetched")]
 
 
-def test_crawl_depth_bound_raises(spark):
-    chain = [(f"s{i}.xml", 200, f"<urlset><url><loc>s{i + 1}.xml</loc></url></urlset>") for i in range(6)]
+def test_crawl_follows_a_long_chain(spark):
+    chain = [(f"s{i}.xml", 200, f"<urlset><url><loc>s{i + 1}.xml</loc></url></urlset>") for i in range(12)]
     docs = spark.createDataFrame(chain, "url string, status int, xml string")
-    with pytest.raises(RuntimeError):
-        C.crawl(docs, "s0.xml", max_depth=3)
+    assert C.crawl(docs, "s0.xml").agg(F.max("depth")).first()[0] == 12
+
+
+def test_topk_one_odd_question_leaves_the_others_their_answers(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, None), (4, [0.0, 1.0])],
+                              "qid long, embedding array<float>")
+    corpus = spark.createDataFrame([(7, [1.0, 0.5]), (8, [0.0, 1.0])], "id long, embedding array<float>")
+    got = sorted((r.qid, r.rank, r.id) for r in topk(q, corpus, k=2).collect())
+    assert got == [(1, 1, 7), (1, 2, 8), (4, 1, 8), (4, 2, 7)]
+    assert [tuple(r) for r in misfits(q, 2, "qid").orderBy("qid").collect()] == [(2, 3), (3, -1)]
+
+
+def test_numeric_references_that_are_no_characters(spark):
+    df = spark.createDataFrame([("<p>a&#9999999;b&#xD800;c&#0;d&#99999999999999999999;e&#65;&#x42;</p>",)], "html string")
+    assert extract_text(df).first().text == "a\ufffdb\ufffdc\ufffdd\ufffdeAB"
+
+
+def test_paths_that_leave_the_base_are_rejected(spark):
+    df = spark.createDataFrame([("https://h/../../etc/x.html",), ("https://h/a..b/x.html",)], "u string")
+    assert [r.p for r in df.select(U.url_to_path(F.col("u")).alias("p")).collect()] == [None, "/data/kb/h/a..b/x.txt"]
+
+
+def test_collection_without_a_marker_keeps_its_rows(spark, tmp_path):
+    root = str(tmp_path / "c")
+    rows = spark.createDataFrame([(str(i), [1.0], {"a": "b"}, "d", 0) for i in range(3)], K.VECTOR_SCHEMA)
+    K.upsert_into(spark, root, rows)
+    (tmp_path / "c" / "_SUCCESS").unlink()
+    assert K.get_or_create(spark, root).count() == 3
+    K.upsert_into(spark, root, rows.limit(1))
+    assert K.get_or_create(spark, root).count() == 3
 
 
 # --- html -----------------------------------------------------------------------------------------
@@ -245,7 +273,7 @@ def test_topk_equals_brute_force(spark):
     qs = emb.select(F.col("vec_id").alias("qid"), "embedding")
     corpus = emb.select(F.col("vec_id").alias("id"), "embedding")
     n = corpus.count()
-    got = topk(qs, corpus, k=n, exclude="qid", max_broadcast_bytes=64 * 1024).collect()
+    got = topk(qs, corpus, k=n, exclude="qid", question_block=40, corpus_block=70).collect()
     pdf = emb.toPandas()
     M = np.stack(pdf.embedding.to_numpy()).astype(np.float64)
     ids = pdf.vec_id.to_numpy()
@@ -382,12 +410,12 @@ def test_fallbacks_beyond_broadcast_bounds_give_same_results(spark):
 
     docs = X.sitemaps(spark, SF_CHECK)
     a = C.crawl(docs, X.ROOT_SITEMAP)
-    b = C.crawl(docs, X.ROOT_SITEMAP, broadcast_rows=0)        # shuffle joins at every level
+    b = C.crawl(docs.repartition(3), X.ROOT_SITEMAP)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     small = X.kb_docs(spark, SF_CHECK).filter(F.col("doc_id") < 7).select("path")
     table = X.kb_docs(spark, SF_CHECK).select("path", "text")
-    x = lookup(small, table, "path", n_keys=7)
-    y = lookup(small, table, "path", n_keys=7, broadcast_rows=0)
+    x = lookup(small, table, "path")
+    y = lookup(F.broadcast(small), table, "path")
     assert x.count() == y.count() == 7 and x.exceptAll(y).count() == 0
 
 
