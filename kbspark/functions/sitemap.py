@@ -1,52 +1,52 @@
-"""Sitemap XML column functions (P1): gate malformed documents, then read every ``loc``."""
-
-from __future__ import annotations
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-# ``name()='loc'`` matches the sitemap's default-namespace ``<loc>`` and not
-# ``image:loc``; ``//`` finds it at any depth.
-SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
-LOC_TEXT_XPATH = "//*[name()='loc']/text()"
-LOC_NODE_XPATH = "//*[name()='loc']"
-_CORRUPT = "_corrupt_record"
+"""Sitemap XML (P1): a document's state and links, read by one tree parser.
 
+One document is the unit of work; Arrow batches of documents go through the
+standard library's parser, so the gate (is it well-formed?) and the reading of
+links can never disagree.
+"""
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
-def is_wellformed(xml) -> Column:
-    """True when the body parses as XML (``from_xml`` in permissive mode flags the rest).
+import pyarrow as pa
 
-    ``xpath`` on a malformed body fails the whole query, so every body goes
-    through this gate first.
-    """
-    parsed = F.from_xml(_c(xml), f"{_CORRUPT} string",
-                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    return _c(xml).isNotNull() & parsed[_CORRUPT].isNull()
+SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
+PARSED_SCHEMA = "url string, state string, locs array<string>, empty_locs int"
 
 
-def unprefix_locs(xml, ns: str = SITEMAP_NS) -> Column:
-    """Rewrite ``<P:loc>`` to ``<loc>`` where prefix ``P`` is bound to the sitemap namespace.
+def read_locs(xml: str, ns: str = SITEMAP_NS) -> tuple[list[str], int] | None:
+    """``(texts of the loc elements of namespace ns, loc elements without text)``; None when malformed.
 
-    The XPath engine is not namespace-aware and its path must be a constant,
-    so a document that writes the sitemap namespace with a prefix is
-    normalised first; ``loc`` elements of other namespaces (``image:loc``)
-    are left alone.
+    A leading byte-order mark is skipped; comments and CDATA marks inside an
+    element do not split its text; an empty ``ns`` asks for elements of no namespace.
     """
-    x = _c(xml)
-    prefix = F.regexp_extract(x, r"xmlns:([A-Za-z_][\w.-]*)\s*=\s*[\"']" + ns.replace(".", r"\.") + r"[\"']", 1)
-    pattern = F.concat(F.lit(r"(</?)\Q"), prefix, F.lit(r"\E:loc\b"))
-    return F.when(prefix != "", F.regexp_replace(x, pattern, F.lit("$1loc"))).otherwise(x)
-
-
-def loc_texts(xml) -> Column:
-    """Text of every sitemap ``loc`` element, in document order (call only on gated bodies)."""
-    return F.xpath(unprefix_locs(xml), F.lit(LOC_TEXT_XPATH))
-
-
-def empty_loc_count(xml) -> Column:
-    """``loc`` elements without text (their ``.text`` is None in a tree parser)."""
-    return F.size(F.xpath(unprefix_locs(xml), F.lit(LOC_NODE_XPATH))) - F.size(loc_texts(xml))
+    try:
+        root = ElementTree.fromstring(xml.removeprefix("\ufeff"))
+    except (ElementTree.ParseError, ValueError):
+        return None
+    texts = [e.text for e in root.iter(f"{{{ns}}}loc" if ns else "loc")]
+    locs = [t for t in texts if t]
+    return locs, len(texts) - len(locs)
+
+
+def parse_documents(batches: Iterator[pa.RecordBatch], ns: str = SITEMAP_NS) -> Iterator[pa.RecordBatch]:
+    """Batches of ``(url, status, xml)`` -> :data:`PARSED_SCHEMA`; one bad document is a state, never a failure."""
+    for batch in batches:
+        states, locs, empty = [], [], []
+        for status, xml in zip(batch.column("status").to_pylist(), batch.column("xml").to_pylist()):
+            found = None
+            if status is not None and status != 200:
+                state = f"http_{status}"
+            elif xml is None:
+                state = "empty"
+            else:
+                found = read_locs(xml, ns)
+                state = "malformed" if found is None else "ok"
+            states.append(state)
+            locs.append(found[0] if found else [])
+            empty.append(found[1] if found else 0)
+        yield pa.RecordBatch.from_pydict({
+            "url": batch.column("url"), "state": pa.array(states, pa.string()),
+            "locs": pa.array(locs, pa.list_(pa.string())), "empty_locs": pa.array(empty, pa.int32())})

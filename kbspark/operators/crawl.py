@@ -10,28 +10,29 @@ take part in the visited-set anti join.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.functions.sitemap import empty_loc_count, is_wellformed, loc_texts
+from kbspark.functions.sitemap import PARSED_SCHEMA, SITEMAP_NS, parse_documents
 from kbspark.functions.urls import classify_link
 from kbspark.session import ensure_checkpoint_dir
 
 
-def document_state(docs: DataFrame) -> DataFrame:
-    """``(url, state)`` per landed sitemap body: ``ok``, ``http_<status>`` or ``malformed``."""
-    state = (F.when(F.col("status") != 200, F.concat(F.lit("http_"), F.col("status").cast("string")))
-             .when(F.col("xml").isNull(), F.lit("empty"))
-             .when(~is_wellformed(F.col("xml")), F.lit("malformed"))
-             .otherwise(F.lit("ok")))
-    return docs.select("url", state.alias("state"), "xml")
+def document_state(docs: DataFrame, ns: str = SITEMAP_NS) -> DataFrame:
+    """``(url, state, locs, empty_locs)`` per landed sitemap body, each parsed once.
+
+    ``state`` is ``ok``, ``http_<status>``, ``empty`` (no body) or ``malformed``;
+    ``locs`` are the texts of the ``loc`` elements of namespace ``ns``.
+    """
+    return (docs.select("url", "status", "xml")
+            .mapInArrow(functools.partial(parse_documents, ns=ns), PARSED_SCHEMA))
 
 
-def extract_locs(docs: DataFrame) -> DataFrame:
+def extract_locs(docs: DataFrame, ns: str = SITEMAP_NS) -> DataFrame:
     """``(parent, pos, child)`` for every ``loc`` of every well-formed document (status 200)."""
-    ok = document_state(docs).filter(F.col("state") == "ok")
-    return ok.select(F.col("url").alias("parent"),
-                     F.posexplode(loc_texts(F.col("xml"))).alias("pos", "child"))
+    return document_state(docs, ns).select(F.col("url").alias("parent"), F.posexplode("locs").alias("pos", "child"))
 
 
 def classify_links(links: DataFrame, col: str = "child") -> DataFrame:
@@ -39,7 +40,7 @@ def classify_links(links: DataFrame, col: str = "child") -> DataFrame:
     return links.withColumn("kind", classify_link(F.col(col))).filter(F.col("kind").isNotNull())
 
 
-def crawl(docs: DataFrame, root: str) -> DataFrame:
+def crawl(docs: DataFrame, root: str, ns: str = SITEMAP_NS) -> DataFrame:
     """Every page and sitemap reachable from ``root``, at its smallest depth.
 
     Set semantics: a sitemap is expanded once even when several sitemaps (or a
@@ -55,7 +56,7 @@ def crawl(docs: DataFrame, root: str) -> DataFrame:
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     # Parsed once and checkpointed: every level reads the links, none re-parses XML.
-    links = classify_links(extract_locs(docs)).select("parent", "child", "kind").checkpoint(eager=True)
+    links = classify_links(extract_locs(docs, ns)).select("parent", "child", "kind").checkpoint(eager=True)
     frontier = spark.createDataFrame([(root, "sitemap", 0)], "url string, kind string, depth int")
     visited = frontier.select("url")
     reached = [frontier]
@@ -81,21 +82,19 @@ def crawl(docs: DataFrame, root: str) -> DataFrame:
     return out.groupBy("url", "kind").agg(F.min("depth").alias("depth"))
 
 
-def crawl_errors(docs: DataFrame, reached: DataFrame) -> DataFrame:
+def crawl_errors(docs: DataFrame, reached: DataFrame, ns: str = SITEMAP_NS) -> DataFrame:
     """The error lane of a crawl, ``(stage, key, message)``.
 
     A reached sitemap that has no landed body, a non-200 status or a malformed
     body; and each well-formed body with ``loc`` elements that carry no text.
     """
     maps = reached.filter(F.col("kind") == "sitemap").select("url")
-    state = document_state(docs)
+    state = document_state(docs, ns)
     fetched = (maps.join(state.select("url", "state"), "url", "left")
                .filter(F.col("state").isNull() | (F.col("state") != "ok"))
                .select(F.lit("sitemap").alias("stage"), F.col("url").alias("key"),
                        F.coalesce(F.col("state"), F.lit("not_fetched")).alias("message")))
-    empty = (maps.join(state.filter(F.col("state") == "ok"), "url")
-             .select("url", empty_loc_count(F.col("xml")).alias("n"))
-             .filter(F.col("n") > 0)
+    empty = (maps.join(state.select("url", F.col("empty_locs").alias("n")).filter(F.col("n") > 0), "url")
              .select(F.lit("loc").alias("stage"), F.col("url").alias("key"),
                      F.concat(F.lit("empty_loc x"), F.col("n").cast("string")).alias("message")))
     return fetched.unionByName(empty)

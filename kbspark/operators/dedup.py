@@ -1,7 +1,7 @@
 """First-wins, last-wins and retry resolution.
 
-All three are keyed reductions written as hash aggregates (``min_by`` /
-``max_by`` / ``min``), not windows: the partial aggregate runs before the
+All three are keyed reductions written as aggregates (``min_by`` /
+``max_by`` / ``min``; over structs Spark plans sort aggregates), not windows: the partial aggregate runs before the
 shuffle, so a key that holds a third of all rows is reduced map-side to one
 row per task instead of being sorted in one task.
 """
@@ -34,23 +34,25 @@ def collisions(df: DataFrame, key: str = "path", item: str = "url") -> DataFrame
             .filter(F.col("writers") > 1))
 
 
-def resolve_attempts(log: DataFrame, key: str = "url", accept_last_response: bool = False) -> DataFrame:
+def resolve_attempts(log: DataFrame, key: str = "url", accept_last_response: bool = False,
+                     with_body: bool = True) -> DataFrame:
     """Outcome of up to N fetch attempts per ``key``.
 
     ``log`` has ``attempt``, ``status`` (null = the attempt raised) and ``body``.
     The first attempt with status 200 wins; without one, the last response
     is kept.  ``outcome`` is ``ok``, ``error_response`` or ``no_response``; with
     ``accept_last_response`` the error response counts as the page (the
-    original's behaviour), otherwise it goes to the error lane.
+    original's behaviour), otherwise it goes to the error lane.  Without
+    ``with_body`` only keys are read and shuffled, no page bodies.
     """
     ok = F.col("status") == 200
     # Smaller is better: first success, else latest response; raised attempts
     # have no rank and are skipped by ``min_by``.  One aggregate, one shuffle.
     rank = F.when(F.col("status").isNotNull(), F.struct(
         (~ok).cast("int").alias("failed"), F.when(ok, F.col("attempt")).otherwise(-F.col("attempt")).alias("turn")))
-    out = (log.groupBy(key)
-           .agg(F.min_by(F.struct("attempt", "status", "body"), rank).alias("_b"))
-           .select(key, "_b.attempt", "_b.status", "_b.body"))
+    kept = ["attempt", "status", *(["body"] if with_body else [])]
+    out = (log.groupBy(key).agg(F.min_by(F.struct(*kept), rank).alias("_b"))
+           .select(key, *[f"_b.{c}" for c in kept]))
     outcome = (F.when(F.col("status").isNull(), F.lit("no_response"))
                .when(F.col("status") == 200, F.lit("ok"))
                .otherwise(F.lit("accepted_error" if accept_last_response else "error_response")))

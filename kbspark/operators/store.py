@@ -1,7 +1,7 @@
 """Vector collections and their upsert policies (K3-K7, A1).
 
-Plain Parquet has no MERGE; the merge is a keyed aggregate and the write
-replaces only the hash buckets a batch touches (see :func:`upsert_into`).
+Plain Parquet has no MERGE; a batch is added as it is and reading keeps the
+newest row of every key (see :func:`upsert_into`).
 Upsert policies:
 
 * ``replace`` (K4): insert or replace by id; the newest version wins.
@@ -10,6 +10,8 @@ Upsert policies:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +28,7 @@ VECTOR_SCHEMA = T.StructType([
 def upsert_replace(old: DataFrame, new: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
     """K4: union of stored and incoming rows, one row per id, highest ``version`` wins.
 
-    Within one version the incoming row wins over the stored one.  A hash
+    Within one version the incoming row wins over the stored one.  The
     aggregate (``max_by``) keeps the shuffle to one row per id per task.
     """
     cols = [c for c in old.columns]
@@ -67,72 +69,136 @@ def count_records(collection: DataFrame) -> DataFrame:
 
 # --- collections on disk ------------------------------------------------------------------------
 #
-# A collection is a Parquet folder partitioned by ``bucket = pmod(xxhash64(key), B)``.
-# An upsert reads only the buckets the batch touches, merges them with the
-# batch, checkpoints the merge (so it no longer reads the files it replaces)
-# and overwrites just those buckets (dynamic partition overwrite).  Work per
-# batch grows with the batch and the buckets it touches, not the collection.
+# A collection is a folder of Parquet batches that are only ever added, and ``_commits``, one small file per batch
+# that counts, in order.  A batch exists for readers once its commit file does, so a write that breaks off leaves
+# nothing behind that a reader sees, and files a reader holds are never overwritten.  Rows carry their commit number;
+# reading keeps the newest row of every key.  ``compact`` writes that state as one new batch from which readers start.
+
+COMMIT = "_commit"
+
 
-DEFAULT_BUCKETS = 64
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def bucket_of(key: str, buckets: int = DEFAULT_BUCKETS):
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+def commits(spark: SparkSession, path: str) -> list[list[str]]:
+    """``[number, kind, folder or dimension]`` of the commits of a collection, in order (kinds: create, add, base)."""
+    log, fs = _path(spark, f"{path}/_commits")
+    if not fs.exists(log):
+        return []
+    return sorted(st.getPath().getName().split("_", 2) for st in fs.listStatus(log))
+
 
+def _commit(spark: SparkSession, path: str, number: int, kind: str, what: str) -> None:
+    """Add commit ``number``; a name says all, so the file is empty and appears at once."""
+    _, fs = _path(spark, path)
+    if any(int(n) >= number for n, _, _ in commits(spark, path)):
+        raise RuntimeError(f"another writer has changed {path}; repeat the upsert")
+    name, _ = _path(spark, f"{path}/_commits/{number:010d}_{kind}_{what}")
+    fs.create(name, False).close()
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
+def next_version(spark: SparkSession, path: str) -> int:
+    """A number that grows with every batch of the collection, for versions of incoming rows."""
+    return len(commits(spark, path)) + 1
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    full = T.StructType(list(schema.fields) + [T.StructField("bucket", T.IntegerType())])
-    return spark.read.schema(full).parquet(path)
 
+def declared_dim(spark: SparkSession, path: str) -> int | None:
+    """The vector size that the collection was created with, if any."""
+    return next((int(what) for _, kind, what in commits(spark, path) if kind == "create" and what != "any"), None)
 
-def get_or_create(spark: SparkSession, path: str, schema: T.StructType = VECTOR_SCHEMA) -> DataFrame:
-    """K6: the collection at ``path``; created empty with ``schema`` on first use."""
-    if not _exists(spark, path):       # an existing folder is never overwritten by a read
-        empty = spark.createDataFrame([], schema).withColumn("bucket", F.lit(0).cast("int"))
-        empty.write.mode("ignore").partitionBy("bucket").parquet(path)
-    return _read(spark, path, schema).select(*schema.fieldNames())
 
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows of the batches since the last compaction, with their commit number."""
+    log = commits(spark, path)
+    base = max((i for i, c in enumerate(log) if c[1] == "base"), default=0)
+    folders = [f"{path}/{what}" for _, kind, what in log[base:] if kind != "create"]
+    full = T.StructType(list(schema.fields) + [T.StructField(COMMIT, T.LongType())])
+    if not folders:
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(*folders)
 
-def upsert_into(spark: SparkSession, path: str, batch: DataFrame, policy: str = "replace", key: str = "id",
-                schema: T.StructType = VECTOR_SCHEMA, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """K4/K5 on disk: merge ``batch`` into the collection at ``path`` by ``key``.
 
-    ``policy`` is ``replace`` (newest ``version`` wins, the batch wins ties) or
-    ``ignore`` (stored rows kept, new keys added; first row per key in the
-    batch).  Idempotent: replaying a batch rewrites the same rows.
+def _newest(rows: DataFrame, key: str) -> DataFrame:
+    rest = [c for c in rows.columns if c != key]
+    order = F.struct(*[c for c in ("version", COMMIT) if c in rows.columns])
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_b")).select(key, "_b.*")
+
+
+def get_or_create(spark: SparkSession, path: str, schema: T.StructType = VECTOR_SCHEMA, key: str | None = None,
+                  dim: int | None = None) -> DataFrame:
+    """K6: the collection at ``path``; created empty on first use, for vectors of size ``dim`` (None: any).
+
+    Nothing that exists is overwritten.  ``key`` is the schema's first column unless named.
+    """
+    if not commits(spark, path):
+        _commit(spark, path, 1, "create", "any" if dim is None else str(dim))
+    found = declared_dim(spark, path)
+    if dim is not None and found is not None and found != dim:
+        raise ValueError(f"{path} holds vectors of size {found}, not {dim}")
+    return _newest(_stored(spark, path, schema), key or schema.fieldNames()[0]).select(*schema.fieldNames())
+
+
+def rejects(spark: SparkSession, path: str, schema: T.StructType = VECTOR_SCHEMA) -> DataFrame:
+    """V4: rows that upserts did not take, their vector not being of the collection's size."""
+    folder, fs = _path(spark, f"{path}/_rejects")
+    if not fs.exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/_rejects")
+
+
+def upsert_into(spark: SparkSession, path: str, batch: DataFrame, policy: str = "replace", key: str | None = None,
+                schema: T.StructType = VECTOR_SCHEMA, dim: int | None = None, vec: str = "embedding") -> DataFrame:
+    """K4/K5 on disk: add ``batch`` to the collection at ``path`` by ``key``.
+
+    ``policy`` is ``replace`` (newest ``version`` wins, the later batch wins ties, the last row inside a batch) or
+    ``ignore`` (stored rows kept, new keys added; the first row per key inside a batch, by its place in the batch).
+    Only the batch is written; ``ignore`` reads the stored keys, ``replace`` nothing.  Replaying a batch changes no
+    row.  In a collection of a declared size, other vectors go to :func:`rejects`.
     """
-    get_or_create(spark, path, schema)
-    cols = schema.fieldNames()
-    incoming = batch.select(*cols).withColumn("bucket", bucket_of(key, buckets))
-    # At most ``buckets`` small ints: a bounded list, applied as a static
-    # partition filter so only the touched bucket folders are listed and read.
-    touched = sorted(r[0] for r in incoming.select("bucket").distinct().collect())
-    if not touched:
-        return get_or_create(spark, path, schema)
-    stored = _read(spark, path, schema).filter(F.col("bucket").isin(touched))
-    old, new = stored.drop("bucket"), incoming.drop("bucket")
-    merged = upsert_replace(old, new, key) if policy == "replace" else upsert_ignore(old, new, key)
-    merged = merged.withColumn("bucket", bucket_of(key, buckets)).checkpoint(eager=True)
-    (merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(path))
-    return get_or_create(spark, path, schema)
+    key = key or schema.fieldNames()[0]
+    get_or_create(spark, path, schema, key, dim)
+    dim = declared_dim(spark, path)
+    number = int(commits(spark, path)[-1][0]) + 1
+    rows = batch.select(*schema.fieldNames())
+    if dim is not None and vec in rows.columns:
+        fits = F.coalesce(F.size(vec) == dim, F.lit(False))
+        rows = rows.checkpoint()              # read twice, and the batch may be costly to make (an embedder)
+        (rows.filter(~fits).write.parquet(f"{path}/_rejects/{number:010d}-{uuid.uuid4().hex}"))
+        rows = rows.filter(fits)
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    if policy == "replace":
+        order = F.struct(*[c for c in ("version", "_at") if c in placed.columns])
+        rest = [c for c in placed.columns if c != key]
+        new = placed.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_b")).select(key, "_b.*")
+    else:
+        new = (dedup_batch_first(placed, key, "_at")
+               .join(_stored(spark, path, schema).select(key).distinct(), key, "left_anti"))
+    folder = f"batch-{uuid.uuid4().hex}"
+    (new.select(*schema.fieldNames()).withColumn(COMMIT, F.lit(number).cast("long"))
+     .write.parquet(f"{path}/{folder}"))
+    _commit(spark, path, number, "add", folder)
+    return get_or_create(spark, path, schema, key)
+
+
+def compact(spark: SparkSession, path: str, schema: T.StructType = VECTOR_SCHEMA, key: str | None = None) -> None:
+    """Write the newest row of every key as one batch; later reads start there.  Old files stay for their readers."""
+    log = commits(spark, path)
+    if not any(kind != "create" for _, kind, _ in log):
+        return
+    folder = f"base-{uuid.uuid4().hex}"
+    _newest(_stored(spark, path, schema), key or schema.fieldNames()[0]).write.parquet(f"{path}/{folder}")
+    _commit(spark, path, int(log[-1][0]) + 1, "base", folder)
 
 
 def list_collections(spark: SparkSession, parent: str) -> list[str]:
-    """K7: names of the collections (Parquet folders with a commit marker) under ``parent``."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(parent)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """K7: names of the collections (folders with a commit log) under ``parent``."""
+    p, fs = _path(spark, parent)
     if not fs.exists(p):
         return []
     return sorted(st.getPath().getName() for st in fs.listStatus(p)
-                  if st.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")))
+                  if st.isDirectory() and commits(spark, st.getPath().toString()))
 
 
 def append_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:

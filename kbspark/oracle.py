@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from kbspark import params as P
 from kbspark.functions.html import STRIP_PATTERN_RE2
-from kbspark.sources.fixtures import CHAT_MODES, KB_BASE, MAX_LOCS, ROOT_SITEMAP, TOKEN_CYCLE
+from kbspark.sources.fixtures import CHAT_MODES, FAR, KB_BASE, PART_SPAN, ROOT_SITEMAP, TOKEN_CYCLE
 
 
 def _q(s: str) -> str:
@@ -20,7 +20,6 @@ def _q(s: str) -> str:
 
 
 ROOT = _q(ROOT_SITEMAP)
-FAR = 1 << 40
 
 CTE: dict[str, str] = {
     "hosts": """hosts AS (
@@ -37,18 +36,13 @@ CTE: dict[str, str] = {
   UNION ALL SELECT 'https://' || host || '/more.xml',
     regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '\\.html$', '') || '.html',
     page_id, h FROM page_hosts WHERE h % 10 = 5)""",
-    # Pagination of parents over the protocol limit (never triggered at the test scales).
+    "parts": f"""parts AS (
+  SELECT *, CASE WHEN pos < {FAR} THEN pos // {PART_SPAN} ELSE 0 END AS part FROM link_edges)""",
+    "part_urls": """part_urls AS (
+  SELECT *, regexp_replace(parent, '\\.xml$', '') || '-p' || part::VARCHAR || '.xml' AS part_url FROM parts)""",
     "edges": f"""edges AS (
-  SELECT parent, child, pos, h FROM (SELECT *, count(*) OVER (PARTITION BY parent) AS n FROM link_edges)
-  WHERE n <= {MAX_LOCS}
-  UNION ALL
-  SELECT DISTINCT * FROM (
-    SELECT CASE WHEN x = 0 THEN regexp_replace(parent, '\\.xml$', '') || '-p' || part::VARCHAR || '.xml' ELSE parent END,
-           CASE WHEN x = 0 THEN child ELSE regexp_replace(parent, '\\.xml$', '') || '-p' || part::VARCHAR || '.xml' END,
-           CASE WHEN x = 0 THEN pos ELSE part END, h
-    FROM (SELECT *, hash(child, pos) % ceil(n / {int(MAX_LOCS * 0.8)})::UBIGINT AS part
-          FROM (SELECT *, count(*) OVER (PARTITION BY parent) AS n FROM link_edges) WHERE n > {MAX_LOCS}),
-         (SELECT unnest([0, 1]) AS x)))""",
+  SELECT CASE WHEN part > 0 THEN part_url ELSE parent END AS parent, child, pos, h FROM part_urls
+  UNION ALL SELECT DISTINCT parent, part_url, {FAR} + part, h FROM part_urls WHERE part > 0)""",
     "sitemap_docs": """sitemap_docs AS (
   SELECT parent AS url, CASE WHEN max(h) % 10 = 3 THEN 404 ELSE 200 END AS status,
          CASE WHEN max(h) % 10 = 3 THEN 'http_404' WHEN max(h) % 10 = 9 THEN 'malformed' ELSE 'ok' END AS state
@@ -61,13 +55,13 @@ CTE: dict[str, str] = {
   SELECT {ROOT}, 'sitemap', 0
   UNION
   SELECT l.child, l.kind, w.depth + 1 FROM walk w JOIN links l ON l.parent = w.url
-  WHERE w.kind = 'sitemap' AND l.kind IS NOT NULL AND w.depth < 64)""",
+  WHERE w.kind = 'sitemap' AND l.kind IS NOT NULL AND w.depth <= (SELECT count(*) FROM sitemap_docs))""",
     "url_list": """url_list AS (
-  SELECT page_id AS ord, url FROM pages
-  UNION ALL SELECT page_id + 100000, '  ' || url || chr(9) FROM pages WHERE page_id % 4 = 0
-  UNION ALL SELECT page_id + 200000, CASE WHEN starts_with(url, 'https://') THEN 'http://' || substr(url, 9)
+  SELECT page_id * 4 AS ord, url FROM pages
+  UNION ALL SELECT page_id * 4 + 1, '  ' || url || chr(9) FROM pages WHERE page_id % 4 = 0
+  UNION ALL SELECT page_id * 4 + 2, CASE WHEN starts_with(url, 'https://') THEN 'http://' || substr(url, 9)
                                      ELSE 'https://' || substr(url, 8) END FROM pages WHERE page_id % 5 = 0
-  UNION ALL SELECT page_id + 300000, '' FROM pages WHERE page_id % 20 = 0)""",
+  UNION ALL SELECT page_id * 4 + 3, '' FROM pages WHERE page_id % 20 = 0)""",
     "scanned": """scanned AS (
   SELECT ord, url FROM (SELECT ord, regexp_replace(url, '^\\s+|\\s+$', '', 'g') AS url FROM url_list) WHERE url <> '')""",
     "visits": f"""visits AS (
@@ -120,7 +114,7 @@ CTE: dict[str, str] = {
 }
 
 DEPS: dict[str, tuple[str, ...]] = {
-    "page_hosts": ("hosts",), "link_edges": ("hosts", "page_hosts"), "edges": ("link_edges",), "sitemap_docs": ("edges",),
+    "page_hosts": ("hosts",), "link_edges": ("hosts", "page_hosts"), "parts": ("link_edges",), "part_urls": ("parts",), "edges": ("part_urls",), "sitemap_docs": ("edges",),
     "links": ("sitemap_docs",), "walk": ("links",), "scanned": ("url_list",), "visits": ("scanned",),
     "dotc": ("kb_docs",), "l2c": ("kb_docs",), "cq": ("kb_docs",), "p_best": ("cq", "dotc"),
     "c_best": ("cq", "l2c"),
@@ -273,12 +267,12 @@ FROM (SELECT e.label, coalesce(l.quality, 0)::DOUBLE AS m, e.embedding[1]::DOUBL
       FROM embeddings e LEFT JOIN labels l ON l.doc_id = e.vec_id) GROUP BY label""",
     "upsert_replace": """SELECT id, label, version FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC, src DESC) AS rn FROM (
-    SELECT vec_id::VARCHAR AS id, label, 1 AS version, 0 AS src FROM embeddings WHERE vec_id % 3 <> 0
-    UNION ALL SELECT vec_id::VARCHAR, label + 100, 2, 1 FROM embeddings WHERE vec_id % 2 = 0)) WHERE rn = 1""",
-    "upsert_ignore": """SELECT vec_id::VARCHAR AS id, label, 1 AS version FROM embeddings WHERE vec_id % 3 <> 0
-UNION ALL SELECT vec_id::VARCHAR, label + 100, 2 FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 3 = 0""",
+    SELECT vec_id::VARCHAR AS id, label, 1 AS version, 0 AS src FROM embeddings
+    UNION ALL SELECT (vec_id * 2)::VARCHAR, label + 100, 2, 1 FROM embeddings)) WHERE rn = 1""",
+    "upsert_ignore": """SELECT vec_id::VARCHAR AS id, label, 1 AS version FROM embeddings
+UNION ALL SELECT (vec_id * 2)::VARCHAR, label + 100, 2 FROM embeddings WHERE vec_id * 2 NOT IN (SELECT vec_id FROM embeddings)""",
     "collection_count": """SELECT count(DISTINCT id) AS records FROM (
-  SELECT vec_id AS id FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0)""",
+  SELECT vec_id AS id FROM embeddings UNION ALL SELECT vec_id * 2 FROM embeddings)""",
     "describe_collection": _with(("kb_docs",), """SELECT count(*) AS records, count(DISTINCT substr(sha256(k.path), 1, 10)) AS distinct_ids,
   min(len(e.embedding))::INTEGER AS min_dim, max(len(e.embedding))::INTEGER AS max_dim
 FROM embeddings e JOIN kb_docs k ON k.doc_id = e.vec_id"""),
@@ -301,7 +295,8 @@ FROM conversations c JOIN documents d ON d.doc_id = c.conv_id WHERE c.role = 'us
   UNION ALL SELECT q.qid, q.mode, q.text, k.text, b.path FROM cq q LEFT JOIN p_best b ON b.qid = q.qid
     LEFT JOIN kb_docs k ON k.path = b.path WHERE q.mode = 'dot'
   UNION ALL SELECT q.qid, q.mode, q.text, b.document, b.id FROM cq q LEFT JOIN c_best b ON b.qid = q.qid
-    WHERE q.mode = 'l2')"""),
+    WHERE q.mode = 'l2'
+  UNION ALL SELECT qid, mode, text, NULL, NULL FROM cq WHERE mode NOT IN ('none', 'dot', 'l2'))"""),
     "answer_questions": _with(("p_best", "c_best"), f"""SELECT qid, conv_id, turn, mode,
   CASE WHEN error IS NULL THEN CASE WHEN source IS NULL THEN stripped
        ELSE {_with_citation('stripped', _citation('source', KB_BASE))} END END AS answer, error
@@ -315,7 +310,9 @@ FROM (SELECT *, substr(output, greatest(length(prompt) - {P.ECHO_OFFSET}, 0) + 1
       FROM cq q LEFT JOIN p_best b ON b.qid = q.qid LEFT JOIN kb_docs k ON k.path = b.path WHERE q.mode = 'dot'
       UNION ALL SELECT q.qid, q.conv_id, q.turn, q.mode, q.text, b.document, b.id,
         CASE WHEN b.id IS NULL THEN 'no match' END
-      FROM cq q LEFT JOIN c_best b ON b.qid = q.qid WHERE q.mode = 'l2'))))"""),
+      FROM cq q LEFT JOIN c_best b ON b.qid = q.qid WHERE q.mode = 'l2'
+      UNION ALL SELECT qid, conv_id, turn, mode, text, NULL, NULL, 'unknown mode'
+      FROM cq WHERE mode NOT IN ('none', 'dot', 'l2')))))"""),
     "strip_prompt_echo": _with(("responses",), f"""SELECT conv_id, turn,
   substr(response, greatest(length(prompt) - {P.ECHO_OFFSET}, 0) + 1) AS answer FROM responses"""),
     "answer_with_citation": _with(("responses", "kb_docs"), f"""SELECT r.conv_id, r.turn,
@@ -341,9 +338,9 @@ FROM (SELECT conv_id, turn, coalesce(t_raw, {P.TEMPERATURE_UI_DEFAULT})::DOUBLE
   coalesce(n_raw, {P.DEFAULT_MAX_NEW_TOKENS})::INTEGER AS max_new_tokens, {P.DEFAULT_TOP_P}::DOUBLE AS top_p,
   {P.DEFAULT_TOP_K}::INTEGER AS top_k, {P.DEFAULT_REPETITION_PENALTY}::DOUBLE AS repetition_penalty,
   {P.DEFAULT_NUM_BEAMS}::INTEGER AS num_beams, substr(prompt, 3) || ' answer ' || conv_id::VARCHAR AS response,
-  0.0::DOUBLE AS response_time_s, NULL::VARCHAR AS error FROM requests"""),
+  round((length(prompt) / 128.0)::DECIMAL(38, 10), 1)::DOUBLE AS response_time_s, NULL::VARCHAR AS error FROM requests"""),
     "log_requests": _with(("requests",), """SELECT prompt, substr(prompt, 3) || ' answer ' || conv_id::VARCHAR AS response,
-  0.0::DOUBLE AS response_time_s FROM requests"""),
+  (length(prompt) / 128.0)::DOUBLE AS response_time_s FROM requests"""),
     "request_metrics_daily": _with(("request_log",), """SELECT day, kind, count(*) AS requests, round(avg(v), 6) AS avg_s,
   max(v) AS max_s, min(v) FILTER (WHERE rn >= ceil(0.5 * n)) AS p50_s, min(v) FILTER (WHERE rn >= ceil(0.95 * n)) AS p95_s
 FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, kind, response_time_s AS v,

@@ -125,7 +125,7 @@ def q_attach_metadata(spark, d):
 
 
 def q_resolve_fetch_attempts(spark, d):
-    return D.resolve_attempts(X.fetch_log(spark, d)).select("url", "attempt", "status", "outcome")
+    return D.resolve_attempts(X.fetch_log(spark, d), with_body=False).select("url", "attempt", "status", "outcome")
 
 
 def q_split_by_status(spark, d):
@@ -258,7 +258,8 @@ def q_truncation_loss(spark, d):
 # --- retrieval and answers -----------------------------------------------------------------------
 
 def _generate_stub(df: DataFrame) -> DataFrame:
-    return df.withColumn("output", X.stub_generate(F.col("prompt"), F.col("conv_id")))
+    return (df.withColumn("output", X.stub_generate(F.col("prompt"), F.col("conv_id")))
+            .withColumn("elapsed_s", X.stub_seconds(F.col("prompt"))))
 
 
 def q_retrieve_p(spark, d):

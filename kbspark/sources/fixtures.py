@@ -56,29 +56,26 @@ def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return root.unionByName(to_pages).unionByName(cycle).unionByName(to_more).unionByName(more_pages)
 
 
-MAX_LOCS = 50000       # links per sitemap document (sitemap protocol limit)
+PART_SPAN = 50000      # positions per sitemap document (the sitemap protocol's limit of links)
+FAR = 1 << 40          # position of links that are not numbered by a page
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(parent, child, pos, h)``: the link graph the sitemaps encode, paginated as the protocol requires.
 
-    A parent with more than ``MAX_LOCS`` links becomes an index of part
-    documents ``<parent>-p<i>.xml``; its links are spread over the parts by a
-    hash of the link, with slack so no part exceeds the limit in practice.
-    Every document (one group per url in :func:`sitemaps`) is thus bounded.
-    Parents within the limit are unchanged.
+    Links at positions of ``PART_SPAN`` and more are in part documents
+    ``<parent>-p<pos div PART_SPAN>.xml``, which the parent lists after its own
+    links.  One rule for every size: a document holds at most ``PART_SPAN``
+    numbered links, however many a host has.
     """
-    e = link_edges(spark, sf_dir)
-    per_parent = e.groupBy("parent").agg(F.count("*").alias("n"))
-    e = e.join(per_parent, "parent")
-    nparts = F.ceil(F.col("n") / F.lit(int(MAX_LOCS * 0.8)))
-    part = F.pmod(F.xxhash64("child", "pos"), nparts)
-    part_url = F.concat(F.regexp_replace("parent", r"\.xml$", ""), F.lit("-p"), part.cast("string"), F.lit(".xml"))
-    small = e.filter(F.col("n") <= MAX_LOCS).select("parent", "child", "pos", "h")
-    big = e.filter(F.col("n") > MAX_LOCS)
-    parts = big.select(part_url.alias("parent"), "child", "pos", "h")
-    index = big.select("parent", part_url.alias("child"), part.alias("pos"), "h").distinct()
-    return small.unionByName(parts).unionByName(index)
+    part = F.when(F.col("pos") < FAR, F.expr(f"pos div {PART_SPAN}")).otherwise(F.lit(0))
+    e = link_edges(spark, sf_dir).withColumn("part", part)
+    part_url = F.concat(F.regexp_replace("parent", r"\.xml$", ""), F.lit("-p"), F.col("part").cast("string"),
+                        F.lit(".xml"))
+    links = e.select(F.when(F.col("part") > 0, part_url).otherwise(F.col("parent")).alias("parent"), "child", "pos", "h")
+    index = (e.filter(F.col("part") > 0)
+             .select("parent", part_url.alias("child"), (F.col("part") + FAR).alias("pos"), "h").distinct())
+    return links.unionByName(index)
 
 
 def _xml_escape(c):
@@ -90,8 +87,7 @@ def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(url, status, xml)``: one landed sitemap document per parent of ``edges``.
 
     h%10=3: status 404, no body; h%10=9: body cut inside a tag (malformed).
-    A sitemap holds at most 50,000 links by protocol, so each document is a
-    bounded group.
+    A document holds at most ``PART_SPAN`` numbered links, so each is a bounded group.
     """
     e = edges(spark, sf_dir)
     body = (e.groupBy("parent").agg(
@@ -128,14 +124,14 @@ def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(ord, url)``: the hand-off file as lines, with padding, scheme swaps and blank lines."""
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
     p = F.col("page_id")
-    plain = pages.select(p.alias("ord"), "url")
-    padded = pages.filter(p % 4 == 0).select((p + 100000).alias("ord"),
+    plain = pages.select((p * 4).alias("ord"), "url")
+    padded = pages.filter(p % 4 == 0).select((p * 4 + 1).alias("ord"),
                                              F.concat(F.lit("  "), "url", F.lit("\t")).alias("url"))
     swapped_url = F.when(F.col("url").startswith("https://"),
                          F.concat(F.lit("http://"), F.substring("url", 9, 1 << 30))).otherwise(
         F.concat(F.lit("https://"), F.substring("url", 8, 1 << 30)))
-    swapped = pages.filter(p % 5 == 0).select((p + 200000).alias("ord"), swapped_url.alias("url"))
-    blank = pages.filter(p % 20 == 0).select((p + 300000).alias("ord"), F.lit("").alias("url"))
+    swapped = pages.filter(p % 5 == 0).select((p * 4 + 2).alias("ord"), swapped_url.alias("url"))
+    blank = pages.filter(p % 20 == 0).select((p * 4 + 3).alias("ord"), F.lit("").alias("url"))
     return plain.unionByName(padded).unionByName(swapped).unionByName(blank)
 
 
@@ -153,17 +149,17 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors_old(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored snapshot: ids with vec_id%3<>0, version 1."""
+    """Stored snapshot: every vector, version 1."""
     emb = load(spark, sf_dir, "embeddings")
-    return emb.filter(F.col("vec_id") % 3 != 0).select(
+    return emb.select(
         F.col("vec_id").cast("string").alias("id"), "embedding", "label", F.lit(1).alias("version"))
 
 
 def vectors_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incoming batch: ids with vec_id%2=0, version 2, label+100 (some ids overlap the snapshot)."""
+    """Incoming batch: every vector under twice its id, version 2, label+100 (half of the ids are new)."""
     emb = load(spark, sf_dir, "embeddings")
-    return emb.filter(F.col("vec_id") % 2 == 0).select(
-        F.col("vec_id").cast("string").alias("id"), "embedding", (F.col("label") + 100).alias("label"),
+    return emb.select(
+        (F.col("vec_id") * 2).cast("string").alias("id"), "embedding", (F.col("label") + 100).alias("label"),
         F.lit(2).alias("version"))
 
 
@@ -187,6 +183,11 @@ def stub_generate(prompt, conv_id):
     return F.concat(F.substring(prompt, 3, 1 << 30), F.lit(" answer "), conv_id.cast("string"))
 
 
+def stub_seconds(prompt):
+    """The time that the stand-in reports for a call: one second per 128 characters."""
+    return F.length(prompt) / F.lit(128.0)
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(conv_id, turn, prompt, response)`` from the stub generator on the short prompt ``[x] <text>``."""
     conv = load(spark, sf_dir, "conversations").filter(F.col("role") == "user")

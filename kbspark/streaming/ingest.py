@@ -1,10 +1,8 @@
 """Push ingest (S6, T3): pages landing in a folder -> text -> knowledge base, each url once.
 
-Landed pages carry no event time, so the landing time is the watermark
-column; ``dropDuplicatesWithinWatermark`` keeps one row per url without
-keeping state for ever.  Each micro-batch is merged into the knowledge-base
-by path (only the path buckets a batch touches are rewritten); within and
-across batches the later landing wins.
+Each micro-batch is added to the knowledge base by path; within and across
+batches, and across runs, the later landing wins.  The stream's checkpoint
+belongs to the knowledge base, so a later run takes new landings only.
 """
 
 from __future__ import annotations
@@ -17,7 +15,7 @@ from kbspark.functions.html import extract_text
 from kbspark.functions.urls import host_of, url_to_path
 from kbspark.operators import store
 from kbspark.params import DEFAULT, KbParams
-from kbspark.streaming.runner import landed_stream, run_available_now, stream_dir
+from kbspark.streaming.runner import landed_stream, run_available_now
 
 KB_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("url", T.StringType()),
@@ -31,22 +29,21 @@ def pages_stream(spark: SparkSession, path: str, max_files: int | None = None) -
     return landed_stream(spark, path, max_files)
 
 
-def kb_rows(pages: DataFrame, epoch: int, params: KbParams = DEFAULT) -> DataFrame:
+def kb_rows(pages: DataFrame, landing: int, params: KbParams = DEFAULT) -> DataFrame:
     """One micro-batch of pages -> ``(path, url, host, text, version)``; version orders landings."""
     t = extract_text(pages.select("page_id", "url", "html"), "html", "text")
     return t.select(url_to_path(F.col("url"), params.base_path).alias("path"), "url",
                     host_of(F.col("url")).alias("host"), "text",
-                    (F.lit(epoch).cast("long") * F.lit(1 << 40) + F.col("page_id")).alias("version"))
+                    (F.lit(landing).cast("long") * F.lit(1 << 40) + F.col("page_id")).alias("version"))
 
 
 def run_ingest(spark: SparkSession, stream: DataFrame, root: str, params: KbParams = DEFAULT) -> DataFrame:
     """Merge every available micro-batch into the knowledge base at ``root``; return it."""
-    base = stream_dir(spark, "ingest")
-
     def apply(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
-        store.upsert_into(spark, root, kb_rows(batch, epoch, params), "replace", key="path", schema=KB_SCHEMA)
+        rows = kb_rows(batch, store.next_version(spark, root), params)
+        store.upsert_into(spark, root, rows, "replace", schema=KB_SCHEMA)
 
-    run_available_now(stream, f"{base}/_checkpoint", foreach_batch=apply)
+    run_available_now(stream, f"{root}/_checkpoint", foreach_batch=apply)
     return store.get_or_create(spark, root, KB_SCHEMA)

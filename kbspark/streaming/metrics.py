@@ -30,10 +30,14 @@ def events_stream(spark: SparkSession, path: str, max_files: int | None = None)
                       F.col("value").alias("response_time_s"))
 
 
-def run_request_metrics(spark: SparkSession, path: str, window: str = "1 day", watermark: str = "1 hour"
-                        ) -> DataFrame:
-    """Run the stream to completion into a parquet sink and return the closed windows."""
-    base = stream_dir(spark, "request_metrics")
+def run_request_metrics(spark: SparkSession, path: str, window: str = "1 day", watermark: str = "1 hour",
+                        root: str | None = None) -> DataFrame:
+    """Run the stream over what has landed into a parquet sink and return the closed windows.
+
+    Sink and checkpoint are in ``root``: a later run with the same folder goes on, and emits the windows that were
+    still open.  Without one, a fresh folder is taken.
+    """
+    base = root or stream_dir(spark, "request_metrics")
     out = windowed_metrics(events_stream(spark, path), window=window, watermark=watermark)
     run_available_now(out, f"{base}/_checkpoint", f"{base}/out")
     return spark.read.schema(out.schema).parquet(f"{base}/out")

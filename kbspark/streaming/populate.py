@@ -1,8 +1,9 @@
 """Incremental populate (T2): new documents -> vectors -> upsert into the collection, per micro-batch.
 
 ``foreachBatch`` applies each micro-batch with the collection's upsert
-policy.  The micro-batch id is the record version, so a replayed batch
-(after a failure) rewrites the same rows: the result is idempotent.
+policy.  The record version is a number that grows with every batch of the
+collection, and the stream's checkpoint belongs to the collection: a later
+run takes new landings only, and an updated document replaces the old one.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from kbspark.functions.urls import doc_id, metadata_file_path
 from kbspark.operators import store
 from kbspark.operators.embed import hashing_tf_embed, truncate_for_embedding
 from kbspark.params import DEFAULT, KbParams
-from kbspark.streaming.runner import landed_stream, run_available_now, stream_dir
+from kbspark.streaming.runner import landed_stream, run_available_now
 
 
 def vector_records(docs: DataFrame, params: KbParams = DEFAULT, version=None, max_tokens: int | None = None
@@ -43,12 +44,11 @@ def docs_stream(spark: SparkSession, path: str, base: str, max_files: int | None
 def run_populate(spark: SparkSession, stream: DataFrame, root: str, policy: str = "replace",
                  params: KbParams = DEFAULT) -> DataFrame:
     """Apply every available micro-batch to the collection at ``root``; return the final snapshot."""
-    base = stream_dir(spark, "populate")
-
     def apply(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():        # availableNow may end with an empty batch
             return
-        store.upsert_into(spark, root, vector_records(batch, params, epoch), policy)
+        store.upsert_into(spark, root, vector_records(batch, params, store.next_version(spark, root)), policy,
+                          dim=params.dim)
 
-    run_available_now(stream, f"{base}/_checkpoint", foreach_batch=apply)
+    run_available_now(stream, f"{root}/_checkpoint", foreach_batch=apply)
     return store.get_or_create(spark, root)

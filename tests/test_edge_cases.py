@@ -76,14 +76,21 @@ def test_citation_and_ids(spark):
 
 # --- sitemap XML ---------------------------------------------------------------------------------
 
+NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
 XML_CASES = [
-    ("good", '<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
-             '<url><loc>https://a/x.html</loc></url><url><loc/></url>'
+    ("good", f'<?xml version="1.0"?><urlset {NS}><url><loc>https://a/x.html</loc></url><url><loc/></url>'
              '<url><image:loc xmlns:image="http://i">https://a/i.xml</image:loc></url></urlset>'),
-    ("cdata", "<urlset><url><loc><![CDATA[https://a/c.html]]></loc></url></urlset>"),
-    ("index", "<sitemapindex><sitemap><loc>https://a/more.xml</loc></sitemap>"
+    ("cdata", f"<urlset {NS}><url><loc>https://a/<![CDATA[c?a&b]]>.html</loc></url></urlset>"),
+    ("comment", f"<urlset {NS}><url><loc>https://a/<!-- x -->k.html</loc></url></urlset>"),
+    ("index", f"<sitemapindex {NS}><sitemap><loc>https://a/more.xml</loc></sitemap>"
               "<deep><a><b><loc>https://a/d.html</loc></b></a></deep></sitemapindex>"),
-    ("broken", "<urlset><url><loc>https://a/x.html</loc></ur"),
+    ("broken", f"<urlset {NS}><url><loc>https://a/x.html</loc></ur"),
+    ("mark", f'\ufeff<?xml version="1.0" encoding="UTF-8"?><urlset {NS}><url><loc>https://a/m.html</loc></url></urlset>'),
+    ("trailing", f"<urlset {NS}><url><loc>https://a/t.html</loc></url></urlset> and more"),
+    ("two roots", f"<urlset {NS}><url><loc>https://a/1.html</loc></url></urlset><urlset {NS}/>"),
+    ("other", '<urlset xmlns="http://other"><url><loc>https://a/o.html</loc></url></urlset>'),
+    ("none", "<urlset><url><loc>https://a/n.html</loc></url></urlset>"),
+    ("blank", ""),
     ("prefixed", '<s:urlset xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9"><s:url><s:loc>https://a/s.html'
                  '</s:loc></s:url><s:url><image:loc xmlns:image="http://i">https://a/i.xml</image:loc></s:url>'
                  '</s:urlset>'),
@@ -91,22 +98,25 @@ XML_CASES = [
 
 
 def test_extract_locs_edge_cases(spark):
-    docs = spark.createDataFrame([(u, 200, x) for u, x in XML_CASES] + [("gone", 404, None)],
+    docs = spark.createDataFrame([(u, 200, x) for u, x in XML_CASES] + [("gone", 404, None), ("null", 200, None)],
                                  "url string, status int, xml string")
     states = dict(C.document_state(docs).select("url", "state").collect())
-    assert states == {"good": "ok", "cdata": "ok", "index": "ok", "broken": "malformed", "gone": "http_404",
-                      "prefixed": "ok"}
+    bad = {"broken": "malformed", "trailing": "malformed", "two roots": "malformed", "blank": "malformed",
+           "gone": "http_404", "null": "empty"}
+    assert states == {**{u: "ok" for u, _ in XML_CASES}, **bad}
     locs = sorted((r.parent, r.pos, r.child) for r in C.extract_locs(docs).collect())
-    assert locs == [("cdata", 0, "https://a/c.html"), ("good", 0, "https://a/x.html"),
-                    ("index", 0, "https://a/more.xml"), ("index", 1, "https://a/d.html"),
+    assert locs == [("cdata", 0, "https://a/c?a&b.html"), ("comment", 0, "https://a/k.html"),
+                    ("good", 0, "https://a/x.html"), ("index", 0, "https://a/more.xml"),
+                    ("index", 1, "https://a/d.html"), ("mark", 0, "https://a/m.html"),
                     ("prefixed", 0, "https://a/s.html")]
+    assert [r.child for r in C.extract_locs(docs, ns="").collect()] == ["https://a/n.html"]
 
 
 def test_crawl_cycle_and_errors(spark):
     docs = spark.createDataFrame([
-        ("r.xml", 200, "<urlset><url><loc>a.xml</loc></url><url><loc>b.xml</loc></url></urlset>"),
-        ("a.xml", 200, "<urlset><url><loc>r.xml</loc></url><url><loc>p.html</loc></url><url><loc/></url></urlset>"),
-        ("b.xml", 200, "<urlset><url><loc>a.xml</loc></url><url><loc>p.html</loc></url><url><loc>gone.xml</loc></url></urlset>"),
+        ("r.xml", 200, f"<urlset {NS}><url><loc>a.xml</loc></url><url><loc>b.xml</loc></url></urlset>"),
+        ("a.xml", 200, f"<urlset {NS}><url><loc>r.xml</loc></url><url><loc>p.html</loc></url><url><loc/></url></urlset>"),
+        ("b.xml", 200, f"<urlset {NS}><url><loc>a.xml</loc></url><url><loc>p.html</loc></url><url><loc>gone.xml</loc></url></urlset>"),
     ], "url string, status int, xml string")
     reached = C.crawl(docs, "r.xml")
     got = sorted((r.url, r.kind, r.depth) for r in reached.collect())
@@ -117,9 +127,9 @@ def test_crawl_cycle_and_errors(spark):
 
 
 def test_crawl_follows_a_long_chain(spark):
-    chain = [(f"s{i}.xml", 200, f"<urlset><url><loc>s{i + 1}.xml</loc></url></urlset>") for i in range(12)]
+    chain = [(f"s{i}.xml", 200, f"<urlset {NS}><url><loc>s{i + 1}.xml</loc></url></urlset>") for i in range(70)]
     docs = spark.createDataFrame(chain, "url string, status int, xml string")
-    assert C.crawl(docs, "s0.xml").agg(F.max("depth")).first()[0] == 12
+    assert C.crawl(docs, "s0.xml").agg(F.max("depth")).first()[0] == 70
 
 
 def test_topk_one_odd_question_leaves_the_others_their_answers(spark):
@@ -141,14 +151,58 @@ def test_paths_that_leave_the_base_are_rejected(spark):
     assert [r.p for r in df.select(U.url_to_path(F.col("u")).alias("p")).collect()] == [None, "/data/kb/h/a..b/x.txt"]
 
 
-def test_collection_without_a_marker_keeps_its_rows(spark, tmp_path):
+def _vectors(spark, *rows):
+    return spark.createDataFrame([(i, v, {"a": "b"}, d, n) for i, v, d, n in rows], K.VECTOR_SCHEMA)
+
+
+def _docs(df):
+    return {r.id: r.document for r in df.collect()}
+
+
+def test_collection_without_markers_keeps_its_rows(spark, tmp_path):
+    root = str(tmp_path / "c")
+    conf, setting = spark.sparkContext._jsc.hadoopConfiguration(), "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+    conf.set(setting, "false")
+    try:
+        K.upsert_into(spark, root, _vectors(spark, *[(str(i), [1.0], "d", 0) for i in range(3)]))
+        K.upsert_into(spark, root, _vectors(spark, ("1", [1.0], "e", 0)))
+    finally:
+        conf.set(setting, "true")
+    assert _docs(K.get_or_create(spark, root)) == {"0": "d", "1": "e", "2": "d"}
+
+
+def test_collection_ignores_a_batch_without_its_commit(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "c")
+    K.upsert_into(spark, root, _vectors(spark, ("a", [1.0], "old", 1)))
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as m:
+        m.setattr(K, "_commit", crash)
+        with pytest.raises(RuntimeError, match="crash"):
+            K.upsert_into(spark, root, _vectors(spark, ("a", [1.0], "lost", 2)))
+    assert _docs(K.get_or_create(spark, root)) == {"a": "old"}
+    K.upsert_into(spark, root, _vectors(spark, ("a", [1.0], "new", 2), ("b", [1.0], "b", 2)))
+    assert _docs(K.get_or_create(spark, root)) == {"a": "new", "b": "b"}
+    assert {p: p.stat().st_mtime_ns for p in before} == before          # a small batch leaves other files alone
+    K.compact(spark, root)
+    assert _docs(K.get_or_create(spark, root)) == {"a": "new", "b": "b"}
+    K.upsert_into(spark, root, _vectors(spark, ("b", [1.0], "b2", 3)))
+    assert _docs(K.get_or_create(spark, root)) == {"a": "new", "b": "b2"}
+
+
+def test_collection_of_one_dimension_and_first_rows(spark, tmp_path):
     root = str(tmp_path / "c")
-    rows = spark.createDataFrame([(str(i), [1.0], {"a": "b"}, "d", 0) for i in range(3)], K.VECTOR_SCHEMA)
-    K.upsert_into(spark, root, rows)
-    (tmp_path / "c" / "_SUCCESS").unlink()
-    assert K.get_or_create(spark, root).count() == 3
-    K.upsert_into(spark, root, rows.limit(1))
-    assert K.get_or_create(spark, root).count() == 3
+    batch = _vectors(spark, ("a", [1.0, 0.0], "first", 1), ("a", [1.0, 0.0], "second", 1), ("b", [1.0], "short", 1),
+                     ("c", None, "null", 1)).coalesce(1)
+    got = K.upsert_into(spark, root, batch, "ignore", dim=2)
+    assert _docs(got) == {"a": "first"}
+    assert _docs(K.rejects(spark, root)) == {"b": "short", "c": "null"}
+    assert _docs(K.upsert_into(spark, root, batch, "replace")) == {"a": "second"}
+    with pytest.raises(ValueError):
+        K.get_or_create(spark, root, dim=3)
 
 
 # --- html -----------------------------------------------------------------------------------------
@@ -358,7 +412,7 @@ def test_score_requests_keeps_bad_requests_as_error_rows(spark):
         return df.withColumn("output", F.concat(F.col("prompt"), F.lit("!")))
 
     out = {r.conv_id: r for r in score_requests(rq, gen).collect()}
-    assert out[0].response == "hello!" and out[0].error is None and out[0].response_time_s == 0.0
+    assert out[0].response == "hello!" and out[0].error is None and out[0].response_time_s is None
     assert out[1].response is None and out[1].error == "bad temperature"
     assert out[2].response is None and out[2].error == "malformed body"
     assert request_log_rows(score_requests(rq, gen)).count() == 1

@@ -134,3 +134,38 @@ def test_model_generator_matches_native_stub(spark):
         "output", F.concat(F.substring("prompt", 3, 1 << 30), F.lit(" answer")))).select("conv_id", "turn", "response")
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0
+
+
+def test_model_generator_passes_parameters_times_calls_and_keeps_errors(spark):
+    from kbspark.plans.answer import model_generator, score_requests
+
+    def make():
+        import time
+
+        import numpy as np
+
+        def predict(prompts, temperature, max_new_tokens):
+            if "boom" in set(prompts):
+                raise ValueError("no such word")
+            time.sleep(0.05)
+            return np.array([f"{p} {t} {n}" for p, t, n in zip(prompts, temperature, max_new_tokens)], dtype=object)
+
+        return predict
+
+    bodies = ['{"prompt": "a", "temperature": 0.3, "max_new_tokens": 50}', '{"prompt": "boom"}', "{broken",
+              '{"prompt": "b", "temperature": 1, "max_new_tokens": 75}']
+    rq = spark.createDataFrame(list(enumerate(bodies)), "id long, body string").coalesce(1)
+    gen = model_generator(make, parameters=("temperature", "max_new_tokens"))
+    out = {r.id: r for r in score_requests(rq, gen).collect()}
+    assert out[0].response == "a 0.3 50" and out[3].response == "b 1.0 75"
+    assert out[0].elapsed_s >= 0.05 and out[3].elapsed_s >= 0.05
+    assert out[1].response is None and out[1].error == "generator failed: no such word"
+    assert out[2].response is None and out[2].error == "malformed body"
+
+
+def test_every_question_has_an_answer_row(spark):
+    from kbspark.queries import QUERIES
+
+    n = X.chat_questions(spark, SF_SMALL).count()
+    rows = QUERIES["answer_questions"](spark, SF_SMALL).collect()
+    assert len(rows) == n and {r.error for r in rows if r.mode == "other"} == {"unknown mode"}

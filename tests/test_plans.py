@@ -43,3 +43,10 @@ def test_url_only_scans_prune_the_html_column(spark):
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", df._jdf.queryExecution().explainString(mode))
     assert schemas and all("html" not in s for s in schemas), schemas
+
+
+def test_attempts_are_resolved_without_page_bodies(spark):
+    df = QUERIES["resolve_fetch_attempts"](spark, SF_SMALL)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", df._jdf.queryExecution().explainString(mode))
+    assert schemas and all("html" not in s for s in schemas), schemas

@@ -80,7 +80,7 @@ def test_stream_metrics_drop_rows_behind_the_watermark(spark):
     assert got == {"2024-01-01": (1, 1.0), "2024-01-03": (3, 5.0)}
 
 
-def test_stream_ingest_sees_each_url_once(spark):
+def test_stream_ingest_keeps_the_later_landing_of_a_url(spark):
     from kbspark.streaming.ingest import pages_stream, run_ingest
     from kbspark.streaming.runner import stream_dir
 
@@ -90,6 +90,33 @@ def test_stream_ingest_sees_each_url_once(spark):
     for rows in landings:
         spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1) \
             .write.mode("append").parquet(land)
-    kb = run_ingest(spark, pages_stream(spark, land), stream_dir(spark, "kb"))
+    root = stream_dir(spark, "kb")
+    kb = run_ingest(spark, pages_stream(spark, land), root)
     got = {r.url: r.text for r in kb.collect()}
-    assert got == {"https://a.example/x.html": "first", "https://a.example/y": "y", "https://b.example/z": "z"}
+    assert got == {"https://a.example/x.html": "second copy", "https://a.example/y": "y", "https://b.example/z": "z"}
+    spark.createDataFrame([(2, "https://a.example/x.html", "<p>third</p>")], "page_id long, url string, html string") \
+        .coalesce(1).write.mode("append").parquet(land)
+    again = run_ingest(spark, pages_stream(spark, land), root)        # resumes: only the new landing is read
+    assert {r.url: r.text for r in again.collect()} == {**got, "https://a.example/x.html": "third"}
+
+
+def test_second_populate_run_takes_the_updated_document(spark):
+    from kbspark.streaming.populate import docs_stream, run_populate
+    from kbspark.streaming.runner import stream_dir
+
+    land = os.path.join(tempfile.mkdtemp(prefix="kbspark-land-"), "docs")
+    root = stream_dir(spark, "collection")
+    for rows in ([(1, "old text", "s"), (2, "other", "s")], [(1, "new text", "s")]):
+        (spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+         .write.mode("append").parquet(land))
+        coll = run_populate(spark, docs_stream(spark, land, "/kb"), root)
+    assert sorted(r.document for r in coll.collect()) == ["new text", "other"]
+
+
+def test_stream_metrics_of_a_shuffled_landing_of_four_files(spark):
+    land = os.path.join(tempfile.mkdtemp(prefix="kbspark-land-"), "events")
+    spark.read.parquet(f"{SF_CHECK}/events.parquet").repartition(4, "event_id").write.parquet(land)
+    cols = ["day", "kind", "requests", "max_s"]
+    a = run_request_metrics(spark, f"{SF_CHECK}/events.parquet").select(cols)
+    b = run_request_metrics(spark, land).select(cols)
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
