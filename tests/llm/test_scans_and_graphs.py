@@ -1,6 +1,7 @@
 """URL filters, license scans, token files, nearest neighbours, pipeline and registration."""
 
 import collections
+import random
 import re
 
 import numpy as np
@@ -163,3 +164,32 @@ def test_pipeline_stages(spark):
     assert rows.count() == held.count()
     kept = queries.op2_line_quality(spark, SF_SMALL).filter("kept").select("doc_id")
     assert rows.join(kept, "doc_id", "left_anti").count() == 0
+
+
+def test_pipeline_near_copies_equal_brute_force(spark):
+    rng = random.Random(4)
+    vocab, docs = [f"w{i}" for i in range(2000)], []
+    for _ in range(12):
+        base = [rng.choice(vocab) for _ in range(rng.choice([9, 30, 80, 120]))]
+        docs.append(" ".join(base))
+        for _ in range(5):
+            x = list(base)
+            for _ in range(rng.randint(0, max(1, len(x) // 30))):
+                x[rng.randrange(len(x))] = rng.choice(vocab)
+            docs.append(" ".join(x))
+    # Two changed words of 100: five-word similarity 0.811, four-word 0.848.
+    base = [f"v{i}" for i in range(100)]
+    docs += [" ".join(base), " ".join(w if i not in (20, 50) else "new" for i, w in enumerate(base))]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, docs)]
+    assert len(sets[-1] & sets[-2]) / len(sets[-1] | sets[-2]) >= 0.8
+    fours = [{tuple(w[i:i + 4]) for i in range(len(w) - 3)} for w in (docs[-1].split(), docs[-2].split())]
+    assert len(fours[0] & fours[1]) / len(fours[0] | fours[1]) < 0.85
+    first = list(range(len(docs)))
+    for _ in docs:                                               # the smallest document reachable by links
+        for i in range(len(docs)):
+            for j in range(i):
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    first[i] = first[j] = min(first[i], first[j])
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, df, SF_SMALL)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(first))
