@@ -7,7 +7,9 @@ distrust is ``threshold`` or more of the two together.  A host that neither reac
 
 All of it is DataFrame expressions: parsing and rules are one projection, links one regular expression over the page,
 edges a partial aggregate per pair of hosts, and each round one join and one aggregate over hosts; both ranks go
-through the same rounds.  Rank that reaches a host without links stays there.
+through the same rounds, which start from the seeds' own share and end when no host's rank changes by more than
+``tolerance`` of itself, however far from the seeds it lies (ranks are doubles: beyond some 4,000 links they are zero).
+Rank that reaches a host without links stays there.
 
 Defined results: a null url or one without ``://`` has an empty host and path and no rule, and the empty host links to
 nothing; links to the page's own host are no edges; repeated rows count as often as they occur; an empty table gives an
@@ -29,8 +31,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 @dataclass(frozen=True)
 class LinkParams:
     damping: float = 0.85
-    rounds: int = 8
-    checkpoint_every: int = 4
+    rounds: int = 8            # of the SQL check only, whose pages hold no links to other hosts
+    tolerance: float = 1e-10   # largest share by which a round may still change the rank of any host
     threshold: float = 0.5
 
 
@@ -76,13 +78,16 @@ def host_verdicts(seeds: DataFrame, edges: DataFrame, p: LinkParams = LinkParams
     ways = ways.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("out")).alias("share"))
     ways = ways.checkpoint()
     base = start.select("kind", "host", (F.col("rank") * (1 - p.damping)).alias("rank"))
-    ranks = start
-    for i in range(p.rounds):
+    ranks, moved = base, 1.0
+    # Ranks only grow, and a host reached for the first time changes by all of its rank, so paths of any length end.
+    while moved > p.tolerance:
         given = ranks.join(ways, ["kind", "host"]).select(
             "kind", F.col("to").alias("host"), (F.col("rank") * F.col("share") * p.damping).alias("rank"))
-        ranks = base.union(given).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if (i + 1) % p.checkpoint_every == 0 and i + 1 < p.rounds:
-            ranks = ranks.checkpoint()
+        new = base.union(given).withColumn("old", F.lit(0.0))
+        held = ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("old"))
+        sums = new.union(held).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")).checkpoint()
+        moved = sums.agg(F.max(F.try_divide(F.col("rank") - F.col("old"), F.col("rank")))).first()[0] or 0.0
+        ranks = sums.drop("old")
     both = ranks.groupBy("host").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("rank"))), F.lit(0.0)).alias("trust"),
         F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("rank"))), F.lit(0.0)).alias("distrust"))

@@ -56,6 +56,36 @@ def test_url_rules_and_propagation(spark):
     assert url_filter.judge(df.limit(0), queries.URL_RULES).count() == 0
 
 
+def dense_ranks(hosts, seeds, links, damping):
+    """Converged ranks by solving the linear system."""
+    at, m = {h: i for i, h in enumerate(hosts)}, np.zeros((len(hosts), len(hosts)))
+    for a, b, n in links:
+        m[at[b], at[a]] += n
+    m /= np.maximum(m.sum(0), 1)
+    s = np.array([seeds.get(h, 0) for h in hosts], float)
+    return np.linalg.solve(np.eye(len(hosts)) - damping * m, (1 - damping) * s / s.sum())
+
+
+@pytest.mark.parametrize("damping,loops", [(0.85, []), (0.3, [("c3", "c1", 2.0), ("t2", "t1", 1.0)])])
+def test_link_ranks_converge_on_long_paths(spark, damping, loops):
+    chain = [(f"c{i}", f"c{i + 1}", 1.0) for i in range(13)] + [("c13", "bad", 3.0), ("c5", "side", 1.0)]
+    # Two hops after a trusted seed, eight before a blocked one.
+    trusted = [("good", "t1", 1.0), ("t1", "t2", 1.0)] + [(f"t{i}", f"t{i + 1}", 1.0) for i in range(2, 9)] + [("t9", "bad", 1.0)]
+    links = chain + trusted + loops
+    hosts = sorted({h for a, b, _ in links for h in (a, b)})
+    seeds = spark.createDataFrame([("good", 1, 0), ("bad", 0, 1)], "host string, allowed long, blocked long")
+    edges = spark.createDataFrame(links, "src string, dst string, n double")
+    got = {r.host: r for r in url_filter.host_verdicts(seeds, edges, url_filter.LinkParams(damping=damping)).collect()}
+    trust = dense_ranks(hosts, {"good": 1}, links, damping)
+    distrust = dense_ranks(hosts, {"bad": 1}, [(b, a, n) for a, b, n in links], damping)
+    assert set(got) == {h for h, t, d in zip(hosts, trust, distrust) if t + d > 0}
+    for h, t, d in zip(hosts, trust, distrust):
+        if t + d > 0:
+            assert got[h].trust == pytest.approx(t, rel=1e-8) and got[h].distrust == pytest.approx(d, rel=1e-8)
+            assert got[h].verdict == ("block" if d / (t + d) >= 0.5 else "allow")
+    assert got["c0"].verdict == "block" and got["t2"].verdict == "allow"
+
+
 def brute_scan(text, p):
     def split(s):
         return [w for w in re.split(r"[\W_]+", s.lower()) if w]
