@@ -9,13 +9,14 @@ A sentence's features are its words, runs of letters (ASCII letters as a-z, and
 the first 4, 5 and 6 bytes of longer words, so that stems carry over to forms not seen in fitting; sentences end at
 ``.!?`` and newlines.  Features are known by 64-bit hashes: unseen ones weigh nothing and no two share a weight.
 
-Fitting takes a bounded sample of labelled rows: the ``max_docs`` smallest by a hash of the key, as far as their texts
-sum to ``max_chars`` characters; it is fitted in one task, on the ``max_words`` features whose document counts differ
+Fitting takes a bounded sample of labelled keys that have a text, one row a key: the ``max_docs`` smallest by a hash of
+the key, long texts last, each taken if its text still fits into ``max_chars`` characters and passed over if not.  Keys
+and lengths alone decide; then the chosen texts are read and fitted in one task, on the ``max_words`` features whose document counts differ
 most between the classes, and that model goes to the driver.  Scoring streams over all rows with NumPy, about a megabyte of text at a time.
 
 Defined results: a null or empty text scores 0; labels that are null are not learned from; without rows of both classes
-every score is 0; repeated rows score alike; ties in the sample are broken by the key; an empty table gives an empty
-table; ``score`` and ``locate`` read only the named columns, ``keep`` returns all columns of its input unchanged.
+every score is 0; repeated rows score alike; a key with several texts is learned from the one with the smallest hash,
+one with several labels is toxic if any is; ties in the sample are broken by the key; an empty table gives an empty table; ``score`` and ``locate`` read only the named columns, ``keep`` returns all columns of its input unchanged.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kbspark.llm.arrowtext import LOWER, mix, raw_text, rows_of, runs, slices, span_hashes
 
@@ -70,6 +70,7 @@ _STOP[[ord(c) for c in ".!?\n"]] = True
 
 
 PREFIXES = (4, 5, 6)
+LONG = 64                  # a text of more than this part of max_chars is taken after the others
 
 
 def parse(column: pa.Array):
@@ -172,16 +173,25 @@ def _fit(batches: Iterator[pa.RecordBatch], p: FitParams):
 def fit(docs: DataFrame, labels: DataFrame, params: FitParams = FitParams(), key: str = "doc_id", text: str = "text",
         label: str = "toxic") -> Model:
     """A model from the rows of ``labels`` (key, 0/1) and the texts of ``docs``."""
-    bounded = (labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
-               .select(F.col(key).alias("fit_key"), F.col(label).cast("int").alias("fit_label"),
-                       F.xxhash64(F.col(key)).alias("fit_order"))
-               .orderBy("fit_order", "fit_key", "fit_label").limit(params.max_docs))
-    texts = docs.select(F.col(key).alias("fit_key"), F.col(text).alias("fit_text"))
-    # max_docs rows of three numbers: a broadcast of a proven size.
-    sample = texts.join(F.broadcast(bounded), "fit_key").filter(F.col("fit_text").isNotNull())
-    order = Window.orderBy("fit_order", "fit_text").rowsBetween(Window.unboundedPreceding, 0)
-    sample = (sample.withColumn("fit_chars", F.sum(F.length("fit_text")).over(order))
-              .filter(F.col("fit_chars") <= params.max_chars).select("fit_order", "fit_text", "fit_label"))
+    learn = (labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
+             .groupBy(F.col(key).alias("fit_key")).agg(F.max(F.col(label).cast("int")).alias("fit_label")))
+    texts = (docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull())
+             .select(F.col(key).alias("fit_key"), F.length(text).cast("long").alias("fit_size"),
+                     F.xxhash64(text).alias("fit_hash"), F.col(text).alias("fit_text")))
+    # Of the texts of one key that fit at all the one with the smallest hash; numbers only, reduced before the shuffle.
+    sized = (texts.filter(F.col("fit_size") <= params.max_chars).groupBy("fit_key")
+             .agg(F.min_by("fit_size", "fit_hash").alias("fit_size"), F.min("fit_hash").alias("fit_hash")))
+    first = (sized.join(learn, "fit_key").withColumn("fit_order", F.xxhash64("fit_key"))
+             .orderBy(F.col("fit_size") > params.max_chars // LONG, "fit_order", "fit_key").limit(params.max_docs))
+    chosen, left = [], params.max_chars
+    for row in first.collect():                                        # max_docs rows of a key and four numbers
+        if row["fit_size"] <= left:
+            chosen.append(row)
+            left -= row["fit_size"]
+    # The chosen keys: a broadcast of a proven size.
+    sample = (texts.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, first.schema)),
+                         ["fit_key", "fit_size", "fit_hash"])
+              .dropDuplicates(["fit_key"]).select("fit_order", "fit_text", "fit_label"))
     rows = sample.coalesce(1).mapInArrow(functools.partial(_fit, p=params), "model binary").collect()
     if not rows:
         return Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), -np.inf)

@@ -198,6 +198,34 @@ def test_toxicity_learns_and_locates(spark, edge, empty):
     assert {r.score for r in toxicity.score(edge, one_class).collect()} == {0.0}
 
 
+def test_toxicity_sample_passes_over_long_and_repeated_texts(spark):
+    params = toxicity.FitParams(max_chars=100_000, max_docs=300)
+    rows = toxic_rows(400, 2)
+    order = [r.doc_id for r in spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+             .orderBy(F.xxhash64("doc_id")).collect()]
+
+    def same(a, b):
+        return np.array_equal(a.words, b.words) and np.allclose(a.weights, b.weights, atol=1e-5) and len(a.words) > 0
+
+    def fitted(data):
+        df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+        return toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), params)
+
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    for length in (99_000, 200_000):                     # first in the order: fills the bound, or never fits
+        data = [(i, "harmless " * (length // 9) if i == order[0] else t, y) for i, t, y in rows]
+        model = fitted(data)
+        df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+        scores = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+        assert sum((scores[i] >= 0.5) == bool(y) for i, _, y in rows[1:]) >= 0.95 * len(rows)
+    # Copies of a key and of its label count once; labels without a text take no place.
+    hot = next(r for r in rows if r[0] == order[1])
+    df = spark.createDataFrame(rows + [hot] * 500, "doc_id long, text string, toxic int").repartition(4)
+    more = labels.union(labels.filter(F.col("doc_id") == hot[0])).union(
+        spark.range(10_000, 20_000).select("id", F.lit(1)))
+    assert same(toxicity.fit(df.select("doc_id", "text"), more, params), fitted(rows))
+
+
 def brute_targets(sizes, weights, share, repeat):
     free, budget, out = dict(sizes), share * sum(sizes.values()), {}
     weight = {s: weights[i % len(weights)] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
