@@ -3,7 +3,8 @@
 The vector services searched approximately; here the corpus is partitioned
 by Spark ML ``KMeans`` into ``n_lists`` lists, each question probes the
 ``n_probe`` lists with the nearest centroids, and only corpus rows of the
-probed lists are scored.  With ``n_probe = n_lists`` the result is exact.
+probed lists are scored.  With ``n_probe = n_lists`` the result is exact;
+without ``n_probe`` it is fitted to a recall on sampled questions.
 
 Skew: a list (or the set of questions probing it) may hold a large share of
 the rows.  Both sides are salted by per-list counts, so every scoring group
@@ -26,20 +27,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbspark.operators.topk import _SCORE_CELLS, _reduce
+from kbspark.operators.topk import _SCORE_CELLS, _reduce, topk
 from kbspark.session import ship_package
 
 
+def _nearest_lists(Q: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """All lists of each question, nearest first; lists are assigned by Euclidean k-means, so for any metric."""
+    d2 = (Q * Q).sum(1)[:, None] + (centroids * centroids).sum(1)[None, :] - 2.0 * Q @ centroids.T
+    return np.argsort(d2, axis=1, kind="stable")
+
+
 def _probe_fn(centroids: np.ndarray, n_probe: int, metric: str):
     def probe(batches):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             Q = np.stack(pdf["qv"].to_numpy()).astype(np.float64)
-            # Lists are assigned by Euclidean k-means: probe the nearest centroids.
-            d2 = (Q * Q).sum(1)[:, None] + (centroids * centroids).sum(1)[None, :] - 2.0 * Q @ centroids.T
             p = min(n_probe, centroids.shape[0])
-            near = np.argsort(d2, axis=1, kind="stable")[:, :p]
+            near = _nearest_lists(Q, centroids)[:, :p]
             yield pd.DataFrame({"qid": np.repeat(pdf["qid"].to_numpy(), p),
                                 "list": near.reshape(-1).astype(np.int32)})
     return probe
@@ -86,13 +91,34 @@ def _score_group_fn(k: int, metric: str):
     return score
 
 
+def _fitted_probes(qs: DataFrame, assigned: DataFrame, centroids: np.ndarray, k: int, metric: str, recall: float,
+                   sample: int) -> int:
+    """The fewest probes that find ``recall`` of the exact neighbours of a sample of questions, taken by hash."""
+    rows = qs.orderBy(F.xxhash64("qid"), "qid").limit(sample).collect()            # sample rows
+    if not rows:
+        return 1
+    asked = qs.sparkSession.createDataFrame(rows, qs.schema)
+    exact = topk(asked, assigned, k, metric, q_vec="qv", c_vec="cv", exclude="qx" if "qx" in qs.columns else None)
+    found = exact.select("qid", "id").join(assigned.select("id", "list"), "id").select("qid", "list").collect()
+    if not found:
+        return 1
+    order = _nearest_lists(np.stack([r["qv"] for r in rows]).astype(np.float64), centroids)
+    place = np.argsort(order, axis=1)                       # of each list in a question's order
+    at = {r["qid"]: i for i, r in enumerate(rows)}
+    needed = np.sort([place[at[r["qid"]], r["list"]] + 1 for r in found])
+    return int(needed[math.ceil(recall * len(needed)) - 1])
+
+
 def ivf_topk(questions: DataFrame, corpus: DataFrame, k: int = 5, n_lists: int | None = None,
-             n_probe: int = 8, metric: str = "dot", q_id: str = "qid", q_vec: str = "embedding",
+             n_probe: int | None = None, metric: str = "dot", q_id: str = "qid", q_vec: str = "embedding",
              c_id: str = "id", c_vec: str = "embedding", exclude: str | None = None,
              max_group_rows: int = 20000, max_group_questions: int = 4000, seed: int = 7,
-             train_fraction: float | None = None) -> DataFrame:
+             train_fraction: float | None = None, recall: float = 0.95, sample: int = 256) -> DataFrame:
     """Approximate top-``k`` ``(qid, rank, id, score)``; exact when ``n_probe >= n_lists``.
 
+    Without ``n_probe`` the number of probes is fitted: the fewest lists in
+    which ``sample`` questions find ``recall`` of their exact neighbours.
+
     ``train_fraction`` fits the centroids on a sample of the corpus (k-means
     iterates over its input); every corpus row is still assigned and searched.
     """
@@ -111,6 +137,8 @@ def ivf_topk(questions: DataFrame, corpus: DataFrame, k: int = 5, n_lists: int |
     qs = questions.select(F.col(q_id).alias("qid"), F.col(q_vec).alias("qv"),
                           *([F.col(exclude).alias("qx")] if exclude else []))
     q_type = qs.schema["qid"].dataType
+    if n_probe is None:
+        n_probe = _fitted_probes(qs, assigned, centroids, k, metric, recall, sample)
     probes = qs.select("qid", "qv").mapInPandas(
         _probe_fn(centroids, n_probe, metric),
         T.StructType([T.StructField("qid", q_type), T.StructField("list", T.IntegerType())]))

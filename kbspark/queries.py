@@ -392,9 +392,9 @@ def q_retrieve_by_text(spark, d):
 
 
 def q_topk_ivf(spark, d):
-    """Approximate top-5 over a k-means inverted file (8 probed lists), leave-one-out."""
+    """Approximate top-5 over a k-means inverted file (as many probed lists as recall asks for), leave-one-out."""
     from kbspark.operators.ann import ivf_topk
-    return ivf_topk(X.questions_v(spark, d), X.corpus_dot(spark, d), k=P.TOP_K_DOT, n_probe=8, exclude="qid")
+    return ivf_topk(X.questions_v(spark, d), X.corpus_dot(spark, d), k=P.TOP_K_DOT, exclude="qid")
 
 
 def q_populate_index(spark, d):

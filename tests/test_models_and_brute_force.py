@@ -1,7 +1,8 @@
 """Rows-only queries checked against brute force; pluggable embedder and generator wiring."""
 
 import numpy as np
-from conftest import SF_SMALL
+import pytest
+from conftest import SF_CHECK, SF_SMALL
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,6 +118,25 @@ def test_ivf_probing_every_list_is_exact_and_salting_is_invisible(spark):
     assert r.total == exact.count() and 0.0 < r.recall <= 1.0
 
 
+@pytest.mark.parametrize("d", [SF_SMALL, SF_CHECK])
+def test_registered_ivf_meets_the_recall_floor(spark, d):
+    from kbspark.operators.ann import recall_at_k
+
+    r = recall_at_k(QUERIES["topk_ivf"](spark, d), QUERIES["topk_cosine"](spark, d)).first()
+    assert r.total > 0 and r.recall >= 0.9
+
+
+def test_fitted_probes_follow_the_lists(spark):
+    from kbspark.operators.ann import ivf_topk, recall_at_k
+
+    qs, corpus = X.questions_v(spark, SF_SMALL), X.corpus_dot(spark, SF_SMALL)
+    exact = topk(qs, corpus, k=5, exclude="qid")
+    few = ivf_topk(qs, corpus, k=5, n_lists=60, exclude="qid", sample=100)        # fitted on some questions
+    assert recall_at_k(few, exact).first().recall >= 0.9
+    none = ivf_topk(qs.limit(0), corpus, k=5, n_lists=6, exclude="qid")
+    assert none.count() == 0
+
+
 def test_model_generator_matches_native_stub(spark):
     from kbspark.plans.answer import model_generator, score_requests
 
@@ -164,7 +184,6 @@ def test_model_generator_passes_parameters_times_calls_and_keeps_errors(spark):
 
 
 def test_every_question_has_an_answer_row(spark):
-    from kbspark.queries import QUERIES
 
     n = X.chat_questions(spark, SF_SMALL).count()
     rows = QUERIES["answer_questions"](spark, SF_SMALL).collect()
