@@ -25,7 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Notices by which public licenses are applied to a work.
+# Notices by which public licenses are applied to a work, and licence texts: short ones whole, long ones by
+# a passage that every copy holds.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0-header", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
@@ -42,6 +43,66 @@ TEMPLATES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("apache-2.0-short", "Licensed under the Apache License v2"),
+    ("apache-2.0-brief", "Licensed under Apache 2.0"),
+    ("apache-2.0-text", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall "
+     "mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this "
+     "document. \"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting "
+     "the License."),
+    ("mit-licensed", "Licensed under the MIT License"),
+    ("mit-distributed", "Distributed under the MIT License"),
+    ("mit-available", "Available under the MIT License"),
+    ("mit-terms", "Under the terms of the MIT License"),
+    ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+     "associated documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+     "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+     "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+     "the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT "
+     "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+     "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+     "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+     "DEALINGS IN THE SOFTWARE."),
+    ("gpl-licensed", "Licensed under the GNU General Public License"),
+    ("gpl-text", "The GNU General Public License is a free, copyleft license for software and other kinds of works. The "
+     "licenses for most software and other practical works are designed to take away your freedom to share and change "
+     "the works."),
+    ("lgpl", "Under the GNU Lesser General Public License"),
+    ("lgpl-terms", "Under the terms of the GNU Lesser General Public License"),
+    ("lgpl-header", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+     "Lesser General Public License as published by the Free Software Foundation"),
+    ("lgpl-3.0-text", "This version of the GNU Lesser General Public License incorporates the terms and conditions of "
+     "version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("agpl", "Under the GNU Affero General Public License"),
+    ("agpl-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+     "Affero General Public License as published by the Free Software Foundation"),
+    ("agpl-text", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of "
+     "works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("bsd-licensed", "Licensed under the BSD License"),
+    ("bsd-3-clause", "Licensed under the 3-Clause BSD License"),
+    ("bsd-disclaimer", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR "
+     "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+     "PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("isc-licensed", "Licensed under the ISC License"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+     "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, "
+     "modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+     "binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors "
+     "be held liable for any damages arising from the use of this software."),
+    ("mpl-2.0-licensed", "Licensed under the Mozilla Public License"),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+     "License 2.0"),
+    ("cc0-1.0", "Dedicated to the public domain under CC0 1.0"),
+    ("cc0-1.0-waiver", "To the extent possible under law, the author has waived all copyright and related or "
+     "neighboring rights to this work"),
+    ("cc-by-4.0-short", "Licensed under CC BY 4.0"),
+    ("cc-by-sa-4.0-short", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-sa-4.0", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-sa-available", "Text is available under the Creative Commons Attribution-ShareAlike License"),
+    ("cc-by-nc-4.0-long", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd-4.0-short", "Licensed under CC BY-ND 4.0"),
 )
 # End of fixed values.
 

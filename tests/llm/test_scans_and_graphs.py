@@ -119,6 +119,27 @@ def test_license_scan_equals_brute_force(spark):
     assert license_scan.scan(df, templates=[("short", "three word notice")]).count() == 0
 
 
+def test_license_scan_finds_reworded_notices_and_whole_texts(spark):
+    filler = " ".join(f"word{i}" for i in range(40))
+    notices = ["Licensed under the MIT License", "distributed under the MIT license", "Licensed under the Apache License v2",
+               "licensed under Apache-2.0", "under the terms of the GNU Lesser General Public License",
+               "under the GNU Affero General Public License", "Licensed under the ISC license",
+               "Licensed under CC BY-SA 4.0", "dedicated to the public domain under CC0 1.0"]
+    texts = [f"{filler}\n{x}.\n{filler}" for x in notices]
+    for name in ("unlicense", "isc", "mit-text"):                       # a changed word is admitted
+        body = dict(license_scan.TEMPLATES)[name].split()
+        texts.append(" ".join([*body[:9], "changed", *body[10:]]))
+    want = ["mit-licensed", "mit-distributed", "apache-2.0-short", "apache-2.0-brief", "lgpl-terms", "agpl", "isc-licensed",
+            "cc-by-sa-4.0-short", "cc0-1.0", "unlicense", "isc", "mit-text"]
+    texts += ["Licensed under CC BY-XY 4.0", "Released under the Foo License"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collections.defaultdict(set)
+    for r in license_scan.scan(df).collect():
+        got[r.doc_id].add(r.license_id)
+    assert all(w in got[i] for i, w in enumerate(want)) and set(got) == set(range(len(want)))
+    assert got[7] == {"cc-by-sa-4.0-short"} and got[0] == {"mit-licensed"}
+
+
 def test_token_counts(spark, tmp_path):
     got = queries.op9_token_counts(spark, SF_SMALL).collect()
     want = byte_bpe.round_trip(spark.read.parquet(f"{SF_SMALL}/documents.parquet"), queries.rank_file()).collect()
