@@ -158,6 +158,18 @@ def test_partenum_edges(edge, empty):
     assert partenum.keep_first(edge).columns == edge.columns
 
 
+def test_partenum_links_through_null_keys(spark):
+    base = [f"w{i}" for i in range(100)]
+    first, middle, last = (" ".join(["x"] * k + base[k:]) for k in (0, 6, 12))       # only neighbours link
+    rows = [(1, first), (None, middle), (2, last), (None, "another text without a key at all"), (None, middle), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ends = df.filter("doc_id IS NOT NULL")
+    assert {r.doc_id: r.component_id for r in partenum.join(ends).collect()} == {1: 1, 2: 2, 3: 3}
+    got = collections.Counter((r.doc_id, r.component_id) for r in partenum.join(df).collect())
+    assert got == {(1, 1): 1, (None, 1): 2, (2, 1): 1, (None, None): 1, (3, 3): 1}
+    assert sorted(r.doc_id for r in partenum.keep_first(df.filter("doc_id IS NOT NULL OR text LIKE '%w50%'")).collect()) == [1, 3]
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(path, "u long, v long")).collect()))
