@@ -19,7 +19,7 @@ of text at a time; equal words, windows and lines are compared by 64-bit hashes
 Defined results: a null or empty text has no words and fails the base rules; a line without words is removed silently
 and counts for nothing; texts of any length are read whole; repeated rows are judged alike; an empty table gives an
 empty table.  ``judge`` reads only the named columns; ``keep`` returns all columns of its input unchanged, whatever
-their names.
+their names; ``keep_clean`` changes the text of documents that lose lines, and its length column.
 """
 
 from __future__ import annotations
@@ -177,26 +177,56 @@ def keep(df: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> D
     return df.mapInArrow(functools.partial(_keep, rules=rules, text=text), df.schema)
 
 
+def without_failed(column: pa.Array, got: dict) -> list[str]:
+    """The texts without their failed lines."""
+    data, bounds = raw_text(column)
+    starts, ends, rows, failed = got["_spans"]
+    gone = [[] for _ in range(len(column))]
+    for line in np.flatnonzero(failed):
+        gone[rows[line]].append((int(starts[line]), int(ends[line])))
+    raw = data.tobytes()
+    texts = []
+    for row, spans in enumerate(gone):
+        at, pieces = int(bounds[row]), []
+        for a, b in spans:
+            pieces.append(raw[at:a])
+            at = min(b + 1, int(bounds[row + 1]))                             # with its newline
+        texts.append(b"".join([*pieces, raw[at:int(bounds[row + 1])]]).decode())
+    return texts
+
+
+def _keep_clean(batches: Iterator[pa.RecordBatch], rules: LineRules, text: str, size: str):
+    for batch in batches:
+        for part in slices(batch, text):
+            got = measure(part.column(part.schema.get_field_index(text)), rules)
+            whole = part.filter(pa.array(got["kept"] & (got["n_failed_lines"] == 0)))
+            if whole.num_rows:
+                yield whole
+            some = got["kept"] & (got["n_failed_lines"] > 0)
+            if some.any():
+                cut = part.filter(pa.array(some))
+                column = cut.column(cut.schema.get_field_index(text))
+                texts = without_failed(column, measure(column, rules))
+                for name, values in ((text, texts), (size, [len(t) for t in texts])):
+                    if (at := cut.schema.get_field_index(name)) >= 0:
+                        field = cut.schema.field(at)
+                        cut = cut.set_column(at, field, pa.array(values, field.type))
+                yield cut
+
+
+def keep_clean(df: DataFrame, rules: LineRules = LineRules(), text: str = "text", size: str = "n_chars") -> DataFrame:
+    """The rows whose text is kept, without the lines that failed; ``size``, if it is a column, is the new length of a
+    text that lost lines.  All other columns as they are."""
+    return df.mapInArrow(functools.partial(_keep_clean, rules=rules, text=text, size=size), df.schema)
+
+
 def _clean(batches: Iterator[pa.RecordBatch], rules: LineRules, key: str, text: str):
     for batch in batches:
         for part in slices(batch, text):
             column = part.column(part.schema.get_field_index(text))
             got = measure(column, rules)
-            data, bounds = raw_text(column)
-            starts, ends, rows, failed = got["_spans"]
-            gone = [[] for _ in range(part.num_rows)]
-            for line in np.flatnonzero(failed):
-                gone[rows[line]].append((int(starts[line]), int(ends[line])))
-            raw = data.tobytes()
-            texts = []
-            for row, spans in enumerate(gone):
-                at, pieces = int(bounds[row]), []
-                for a, b in spans:
-                    pieces.append(raw[at:a])
-                    at = min(b + 1, int(bounds[row + 1]))                     # with its newline
-                texts.append(b"".join([*pieces, raw[at:int(bounds[row + 1])]]).decode())
             yield pa.RecordBatch.from_pydict({key: part.column(part.schema.get_field_index(key)),
-                                              "clean_text": pa.array(texts, pa.string()),
+                                              "clean_text": pa.array(without_failed(column, got), pa.string()),
                                               "kept": pa.array(got["kept"])})
 
 

@@ -101,6 +101,20 @@ def test_line_quality(spark, edge, empty):
     assert line_quality.keep(edge).columns == edge.columns
 
 
+def test_pipeline_quality_stage_removes_failed_lines(spark, edge, empty):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["quality_rules"]
+    good = "\n".join(" ".join(f"word{i}é{k}" for k in range(8)) + "." for i in range(9))
+    cookie, menu = "We use cookies, see our cookie policy.", "Home | About | Contact | News"
+    rows = [(1, "a", good, len(good)), (2, "b", f"{menu}\n{good}\n{cookie}", 7), (3, "c", menu, len(menu)), (4, "d", None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string, n_chars long")
+    held = stage(spark, df, SF_SMALL)
+    assert held.schema == df.schema
+    assert sorted(map(tuple, held.collect())) == [rows[0], (2, "b", good + "\n", len(good) + 1)]
+    assert stage(spark, edge, SF_SMALL).columns == edge.columns and stage(spark, empty, SF_SMALL).count() == 0
+
+
 def near_groups(seed):
     rng = random.Random(seed)
     vocab, docs = [f"w{i}" for i in range(3000)], []
