@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import (byte_bpe, chat, license_scan, line_quality, lsh_search, mixing, partenum, token_files, toxicity,
-                         url_filter)
+from kbspark.llm import (byte_bpe, chat, license_scan, line_quality, lsh_search, mixing, partenum, periodic, repeats,
+                         spelling, token_files, toxicity, url_filter)
 from kbspark.session import ensure_checkpoint_dir
 from kbspark.sources.tables import load
 
@@ -81,6 +84,49 @@ def op10_lsh_search(spark: SparkSession, d: str) -> DataFrame:
     return lsh_search.search(load(spark, d, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op11_maximal_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return (repeats.remove(load(spark, d, "documents"))
+            .select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
+#: The runs that count as words, and their lower case (A-Z only).
+RUN = "[A-Za-z\u00C0-\u00FF]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def typed_words(docs: DataFrame, every: int = 199) -> DataFrame:
+    """``word``: all runs of all texts; where ``every`` divides the crc32 of ``<doc_id>:<run>``, a code point is deleted
+    (a null doc_id has no such hash, so nothing is)."""
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all(
+        F.translate("text", UPPER, LOWER), F.lit(f"({RUN})"), F.lit(1))).alias("run"))
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "run").cast("binary"))
+    at = (h % F.char_length("run")).cast("int")
+    cut = F.concat(F.col("run").substr(F.lit(1), at), F.col("run").substr(at + 2, F.char_length("run")))
+    return runs.select(F.when(h % every == 0, cut).otherwise(F.col("run")).alias("word"))
+
+
+def op12_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    words = typed_words(load(spark, d, "documents").select("doc_id", "text"))
+    return spelling.group(spelling.vocabulary(words))
+
+
+def looped(key, n: int):
+    """The word numbers of the text that the periodic-run query looks at: every tenth document (by crc32) repeats some
+    of its own words."""
+    h = None if key is None else zlib.crc32(str(key).encode())
+    if h is None or h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    i = np.arange(n)
+    return np.where(i >= a, a + (i - a) % p, i)
+
+
+def op13_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    return periodic.digest(periodic.detect(load(spark, d, "documents"), rewrite=looped))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,5 +144,8 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_token_counts": op9_token_counts,
     "op10_lsh_search": op10_lsh_search,
+    "op11_maximal_repeats": op11_maximal_repeats,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
