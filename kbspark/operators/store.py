@@ -1,7 +1,7 @@
 """Vector collections and their upsert policies (K3-K7, A1).
 
-Plain Parquet has no MERGE; a batch is added as it is and reading keeps the
-newest row of every key (see :func:`upsert_into`).
+A collection on disk is a folder of plain Parquet batches, ``batch=<number>``;
+reading keeps the newest row of every key (see :func:`upsert_into`).
 Upsert policies:
 
 * ``replace`` (K4): insert or replace by id; the newest version wins.
@@ -10,7 +10,7 @@ Upsert policies:
 
 from __future__ import annotations
 
-import uuid
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,15 +28,24 @@ VECTOR_SCHEMA = T.StructType([
 def upsert_replace(old: DataFrame, new: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
     """K4: union of stored and incoming rows, one row per id, highest ``version`` wins.
 
-    Within one version the incoming row wins over the stored one.  The
-    aggregate (``max_by``) keeps the shuffle to one row per id per task.
+    Within one version the incoming row wins over the stored one.  Winners are found on the keys alone (a partial
+    aggregate over id and version); the other columns come back by one join, so a reader that asks for some of them
+    neither reads nor moves the rest (vectors, documents).
     """
     cols = [c for c in old.columns]
     both = (old.select(*cols, F.lit(0).alias("_src"))
             .unionByName(new.select(*cols, F.lit(1).alias("_src"))))
-    rest = [c for c in cols if c != key]
-    best = F.max_by(F.struct(*rest), F.struct(F.col(version), F.col("_src")))
-    return both.groupBy(key).agg(best.alias("_b")).select(key, "_b.*").select(cols)
+    return _newest(both, key, [version, "_src"]).dropDuplicates([key]).select(cols)
+
+
+def _newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The rows of every key that are greatest by ``order``, found on these columns and joined back."""
+    win = (rows.groupBy(key).agg(F.max(F.struct(*order)).alias("_o"))
+           .select(F.col(key).alias("_key"), *[F.col(f"_o.{c}").alias(f"_{c}") for c in order]))
+    same = rows[key].eqNullSafe(win["_key"])
+    for c in order:
+        same &= rows[c].eqNullSafe(win[f"_{c}"])
+    return rows.join(win, same).select(*rows.columns)
 
 
 def dedup_batch_first(new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
@@ -69,12 +78,11 @@ def count_records(collection: DataFrame) -> DataFrame:
 
 # --- collections on disk ------------------------------------------------------------------------
 #
-# A collection is a folder of Parquet batches that are only ever added, and ``_commits``, one small file per batch
-# that counts, in order.  A batch exists for readers once its commit file does, so a write that breaks off leaves
-# nothing behind that a reader sees, and files a reader holds are never overwritten.  Rows carry their commit number;
-# reading keeps the newest row of every key.  ``compact`` writes that state as one new batch from which readers start.
+# ``<path>/batch=<number>`` holds one batch as plain Parquet.  Writing a batch again overwrites its own folder only, so a
+# replay or a write that broke off and is repeated changes nothing else.  Batch 0 is the empty table of the creation; its
+# schema carries the vector size.  One writer at a time numbers the batches (a stream takes its epochs).
 
-COMMIT = "_commit"
+BATCH = "batch"
 
 
 def _path(spark: SparkSession, path: str):
@@ -82,90 +90,75 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def commits(spark: SparkSession, path: str) -> list[list[str]]:
-    """``[number, kind, folder or dimension]`` of the commits of a collection, in order (kinds: create, add, base)."""
-    log, fs = _path(spark, f"{path}/_commits")
-    if not fs.exists(log):
-        return []
-    return sorted(st.getPath().getName().split("_", 2) for st in fs.listStatus(log))
-
-
-def _commit(spark: SparkSession, path: str, number: int, kind: str, what: str) -> None:
-    """Add commit ``number``; a name says all, so the file is empty and appears at once."""
-    _, fs = _path(spark, path)
-    if any(int(n) >= number for n, _, _ in commits(spark, path)):
-        raise RuntimeError(f"another writer has changed {path}; repeat the upsert")
-    name, _ = _path(spark, f"{path}/_commits/{number:010d}_{kind}_{what}")
-    fs.create(name, False).close()
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
 
 
-def next_version(spark: SparkSession, path: str) -> int:
-    """A number that grows with every batch of the collection, for versions of incoming rows."""
-    return len(commits(spark, path)) + 1
+def next_batch(spark: SparkSession, path: str) -> int:
+    """The number after the last batch of the collection."""
+    p, fs = _path(spark, path)
+    if not fs.exists(p):
+        return 1
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    return 1 + max((int(n.partition("=")[2]) for n in names if n.startswith(f"{BATCH}=")), default=0)
 
 
-def declared_dim(spark: SparkSession, path: str) -> int | None:
+def declared_dim(spark: SparkSession, path: str, vec: str = "embedding") -> int | None:
     """The vector size that the collection was created with, if any."""
-    return next((int(what) for _, kind, what in commits(spark, path) if kind == "create" and what != "any"), None)
+    schema = spark.read.parquet(f"{path}/{BATCH}=0").schema
+    return schema[vec].metadata.get("dim") if vec in schema.names else None
 
 
 def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All rows of the batches since the last compaction, with their commit number."""
-    log = commits(spark, path)
-    base = max((i for i, c in enumerate(log) if c[1] == "base"), default=0)
-    folders = [f"{path}/{what}" for _, kind, what in log[base:] if kind != "create"]
-    full = T.StructType(list(schema.fields) + [T.StructField(COMMIT, T.LongType())])
-    if not folders:
-        return spark.createDataFrame([], full)
-    return spark.read.schema(full).parquet(*folders)
-
-
-def _newest(rows: DataFrame, key: str) -> DataFrame:
-    rest = [c for c in rows.columns if c != key]
-    order = F.struct(*[c for c in ("version", COMMIT) if c in rows.columns])
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_b")).select(key, "_b.*")
+    """All rows of all batches, with their batch number."""
+    full = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
+    return spark.read.schema(full).parquet(path)
 
 
 def get_or_create(spark: SparkSession, path: str, schema: T.StructType = VECTOR_SCHEMA, key: str | None = None,
-                  dim: int | None = None) -> DataFrame:
+                  dim: int | None = None, vec: str = "embedding") -> DataFrame:
     """K6: the collection at ``path``; created empty on first use, for vectors of size ``dim`` (None: any).
 
     Nothing that exists is overwritten.  ``key`` is the schema's first column unless named.
     """
-    if not commits(spark, path):
-        _commit(spark, path, 1, "create", "any" if dim is None else str(dim))
-    found = declared_dim(spark, path)
+    if not _exists(spark, f"{path}/{BATCH}=0"):
+        fields = [T.StructField(f.name, f.dataType, True, {"dim": dim}) if f.name == vec and dim is not None else f
+                  for f in schema.fields]
+        spark.createDataFrame([], T.StructType(fields)).write.mode("overwrite").parquet(f"{path}/{BATCH}=0")
+    found = declared_dim(spark, path, vec)
     if dim is not None and found is not None and found != dim:
         raise ValueError(f"{path} holds vectors of size {found}, not {dim}")
-    return _newest(_stored(spark, path, schema), key or schema.fieldNames()[0]).select(*schema.fieldNames())
+    order = [c for c in ("version", BATCH) if c in schema.names or c == BATCH]
+    return _newest(_stored(spark, path, schema), key or schema.fieldNames()[0], order).select(*schema.fieldNames())
 
 
 def rejects(spark: SparkSession, path: str, schema: T.StructType = VECTOR_SCHEMA) -> DataFrame:
     """V4: rows that upserts did not take, their vector not being of the collection's size."""
-    folder, fs = _path(spark, f"{path}/_rejects")
-    if not fs.exists(folder):
+    if not _exists(spark, f"{path}/_rejects"):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/_rejects")
+    return spark.read.schema(schema).option("basePath", f"{path}/_rejects").parquet(f"{path}/_rejects/{BATCH}=*")
 
 
 def upsert_into(spark: SparkSession, path: str, batch: DataFrame, policy: str = "replace", key: str | None = None,
-                schema: T.StructType = VECTOR_SCHEMA, dim: int | None = None, vec: str = "embedding") -> DataFrame:
+                schema: T.StructType = VECTOR_SCHEMA, dim: int | None = None, vec: str = "embedding",
+                number: int | None = None) -> DataFrame:
     """K4/K5 on disk: add ``batch`` to the collection at ``path`` by ``key``.
 
     ``policy`` is ``replace`` (newest ``version`` wins, the later batch wins ties, the last row inside a batch) or
     ``ignore`` (stored rows kept, new keys added; the first row per key inside a batch, by its place in the batch).
-    Only the batch is written; ``ignore`` reads the stored keys, ``replace`` nothing.  Replaying a batch changes no
-    row.  In a collection of a declared size, other vectors go to :func:`rejects`.
+    Only the batch is written, under its ``number`` (the next one unless named); ``ignore`` reads the keys of earlier
+    batches, ``replace`` nothing.  In a collection of a declared size, other vectors go to :func:`rejects`.
     """
     key = key or schema.fieldNames()[0]
-    get_or_create(spark, path, schema, key, dim)
-    dim = declared_dim(spark, path)
-    number = int(commits(spark, path)[-1][0]) + 1
+    get_or_create(spark, path, schema, key, dim, vec)
+    dim = declared_dim(spark, path, vec)
+    number = next_batch(spark, path) if number is None else number
     rows = batch.select(*schema.fieldNames())
     if dim is not None and vec in rows.columns:
         fits = F.coalesce(F.size(vec) == dim, F.lit(False))
         rows = rows.checkpoint()              # read twice, and the batch may be costly to make (an embedder)
-        (rows.filter(~fits).write.parquet(f"{path}/_rejects/{number:010d}-{uuid.uuid4().hex}"))
+        rows.filter(~fits).write.mode("overwrite").parquet(f"{path}/_rejects/{BATCH}={number}")
         rows = rows.filter(fits)
     placed = rows.withColumn("_at", F.monotonically_increasing_id())
     if policy == "replace":
@@ -173,32 +166,19 @@ def upsert_into(spark: SparkSession, path: str, batch: DataFrame, policy: str =
         rest = [c for c in placed.columns if c != key]
         new = placed.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_b")).select(key, "_b.*")
     else:
-        new = (dedup_batch_first(placed, key, "_at")
-               .join(_stored(spark, path, schema).select(key).distinct(), key, "left_anti"))
-    folder = f"batch-{uuid.uuid4().hex}"
-    (new.select(*schema.fieldNames()).withColumn(COMMIT, F.lit(number).cast("long"))
-     .write.parquet(f"{path}/{folder}"))
-    _commit(spark, path, number, "add", folder)
+        earlier = _stored(spark, path, schema).filter(F.col(BATCH) < number).select(key).distinct()
+        new = dedup_batch_first(placed, key, "_at").join(earlier, key, "left_anti")
+    new.select(*schema.fieldNames()).write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
     return get_or_create(spark, path, schema, key)
 
 
-def compact(spark: SparkSession, path: str, schema: T.StructType = VECTOR_SCHEMA, key: str | None = None) -> None:
-    """Write the newest row of every key as one batch; later reads start there.  Old files stay for their readers."""
-    log = commits(spark, path)
-    if not any(kind != "create" for _, kind, _ in log):
-        return
-    folder = f"base-{uuid.uuid4().hex}"
-    _newest(_stored(spark, path, schema), key or schema.fieldNames()[0]).write.parquet(f"{path}/{folder}")
-    _commit(spark, path, int(log[-1][0]) + 1, "base", folder)
-
-
 def list_collections(spark: SparkSession, parent: str) -> list[str]:
-    """K7: names of the collections (folders with a commit log) under ``parent``."""
+    """K7: names of the collections under ``parent``."""
     p, fs = _path(spark, parent)
     if not fs.exists(p):
         return []
     return sorted(st.getPath().getName() for st in fs.listStatus(p)
-                  if st.isDirectory() and commits(spark, st.getPath().toString()))
+                  if st.isDirectory() and _exists(spark, f"{st.getPath().toString()}/{BATCH}=0"))
 
 
 def append_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -206,13 +186,14 @@ def append_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("append").format(fmt).save(path)
 
 
-def write_kb(kb: DataFrame, path: str, files_per_host: int = 8) -> None:
+def write_kb(kb: DataFrame, path: str, file_bytes: int = 256 << 20) -> None:
     """K3: write the knowledge base partitioned by host; a rerun replaces only the hosts it holds.
 
-    Rows are spread by ``(host, hash(path) mod files_per_host)`` before the
-    write, so a host holding a large share of the documents is written by
-    several tasks (several files) instead of one.
+    The number of writers follows the bytes of the texts, and rows are range-partitioned by host and a hash of the path,
+    so a host of any size is written by its share of the writers, in files of about ``file_bytes`` of text, and a small
+    host by one or two.
     """
-    slot = F.pmod(F.xxhash64("path"), F.lit(files_per_host))
-    (kb.repartition("host", slot).write.mode("overwrite")
+    total = kb.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    writers = max(1, math.ceil(total / file_bytes))
+    (kb.repartitionByRange(writers, "host", F.xxhash64("path")).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("host").parquet(path))

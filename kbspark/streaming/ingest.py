@@ -1,8 +1,9 @@
 """Push ingest (S6, T3): pages landing in a folder -> text -> knowledge base, each url once.
 
-Each micro-batch is added to the knowledge base by path; within and across
-batches, and across runs, the later landing wins.  The stream's checkpoint
-belongs to the knowledge base, so a later run takes new landings only.
+Each micro-batch is written as one batch folder of the knowledge base, numbered
+by the stream's epoch; within and across batches, and across runs, the later
+landing wins.  The stream's checkpoint belongs to the knowledge base, so a later
+run takes new landings only, and a replayed epoch overwrites its own folder.
 """
 
 from __future__ import annotations
@@ -42,8 +43,7 @@ def run_ingest(spark: SparkSession, stream: DataFrame, root: str, params: KbPara
     def apply(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
-        rows = kb_rows(batch, store.next_version(spark, root), params)
-        store.upsert_into(spark, root, rows, "replace", schema=KB_SCHEMA)
+        store.upsert_into(spark, root, kb_rows(batch, epoch + 1, params), "replace", schema=KB_SCHEMA, number=epoch + 1)
 
     run_available_now(stream, f"{root}/_checkpoint", foreach_batch=apply)
     return store.get_or_create(spark, root, KB_SCHEMA)

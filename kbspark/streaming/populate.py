@@ -1,9 +1,10 @@
 """Incremental populate (T2): new documents -> vectors -> upsert into the collection, per micro-batch.
 
 ``foreachBatch`` applies each micro-batch with the collection's upsert
-policy.  The record version is a number that grows with every batch of the
-collection, and the stream's checkpoint belongs to the collection: a later
-run takes new landings only, and an updated document replaces the old one.
+policy, under the stream's epoch as its batch number and version.  The
+checkpoint belongs to the collection: a later run takes new landings only, an
+updated document replaces the old one, and a replayed epoch overwrites its own
+batch folder.
 """
 
 from __future__ import annotations
@@ -47,8 +48,8 @@ def run_populate(spark: SparkSession, stream: DataFrame, root: str, policy: str
     def apply(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():        # availableNow may end with an empty batch
             return
-        store.upsert_into(spark, root, vector_records(batch, params, store.next_version(spark, root)), policy,
-                          dim=params.dim)
+        store.upsert_into(spark, root, vector_records(batch, params, epoch + 1), policy, dim=params.dim,
+                          number=epoch + 1)
 
     run_available_now(stream, f"{root}/_checkpoint", foreach_batch=apply)
     return store.get_or_create(spark, root)

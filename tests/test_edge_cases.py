@@ -171,26 +171,25 @@ def test_collection_without_markers_keeps_its_rows(spark, tmp_path):
     assert _docs(K.get_or_create(spark, root)) == {"0": "d", "1": "e", "2": "d"}
 
 
-def test_collection_ignores_a_batch_without_its_commit(spark, tmp_path, monkeypatch):
+def test_collection_batch_replayed_or_broken_off(spark, tmp_path):
     root = str(tmp_path / "c")
     K.upsert_into(spark, root, _vectors(spark, ("a", [1.0], "old", 1)))
     before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
-
-    def crash(*_):
-        raise RuntimeError("crash")
-
-    with monkeypatch.context() as m:
-        m.setattr(K, "_commit", crash)
-        with pytest.raises(RuntimeError, match="crash"):
-            K.upsert_into(spark, root, _vectors(spark, ("a", [1.0], "lost", 2)))
+    # What a write leaves that breaks off: files below _temporary, which no reader sees.
+    left = tmp_path / "c" / "batch=2" / "_temporary" / "0"
+    left.mkdir(parents=True)
+    (left / "part-0.parquet").write_bytes(b"torn")
     assert _docs(K.get_or_create(spark, root)) == {"a": "old"}
-    K.upsert_into(spark, root, _vectors(spark, ("a", [1.0], "new", 2), ("b", [1.0], "b", 2)))
-    assert _docs(K.get_or_create(spark, root)) == {"a": "new", "b": "b"}
-    assert {p: p.stat().st_mtime_ns for p in before} == before          # a small batch leaves other files alone
-    K.compact(spark, root)
-    assert _docs(K.get_or_create(spark, root)) == {"a": "new", "b": "b"}
-    K.upsert_into(spark, root, _vectors(spark, ("b", [1.0], "b2", 3)))
-    assert _docs(K.get_or_create(spark, root)) == {"a": "new", "b": "b2"}
+    new = _vectors(spark, ("a", [1.0], "new", 2), ("b", [1.0], "b", 2))
+    for _ in range(2):                                                  # the same batch again changes nothing
+        K.upsert_into(spark, root, new, number=2)
+        assert _docs(K.get_or_create(spark, root)) == {"a": "new", "b": "b"}
+    assert {p: p.stat().st_mtime_ns for p in before} == before          # a batch leaves other files alone
+    for _ in range(2):                                                  # a replayed "ignore" meets earlier batches only
+        K.upsert_into(spark, root, _vectors(spark, ("b", [1.0], "late", 3), ("c", [1.0], "c", 3)), "ignore", number=3)
+        assert _docs(K.get_or_create(spark, root)) == {"a": "new", "b": "b", "c": "c"}
+    K.upsert_into(spark, root, _vectors(spark, ("b", [1.0], "b2", 4)))
+    assert _docs(K.get_or_create(spark, root)) == {"a": "new", "b": "b2", "c": "c"}
 
 
 def test_collection_of_one_dimension_and_first_rows(spark, tmp_path):

@@ -50,3 +50,14 @@ def test_attempts_are_resolved_without_page_bodies(spark):
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", df._jdf.queryExecution().explainString(mode))
     assert schemas and all("html" not in s for s in schemas), schemas
+
+
+def test_upsert_finds_winners_without_vectors(spark):
+    df = QUERIES["upsert_replace"](spark, SF_SMALL)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", df._jdf.queryExecution().explainString(mode))
+    assert schemas and all("embedding" not in s for s in schemas), schemas
+
+
+def test_metrics_use_no_sketch(spark):
+    assert "percentile_approx" not in plan(QUERIES["request_metrics_daily"](spark, SF_SMALL))

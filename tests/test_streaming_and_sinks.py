@@ -120,3 +120,58 @@ def test_stream_metrics_of_a_shuffled_landing_of_four_files(spark):
     a = run_request_metrics(spark, f"{SF_CHECK}/events.parquet").select(cols)
     b = run_request_metrics(spark, land).select(cols)
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def _land(spark, land, rows):
+    (spark.createDataFrame(rows, "event_id long, ts string, value double")
+     .select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.lit("q").alias("event_type"), "value")
+     .coalesce(1).write.mode("append").parquet(land))
+
+
+def test_stream_metrics_count_late_rows_over_several_runs(spark):
+    from kbspark.streaming.metrics import apply_batch, closed_windows, events_stream, late_rows, open_rows
+    from kbspark.streaming.runner import stream_dir
+
+    land, root = os.path.join(tempfile.mkdtemp(prefix="kbspark-land-"), "events"), stream_dir(spark, "counted")
+    landings = [[(1, "2024-01-01 10:00:00", 1.0), (2, "2024-01-03 12:00:00", 2.0)],
+                [(3, "2024-01-01 11:00:00", 100.0), (4, "2024-01-03 11:30:00", 3.0), (5, None, 9.0),
+                 (6, "2024-01-05 00:30:00", 4.0), (7, "2024-01-03 23:00:00", None)],
+                [(8, "2024-01-04 23:30:00", 8.0), (9, "2024-01-03 00:00:00", 7.0)]]
+    total = 0
+    for rows in landings:
+        _land(spark, land, rows)
+        total += len(rows)
+        closed = run_request_metrics(spark, land, root=root)
+        counts = [closed, late_rows(spark, root), open_rows(spark, root)]
+        assert sum(r.requests for c in counts for r in c.collect()) == total
+    # Two batches closed a window each: Jan 1 at Jan 3 11:00; Jan 3 when Jan 5 came, half an hour early for Jan 4.
+    assert {r.day: (r.requests, r.max_s, r.p50_s) for r in closed.collect()} == {
+        "2024-01-01": (1, 1.0, 1.0), "2024-01-03": (3, 3.0, 2.0)}
+    assert {(r.lane, r.day): r.requests for r in late_rows(spark, root).collect()} == {
+        ("late", "2024-01-01"): 1, ("undated", None): 1, ("late", "2024-01-03"): 1}
+    assert {r.day: r.requests for r in open_rows(spark, root).collect()} == {"2024-01-04": 1, "2024-01-05": 1}
+    # A replayed batch changes nothing.
+    before = sorted(map(tuple, closed.collect()))
+    last = spark.read.parquet(land).filter("event_id >= 8").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), F.col("value").alias("response_time_s"))
+    apply_batch(spark, last, 2, root, "1 day", "1 hour")
+    assert sorted(map(tuple, closed_windows(spark, root).collect())) == before
+    assert sum(r.requests for r in late_rows(spark, root).collect()) == 3
+    assert events_stream(spark, land).isStreaming
+
+
+def test_write_kb_sizes_files_by_bytes(spark):
+    import pathlib
+
+    path = os.path.join(tempfile.mkdtemp(prefix="kbspark-kb-"), "kb")
+    rows = spark.range(0, 6000, numPartitions=3).select(
+        F.concat(F.lit("/kb/"), F.col("id").cast("string"), F.lit(".txt")).alias("path"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("h"), (F.col("id") % 400).cast("string"))).alias("host"),
+        F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("text"))
+    target = 64 << 10
+    K.write_kb(rows, path, target)
+    assert spark.read.parquet(path).count() == 6000
+    files = [len(spark.read.parquet(str(f)).select("text").collect()) * 256
+             for f in pathlib.Path(path, "host=hot").glob("*.parquet")]
+    whole = sorted(files)[2:]               # the first and last writer of a host share it with its neighbours
+    assert len(files) >= 6 and all(target / 2 <= n <= 2 * target for n in whole), files
