@@ -1,14 +1,19 @@
-"""HTML to visible text (P5, P6) as JVM-side regular expressions.
+"""HTML to visible text (P5, P6): JVM-side regular expressions, and a parser for the pages they cannot read.
 
 The pattern removes what an HTML parser does not report as text: script,
 style and template elements with their content, comments, doctype and
 processing instructions, then every tag.  Character references are decoded
 last, ``&amp;`` after all others so ``&amp;lt;`` becomes ``&lt;``.
+
+A page goes to the parser (Arrow batches, a stream of tokens with the elements
+that are open) if the pattern leaves something that opens markup (an unclosed
+region, quote or tag, a stray end of a region), or if it has a character
+reference that is numeric, unknown to the table or without a semicolon.  Both
+read the same text from all other pages.
 """
 
 from __future__ import annotations
 
-import html as _stdlib_html
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
@@ -20,10 +25,11 @@ from kbspark.session import spread
 # Non-text regions, then any start/end tag.  ``(?is)``: case-insensitive, dot matches newline.
 # A tag runs to the first ``>`` outside a quoted attribute value, so ``title="a > b"`` or
 # ``onclick="if(a>b)"`` stay inside the tag.  The JVM pattern uses possessive quantifiers (no
-# backtracking on an unclosed quote); the RE2 form for the SQL oracle matches the same text.
+# backtracking on an unclosed quote) and leaves what opens an unclosed region in place; the RE2 form for the SQL oracle
+# matches the same text on pages without one.
 _REGIONS = (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>"
             r"|<!--.*?-->|<![^>]*>|<\?[^>]*>")
-STRIP_PATTERN = _REGIONS + r"""|</?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+STRIP_PATTERN = _REGIONS.replace("<![^>]*>", "<!(?!--)[^>]*>") + r"""|</?(?!(?:script|style|template)\b)[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 STRIP_PATTERN_RE2 = _REGIONS + r"""|</?[a-z](?:[^>"']|"[^"]*"|'[^']*')*>"""
 
 
@@ -43,24 +49,16 @@ def decode_entities(text) -> Column:
     return s
 
 
-def decode_numeric(text) -> Column:
-    """Decimal and hex character references, then ``&amp;`` (always last)."""
-    s = _c(text)
-    dec = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#([0-9]+);"), 1))
-    hx = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#[xX]([0-9a-fA-F]+);"), 1))
-    out = F.aggregate(dec, s, lambda acc, n: F.replace(
-        acc, F.concat(F.lit("&#"), n, F.lit(";")), _codepoint(n.try_cast("long"))))
-    out = F.aggregate(hx, out, lambda acc, n: F.replace(
-        F.replace(acc, F.concat(F.lit("&#x"), n, F.lit(";")), _codepoint(F.conv(n, 16, 10).try_cast("long"))),
-        F.concat(F.lit("&#X"), n, F.lit(";")), _codepoint(F.conv(n, 16, 10).try_cast("long"))))
-    return F.replace(F.when(s.contains("&#"), out).otherwise(s), F.lit("&amp;"), F.lit("&"))
+# What is left of markup when the pattern has gone over a page, and references that it does not decode.
+_NAMES = "|".join([e[1:-1] for e, _ in P.HTML_ENTITIES if e[1] != "#"] + ["amp"])
+_LEFT = r"(?s)<[a-zA-Z/!?]"
+_UNREAD = (rf"(?is)&(?!(?:{_NAMES});|#39;)(?:#|[a-z])|<!--?-?>|--!>|</(?:script|style|template)\s*[^\s>]"
+           r"|<(?:textarea|iframe|noembed|noframes|xmp|plaintext|noscript|title)\b[^>]*>[^<]*<(?!/)|<!\[CDATA\[")
 
 
-def _codepoint(n: Column) -> Column:
-    """String of one Unicode code point (big-endian UTF-32 bytes decoded); U+FFFD for a number that is none."""
-    valid = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-    code = F.when(F.coalesce(valid, F.lit(False)), n).otherwise(F.lit(0xFFFD)).cast("int")
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+def needs_parser(html, stripped) -> Column:
+    """Is this a page that the pattern cannot read?  ``stripped`` is what :func:`strip_tags` leaves of it."""
+    return F.coalesce(_c(stripped).rlike(_LEFT) | _c(html).rlike(_UNREAD), F.lit(False))
 
 
 def strip_tags(html) -> Column:
@@ -69,20 +67,24 @@ def strip_tags(html) -> Column:
 
 
 def html_to_text(html) -> Column:
-    """P5 as one column expression (for short values; prefer :func:`extract_text` on tables)."""
-    return decode_numeric(decode_entities(strip_tags(html)))
+    """P5 as one column expression for pages that the pattern reads (tables: :func:`extract_text`)."""
+    return F.replace(decode_entities(strip_tags(html)), F.lit("&amp;"), F.lit("&"))
 
 
 def extract_text(df: DataFrame, html: str = "html", out: str = "text", tag: str | None = None) -> DataFrame:
-    """P5/P6 on a table: visible text of ``html`` (or of its ``tag`` region) into ``out``.
+    """P5/P6 on a table: visible text of ``html`` (or of its first ``tag`` element, if it has one) into ``out``.
 
-    Done in two projections so the tag-stripping pattern is evaluated once per
-    row; the optimizer does not merge projections that would repeat it.
+    Done in projections so the tag-stripping pattern is evaluated once per row; the optimizer does not merge projections
+    that would repeat it.  The parser is handed the pages that need it, and nulls for the others.
     """
     src = _c(html) if tag is None else F.coalesce(region_html(html, tag), _c(html))
-    tmp = f"__{out}_stripped"
-    return (spread(df).withColumn(tmp, decode_entities(strip_tags(src)))
-            .withColumn(out, decode_numeric(F.col(tmp))).drop(tmp))
+    bare, hard = f"__{out}_stripped", f"__{out}_hard"
+    unclear = needs_parser(html, bare) if tag is None else needs_parser(html, bare) | unclear_region(html, tag)
+    return (spread(df).withColumn(bare, strip_tags(src))
+            .withColumn(hard, F.when(unclear, _c(html)))
+            .withColumn(hard, html_to_text_parser(hard, tag))
+            .withColumn(out, F.coalesce(hard, F.replace(decode_entities(F.col(bare)), F.lit("&amp;"), F.lit("&"))))
+            .drop(bare, hard))
 
 
 def region_html(html, tag: str = "main") -> Column:
@@ -91,45 +93,69 @@ def region_html(html, tag: str = "main") -> Column:
     return F.when(_c(html).rlike(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>"), m)
 
 
+def unclear_region(html, tag: str) -> Column:
+    """Is there a ``<tag>`` whose element the pattern may misread: nested, unclosed, in a region without text, or with a
+    quoted ``>``?"""
+    name = rf"(?is)<{tag}\b"
+    return (F.regexp_count(_c(html), F.lit(name)) != F.regexp_count(_c(html), F.lit(rf"(?is)</{tag}\s*>"))) \
+        | _c(html).rlike(rf"{name}(?:(?!</{tag}\b).)*?<{tag}\b") | _c(html).rlike(rf"{name}[^>]*[\"'][^\"'>]*>[^\"'<]*[\"']") \
+        | _c(html).rlike(rf"(?is)<(script|style|template)\b(?:(?!</\1).)*?</?{tag}\b|<!--(?:(?!-->).)*?</?{tag}\b")
+
+
 class _TextCollector(HTMLParser):
-    """Text of a document as an HTML parser reports it (the Python fallback, and the check in tests)."""
+    """Text of a document as an HTML parser reports it, of the whole page or of its first ``tag`` element."""
 
     SKIP = {"script", "style", "template"}
 
-    def __init__(self):
+    def __init__(self, tag: str | None = None):
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
-        self.depth = 0
+        self.region: list[str] = []
+        self.skipped: list[str] = []     # open elements without text, innermost last
+        self.tag = tag
+        self.inside = 0                  # open elements of the wanted kind
+        self.found = False               # its first one has begun
 
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIP:
-            self.depth += 1
+            self.skipped.append(tag)
+        elif tag == self.tag and not self.skipped and (self.inside or not self.found):
+            self.inside += 1
+            self.found = True
 
     def handle_endtag(self, tag):
-        if tag in self.SKIP and self.depth:
-            self.depth -= 1
+        if tag in self.skipped:          # ends what is open inside it, too
+            while self.skipped.pop() != tag:
+                pass
+        elif tag == self.tag and self.inside and not self.skipped:
+            self.inside -= 1
 
     def handle_data(self, data):
-        if not self.depth:
+        if not self.skipped:
             self.parts.append(data)
+            if self.inside:
+                self.region.append(data)
 
+    def text(self) -> str:
+        return "".join(self.region if self.found else self.parts)
 
-def parse_text(doc: str | None) -> str | None:
-    """Text of one document with the stdlib parser (fallback for HTML the pattern cannot handle)."""
+
+def parse_text(doc: str | None, tag: str | None = None) -> str | None:
+    """Text of one document with the stdlib parser."""
     if doc is None:
         return None
-    p = _TextCollector()
+    p = _TextCollector(tag)
     p.feed(doc)
     p.close()
-    return "".join(p.parts)
+    return p.text()
 
 
-def html_to_text_parser(html) -> Column:
-    """P5 fallback: the stdlib parser in an Arrow-batched pandas UDF (one call per batch)."""
+def html_to_text_parser(html, tag: str | None = None) -> Column:
+    """P5/P6 by the parser, in Arrow batches (one call per batch; nulls stay null)."""
     import pandas as pd
 
     def _extract(s):
-        return s.map(parse_text)
+        return s.map(lambda doc: parse_text(doc, tag), na_action="ignore")
 
     from pyspark.sql import SparkSession
 
@@ -139,6 +165,3 @@ def html_to_text_parser(html) -> Column:
     # Real (not postponed) annotations: the UDF kind is read from them.
     _extract.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return F.pandas_udf(_extract, "string")(_c(html))
-
-
-unescape = _stdlib_html.unescape

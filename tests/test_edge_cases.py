@@ -218,6 +218,20 @@ HTML_CASES = [
     "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>B</body></html>",
     '<a title="x>y">t</a>',
     "<img alt='a>b'>z<div onclick=\"if(a>b){go()}\">k</div>",
+    # Pages that the pattern cannot read.
+    "caf&eacute; &uuml; &notanentity; &amp &copy2 AT&T &",
+    "&#38;amp; &#150; &#x80; &#0; &#xD800; &#99999999; &#xe9",
+    "<p>a</p><script>var a=1; text",
+    "a<style>p{", "a<template>b<p>c", "x<!-- never closed <b>y</b>", "b<!-->c<!---->d--!>e<!-- f --!>g",
+    'a<a title="x', "a<b", "a<b class='", "a</b", "z</script>y", "<template>a<template>b</template>c</template>d",
+    "<script>if (a<b) '</p>' </script >t<SCRIPT src=x></SCRIPT>u", "<![CDATA[x]]>y", "<?php echo 1 ?>z", "<textarea><b>k</b></textarea>",
+    "<scripty>shown</scripty>", "&lt;script&gt;", "a\x00b<p",
+]
+REGION_CASES = [
+    ("<main>a</main>b", "a"), ("<p>none</p>", "none"), ("<MAIN id='x>y'>a</MAIN>b", "a"),
+    ("c<main>a<main>b</main>d</main>e", "abd"), ("c<main>a &eacute;", "a é"), ("<!-- <main>x</main> --><main>y</main>", "y"),
+    ("<script>'<main>s</main>'</script><main>t<script>u</script></main>v", "t"), ("<main>a</main><main>b</main>", "a"),
+    ("<main></main>rest", ""), (None, None),
 ]
 
 
@@ -228,6 +242,20 @@ def test_html_text_equals_parser(spark):
         assert got[i] == parse_text(h), (h, got[i])
 
 
+def test_region_text(spark):
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(REGION_CASES)], "i int, html string")
+    got = dict(extract_text(df, tag="main").select("i", "text").collect())
+    assert [got[i] for i in range(len(REGION_CASES))] == [t for _, t in REGION_CASES]
+
+
+def test_probe_pages(spark):
+    """What a parser makes of the references and unclosed regions, stated."""
+    probes = {"caf&eacute; &uuml;": "café ü", "&#38;amp;": "&amp;", "&#150;": "\u2013", "p<script>var a=1; text": "p",
+              'q<a title="x': parse_text('q<a title="x'), "r<template>s": "r"}
+    df = spark.createDataFrame(list(probes.items()), "html string, want string")
+    assert {r.html: r.text for r in extract_text(df).collect()} == probes
+
+
 def test_html_text_equals_parser_on_landed_pages(spark):
     pages = load(spark, SF_CHECK, "pages")
     fast = extract_text(pages.select("page_id", "html")).select("page_id", "text")
