@@ -1,15 +1,14 @@
 """Spelling variants of a vocabulary by a relational walk over its trie.
 
 Two words are near if they differ by exactly one inserted, deleted or replaced code point.  The trie of the words is an
-edge table (``edges``): a row for every prefix that two words share, with its outgoing characters and, per child, what is
-below it.  The walk starts every word at the root and joins the frontier of states ``(word, pos, node, edits)`` with the
-edge table level by level: the next character is matched (no edit), or once replaced, inserted or deleted; after that
-only matches are left.  States that reach the word's end with one edit on the end of another word make the two words
-neighbours.
+edge table (``edges``): a row for every edge out of a prefix that two words share, with what is below the child.  The walk
+starts every word at the root and joins the frontier of states ``(word, pos, node, edits)`` with the edge table level by
+level: the next character is matched (no edit), or once replaced, inserted or deleted; after that only matches are left.
+States that reach the word's end with one edit on the end of another word make the two words neighbours.
 
-What is below a child decides early: the remaining lengths (a bit each) and the characters that follow it drop states
-that cannot end, and below a child with one word its remaining characters are compared at once.  So the walk has as many
-levels as the longest prefix that two words share.
+What is below a child decides early: the lengths of what is left, a mask of its hashes and the characters that follow
+drop states that cannot end, and below a child with one word its remaining characters are compared at once.  So the walk
+has as many levels as the longest prefix that two words share has characters.
 
 A word's ``form`` is its near word of largest ``n`` (ties: the smallest in code-point order) if that n is at least
 ``ratio`` times the word's own; ``root`` follows forms to the last, by pointer doubling (n grows on every step, so there
@@ -35,6 +34,8 @@ from pyspark.sql import functions as F
 from kbspark.session import ensure_checkpoint_dir
 
 _ENDS = 62  # lengths from here on share a bit
+_PARTS = 4  # of a mask, 64 bits each
+_MASKS = [f"m{k}" for k in range(_PARTS)]
 
 
 @dataclass(frozen=True)
@@ -50,70 +51,80 @@ def vocabulary(words: DataFrame, least_chars: int = 6, least_n: int = 5, word: s
             .agg(F.count("*").alias("n")).filter(F.col("n") >= least_n))
 
 
-def _bit(length: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.least(length, F.lit(_ENDS)).cast("int"))
+def _bit(number) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), number.cast("int"))
+
+
+def _mask(left: Column, k: int) -> Column:
+    """The bit of a remainder in the k-th part of a node's mask."""
+    h = F.pmod(F.xxhash64(left), F.lit(64 * _PARTS))
+    return F.when(F.floor(h / 64) == k, _bit(h % 64)).otherwise(F.lit(0).cast("long"))
 
 
 def edges(words: DataFrame, p: VariantParams) -> DataFrame:
-    """The trie as ``node, lens, salts, out``: per prefix of two words or more, ``out`` has for every next character the
-    child's remaining lengths (bits), next characters, number of words, salts and, for one word, what is left of it."""
+    """The trie, a row ``node, salt, ch, ...`` for every edge out of a prefix of two words or more and every salt of it.
+
+    Of the child: the lengths of what its words have left (``lens``, bits), their next characters (``next``), a mask of
+    their hashes (``m0`` ...), their number, its salts and, for one word, what is left of it (``tail``).
+    """
     total = words.count()
-    size = F.char_length("word")
-    at = words.select("word", F.explode(F.sequence(F.lit(0), size)).alias("depth"))
-    left = F.col("word").substr(F.col("depth") + 1, size)
-    nodes = (at.select(F.expr("substring(word, 1, depth)").alias("node"), "depth", left.alias("left"))
+    at = words.select("word", F.explode(F.sequence(F.lit(0), F.char_length("word"))).alias("depth"))
+    left = F.col("left")
+    nodes = (at.select(F.expr("substring(word, 1, depth)").alias("node"), "depth",
+                       F.expr("substring(word, depth + 1)").alias("left"))
              .groupBy("node", "depth")
-             .agg(F.count("*").alias("words"), F.bit_or(_bit(F.char_length("left"))).alias("lens"),
+             .agg(F.count("*").alias("words"),
+                  F.bit_or(_bit(F.least(F.char_length("left"), F.lit(_ENDS)))).alias("lens"),
                   F.concat_ws("", F.sort_array(F.collect_set(F.expr("nullif(substring(left, 1, 1), '')")))).alias("next"),
+                  *[F.bit_or(_mask(left, k)).alias(f"m{k}") for k in range(_PARTS)],
                   F.max("left").alias("left")))
     spread = F.ceil(F.lit(float(total)) / p.states / F.pow(F.lit(float(p.fan)), "depth"))
-    salts = F.greatest(F.lit(1), spread, F.ceil(F.col("words") / p.states)).cast("int")
-    nodes = nodes.withColumn("salts", salts)
-    child = F.struct(F.expr("right(node, 1)").alias("ch"), "lens", "next", "words", "salts",
-                     F.when(F.col("words") == 1, F.col("left")).alias("tail"))
-    out = (nodes.filter("depth > 0").groupBy(F.expr("substring(node, 1, depth - 1)").alias("node"))
-           .agg(F.sort_array(F.collect_list(child)).alias("out"), F.sum("words").alias("below")))
-    own = nodes.filter("words > 1").select("node", "lens", "salts")
-    return own.join(out, "node").select("node", "lens", "salts", "out")
-
-
-#: From a state on a node to its next states; ``left`` is what the word still has, ``c`` its next character.
-_STEP = """
-filter(concat(
-  transform(out, e -> named_struct(
-    'pos', pos + 1, 'node', concat(node, e.ch), 'edits', if(e.ch = c, edits, 1), 'salts', e.salts,
-    'end', if(e.ch = c and edits = 0, false, if(e.tail is not null, e.tail = rest, rest = '' and (e.lens & 1) = 1)),
-    'tail', e.tail,
-    'live', c <> '' and (e.ch = c or edits = 0) and e.tail is null and (
-       (e.ch = c and edits = 0) or (rest <> '' and instr(e.next, substring(rest, 1, 1)) > 0
-        and (shiftright(e.lens, least(char_length(rest), {ends})) & 1) = 1)),
-    'fits', c <> '' and (e.ch = c or edits = 0))),
-  if(edits = 0, transform(out, e -> named_struct(
-    'pos', pos, 'node', concat(node, e.ch), 'edits', 1, 'salts', e.salts,
-    'end', if(e.tail is not null, e.tail = left, left = '' and (e.lens & 1) = 1),
-    'tail', e.tail,
-    'live', e.tail is null and left <> '' and instr(e.next, c) > 0
-       and (shiftright(e.lens, least(char_length(left), {ends})) & 1) = 1,
-    'fits', true)), array()),
-  if(edits = 0 and c <> '', array(named_struct(
-    'pos', pos + 1, 'node', node, 'edits', 1, 'salts', salts,
-    'end', rest = '' and (lens & 1) = 1,
-    'tail', cast(null as string),
-    'live', rest <> '' and exists(out, e -> e.ch = substring(rest, 1, 1))
-       and (shiftright(lens, least(char_length(rest), {ends})) & 1) = 1,
-    'fits', true)), array())),
-x -> x.fits and (x.end or x.live))""".format(ends=_ENDS)
+    nodes = nodes.withColumn("salts", F.greatest(F.lit(1), spread, F.ceil(F.col("words") / p.states)).cast("int"))
+    own = nodes.filter("words > 1").select("node", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
+    return (nodes.filter("depth > 0")
+            .select(F.expr("substring(node, 1, depth - 1)").alias("node"), F.expr("right(node, 1)").alias("ch"), "lens",
+                    "next", *_MASKS, "salts", F.expr("if(words = 1, left, null)").alias("tail"))
+            .join(own, "node"))
+
+
+def _reaches(rest: str, lens: str = "lens", next_: str = "next", masks: str = "m") -> str:
+    """SQL: may one of a node's words have exactly ``rest`` left?"""
+    part = " ".join(f"WHEN {k} THEN {masks}{k}" for k in range(_PARTS))
+    h = f"pmod(xxhash64({rest}), {64 * _PARTS})"
+    return (f"((shiftright({lens}, least(char_length({rest}), {_ENDS})) & 1) = 1 AND instr({next_}, substring({rest}, 1, 1)) > 0"
+            f" AND (shiftright(CASE {h} div 64 {part} END, cast({h} % 64 AS int)) & 1) = 1)")
 
 
 def _advance(frontier: DataFrame, trie: DataFrame) -> DataFrame:
-    """The next states (``near`` null) and the neighbours found (``near``) of a frontier."""
-    here = (frontier.join(trie, ["node", "salt"])
-            .withColumn("left", F.expr("substring(word, pos + 1)"))
-            .withColumn("c", F.expr("substring(left, 1, 1)")).withColumn("rest", F.expr("substring(left, 2)")))
-    return (here.select("word", F.explode(F.expr(_STEP)).alias("to"))
-            .select("word", "to.pos", "to.node", "to.edits",
-                    F.expr("cast(pmod(xxhash64(word), to.salts) as int)").alias("salt"), "to.live",
-                    F.expr("if(to.end, concat(to.node, coalesce(to.tail, '')), null)").alias("near")))
+    """The next states and the neighbours found (``near``) of a frontier.
+
+    One join with the edges of a state's node; a state that has used its edit meets one edge only.
+    """
+    f = (frontier.withColumn("left", F.expr("substring(word, pos + 1)"))
+         .withColumn("c", F.expr("substring(left, 1, 1)")).withColumn("rest", F.expr("substring(left, 2)")))
+    mine = f.select("node", "salt", "word", "pos", "edits", "left", "c", "rest")
+    e = trie.select(F.col("node").alias("at"), F.col("salt").alias("s"), "ch", "lens", "next", *_MASKS, "salts", "tail")
+    here = mine.join(e, (F.col("node") == F.col("at")) & (F.col("salt") == F.col("s"))
+                     & ((F.col("edits") == 0) | (F.col("ch") == F.col("c"))))
+    # On along an edge: the character is matched or replaced (the word moves on too), or inserted (it does not).
+    moves = here.select("word", "pos", "node", "edits", "ch", "c", "lens", "next", *_MASKS, "salts", "tail", F.explode(F.expr(
+        "if(edits = 0, array(struct(true as on, rest as rest), struct(false as on, left as rest)), "
+        "array(struct(true as on, rest as rest)))")).alias("m"))
+    same = "m.on and ch = c"
+    moves = (moves.filter("not m.on or c <> ''")
+             .selectExpr("word", "if(m.on, pos + 1, pos) AS pos", "concat(node, ch) AS node", "lens", "next", *_MASKS,
+                         "salts", "tail", "m.rest AS rest", f"if(edits = 0 and {same}, 0, 1) AS edits")
+             .selectExpr("*", "edits = 1 and if(tail is not null, tail = rest, rest = '' and (lens & 1) = 1) AS ends",
+                         f"tail is null and (edits = 0 or (rest <> '' and {_reaches('rest')})) AS live"))
+    # A character of the word deleted: the node stays.
+    masks = [f"m{k}" for k in range(_PARTS)]
+    dropped = (f.filter("edits = 0 and c <> ''").selectExpr(
+        "word", "pos + 1 AS pos", "node", "lens", "next", *masks, "salts", "cast(null as string) AS tail", "rest", "1 AS edits")
+        .selectExpr("*", "rest = '' and (lens & 1) = 1 AS ends", f"rest <> '' and {_reaches('rest')} AS live"))
+    kept = [f"if(edits = 0, {c}, null) AS {c}" for c in ("lens", "next", *_MASKS, "salts")]
+    return (moves.unionByName(dropped).filter("ends or live")
+            .selectExpr("word", "pos", "node", "edits", "cast(pmod(xxhash64(word), salts) as int) AS salt", *kept, "live",
+                        "if(ends, concat(node, coalesce(tail, '')), null) AS near"))
 
 
 def neighbours(words: DataFrame, p: VariantParams = VariantParams()) -> DataFrame:
@@ -123,17 +134,22 @@ def neighbours(words: DataFrame, p: VariantParams = VariantParams()) -> DataFram
     edges(words, p).write.parquet(f"{folder}/edges")
     trie = spark.read.parquet(f"{folder}/edges")
     depth = trie.agg(F.max(F.char_length("node"))).first()[0]
-    salted = trie.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
-    root = trie.filter("node = ''").select("node", "salts")
-    frontier = (words.select("word", F.lit(0).alias("pos"), F.lit("").alias("node"), F.lit(0).alias("edits"))
-                .join(F.broadcast(root), "node")      # one row
-                .select("word", "pos", "node", "edits", F.expr("cast(pmod(xxhash64(word), salts) as int)").alias("salt")))
+    # All words on the root (the root itself has the lengths and first characters of all; its mask is full).
+    size = F.char_length("word")
+    root = words.agg(F.bit_or(_bit(F.least(size, F.lit(_ENDS)))).alias("lens"),
+                     F.concat_ws("", F.collect_set(F.substring("word", 1, 1))).alias("next"),
+                     *[F.bit_or(_mask(F.col("word"), k)).alias(f"m{k}") for k in range(_PARTS)]).first()
+    salts = trie.filter("node = ''").agg(F.max("salt")).first()[0]
+    frontier = words.select(
+        "word", F.lit(0).alias("pos"), F.lit("").alias("node"), F.lit(0).alias("edits"),
+        F.pmod(F.xxhash64("word"), F.lit((salts or 0) + 1)).cast("int").alias("salt"),
+        *[F.lit(root[c]).alias(c) for c in ("lens", "next", *_MASKS)], F.lit((salts or 0) + 1).alias("salts"))
     level, levels = 0, 0 if depth is None else depth + 2
     while level < levels:
         path = f"{folder}/level-{level}"
-        _advance(frontier, salted).write.parquet(path)
+        _advance(frontier, trie).write.parquet(path)
         got = spark.read.parquet(path)
-        frontier = got.filter("live").select("word", "pos", "node", "edits", "salt")
+        frontier = got.filter("live").drop("live", "near")
         level += 1
         if frontier.isEmpty():
             break
