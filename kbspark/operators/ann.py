@@ -1,174 +1,287 @@
-"""Approximate nearest neighbours over an inverted file.
-
-The vector services searched approximately; here the corpus is partitioned
-by Spark ML ``KMeans`` into ``n_lists`` lists, each question probes the
-``n_probe`` lists with the nearest centroids, and only corpus rows of the
-probed lists are scored.  With ``n_probe = n_lists`` the result is exact;
-without ``n_probe`` it is fitted to a recall on sampled questions.
-
-Skew: a list (or the set of questions probing it) may hold a large share of
-the rows.  Both sides are salted by per-list counts, so every scoring group
-``(list, corpus salt, question salt)`` holds at most about
-``max_group_rows`` corpus rows and ``max_group_questions`` questions; corpus
-rows are replicated per question salt and questions per corpus salt.  A
-group is scored in ``applyInPandas`` with one matrix product and keeps the
-best ``k`` per question; no pair rows are produced.
+"""Approximate nearest neighbours over an inverted file of quantised codes.
+
+The vector services searched approximately.  Here a bounded sample of the corpus (``train_rows`` vectors, taken by the
+hash of their id) fits ``n_lists`` centroids and, for ``code_bytes`` slices of the vector, 256 sub-centroids each.  Every
+corpus row goes to the list of its nearest centroid as a code of ``code_bytes`` bytes; a question probes the ``n_probe``
+lists with the nearest centroids, scores their codes by table lookup, and its best ``k * rerank`` rows are scored again on
+the vectors themselves, which are joined by id.  So codes, not vectors, are what a search moves.
+
+Without ``n_probe`` the number of probes is fitted to a recall on sampled questions; with ``n_probe >= n_lists`` the search
+is the exact one (:func:`kbspark.operators.topk.topk`).
+
+Skew: a list may hold a large share of the rows.  Lists are packed into groups of about ``max_group_rows`` codes, a larger
+list is salted, and questions are dealt into blocks of about ``max_group_questions``; a question is sent once to every
+group in which it probes a list.  A group is scored in tasks, which keep the best rows per question; no pair rows are
+produced.
+
+Vectors of another size than most, null ones and those with numbers that are not finite take no part; :func:`unfit` lists
+them.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbspark.operators.topk import _SCORE_CELLS, _reduce, topk
+from kbspark.operators.topk import _SCORE_CELLS, _by_size, _ids, _reduce, _squared, topk
 from kbspark.session import ship_package
 
 
-def _nearest_lists(Q: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """All lists of each question, nearest first; lists are assigned by Euclidean k-means, so for any metric."""
-    d2 = (Q * Q).sum(1)[:, None] + (centroids * centroids).sum(1)[None, :] - 2.0 * Q @ centroids.T
-    return np.argsort(d2, axis=1, kind="stable")
+def lloyd(points: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
+    """``n`` centroids of a sample (k-means; an empty one takes a random point)."""
+    centres = points[rng.choice(len(points), n, replace=False)]
+    for _ in range(rounds):
+        chunk = max(1, _SCORE_CELLS // n)
+        own = np.concatenate([_squared(points[i:i + chunk], centres).argmin(axis=1) for i in range(0, len(points), chunk)])
+        count = np.bincount(own, minlength=n)
+        total = np.zeros_like(centres)
+        np.add.at(total, own, points)
+        centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], points[rng.choice(len(points), n)])
+    return centres
+
+
+@dataclass(frozen=True)
+class Codebook:
+    """Centroids of the lists, and per slice of the vector the sub-centroids that its bytes name."""
+
+    dim: int
+    lists: np.ndarray
+    slices: list
+    books: list
+
+    @staticmethod
+    def fit(sample: np.ndarray, n_lists: int, code_bytes: int, seed: int) -> "Codebook":
+        rng = np.random.default_rng(seed)
+        dim = sample.shape[1]
+        slices = np.array_split(np.arange(dim), min(code_bytes, dim))
+        return Codebook(dim, lloyd(sample, min(n_lists, len(sample)), rng), slices,
+                        [lloyd(sample[:, s], min(256, len(sample)), rng) for s in slices])
+
+    def place(self, vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(list, code) of each vector."""
+        own = _squared(vecs, self.lists).argmin(axis=1)
+        codes = [_squared(vecs[:, s], b).argmin(axis=1) for s, b in zip(self.slices, self.books)]
+        return own, np.stack(codes, axis=1).astype(np.uint8)
+
+    def near(self, vecs: np.ndarray) -> np.ndarray:
+        """All lists of each question, nearest first."""
+        return np.argsort(_squared(vecs, self.lists), axis=1, kind="stable")
+
+    def tables(self, vecs: np.ndarray, metric: str) -> np.ndarray:
+        """What each code byte adds to a question's key (smaller is better): questions x slices x 256."""
+        out = np.zeros((len(vecs), len(self.books), 256), np.float32)
+        for j, (s, b) in enumerate(zip(self.slices, self.books)):
+            out[:, j, :len(b)] = -(vecs[:, s] @ b.T) if metric == "dot" else _squared(vecs[:, s], b)
+        return out
+
+
+def _of_size(vecs, dim: int):
+    for at, matrix in _by_size(vecs):
+        if matrix.shape[1] == dim:
+            return at, matrix
+    return np.zeros(0, np.int64), np.zeros((0, dim))
+
+
+def _encode(batches, book: Codebook):
+    for pdf in batches:
+        for lo in range(0, len(pdf), 4096):
+            part = pdf.iloc[lo:lo + 4096]
+            at, vecs = _of_size(part["cv"].to_numpy(), book.dim)
+            own, codes = book.place(vecs)
+            yield pd.DataFrame({"id": part["id"].to_numpy()[at], "list": own.astype(np.int32),
+                                "code": [c.tobytes() for c in codes]})
+
 
+def _probe(batches, book: Codebook, n_probe: int, group_of: np.ndarray):
+    """Each question once per group in which it probes a list, with these lists."""
+    for pdf in batches:
+        rows, groups, lists = [], [], []
+        at, vecs = _of_size(pdf["qv"].to_numpy(), book.dim)
+        near = book.near(vecs)[:, :n_probe]
+        for i, own in zip(at.tolist(), near):
+            by = group_of[own]
+            for g in np.unique(by):
+                rows.append(i)
+                groups.append(int(g))
+                lists.append(own[by == g].astype(np.int32).tolist())
+        yield pdf.iloc[rows].assign(group=np.array(groups, np.int32), lists=lists)
 
-def _probe_fn(centroids: np.ndarray, n_probe: int, metric: str):
-    def probe(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
+
+def _score_codes(codes: pd.DataFrame, qs: pd.DataFrame, book: Codebook, keep: int, metric: str, exclude: bool
+                 ) -> pd.DataFrame:
+    """The best ``keep`` rows of a group for each question, by the codes of the lists that it probes."""
+    if not len(codes) or not len(qs):
+        return pd.DataFrame({"qid": qs["qid"].iloc[:0], "id": codes["id"].iloc[:0], "key": np.zeros(0)})
+    ids, own = _ids(codes["id"]), codes["list"].to_numpy()
+    matrix = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), -1)
+    order = np.argsort(own, kind="stable")
+    names, first = np.unique(own[order], return_index=True)
+    members = dict(zip(names.tolist(), np.split(order, first[1:])))
+    _, vecs = _of_size(qs["qv"].to_numpy(), book.dim)
+    excl = _ids(qs["qx"]) if exclude else None
+    out_r, out_i, out_k = [], [], []
+    for lo in range(0, len(qs), 512):
+        tables = book.tables(vecs[lo:lo + 512], metric)
+        asked: dict[int, list[int]] = {}
+        for q, lists in enumerate(qs["lists"].iloc[lo:lo + 512]):
+            for name in lists:
+                asked.setdefault(int(name), []).append(q)
+        rows, got, keys = [], [], []
+        for name, who in asked.items():
+            at = members.get(name)
+            if at is None:
                 continue
-            Q = np.stack(pdf["qv"].to_numpy()).astype(np.float64)
-            p = min(n_probe, centroids.shape[0])
-            near = _nearest_lists(Q, centroids)[:, :p]
-            yield pd.DataFrame({"qid": np.repeat(pdf["qid"].to_numpy(), p),
-                                "list": near.reshape(-1).astype(np.int32)})
-    return probe
-
-
-def _score_group_fn(k: int, metric: str):
-    def score(corpus: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        if len(corpus) == 0 or len(qs) == 0:
-            return pd.DataFrame({"qid": qs["qid"].iloc[:0], "id": corpus["id"].iloc[:0],
-                                 "score": np.zeros(0)})
-        Q = np.stack(qs["qv"].to_numpy()).astype(np.float64)
-        qsq = (Q * Q).sum(1)
-        ids_all = corpus["id"].to_numpy()
-        ids_all = ids_all.astype(str) if ids_all.dtype == object else ids_all
-        excl = None
-        if "qx" in qs.columns:
-            excl = qs["qx"].to_numpy()
-            excl = excl.astype(str) if excl.dtype == object else excl
-        vecs = corpus["cv"].to_numpy()
-        chunk = max(1, _SCORE_CELLS // len(Q))
-        acc_r, acc_i, acc_k = [], [], []
-        for s0 in range(0, len(ids_all), chunk):
-            C = np.stack(vecs[s0:s0 + chunk]).astype(np.float64)
-            ids = ids_all[s0:s0 + chunk]
-            S = Q @ C.T
-            key = -S if metric == "dot" else qsq[:, None] + (C * C).sum(1)[None, :] - 2.0 * S
-            if excl is not None:
-                key[excl[:, None] == ids[None, :]] = np.inf
-            if key.shape[1] > k:
-                t = np.partition(key, k - 1, axis=1)[:, k - 1]
-                mask = key <= t[:, None]
-            else:
-                mask = np.ones_like(key, dtype=bool)
-            mask &= np.isfinite(key)
-            r, c = np.nonzero(mask)
-            acc_r.append(r)
-            acc_i.append(ids[c])
-            acc_k.append(key[r, c])
-            rr, ii, kk = _reduce(np.concatenate(acc_r), np.concatenate(acc_i), np.concatenate(acc_k), k)
-            acc_r, acc_i, acc_k = [rr], [ii], [kk]
-        r, c, kk = acc_r[0], acc_i[0], acc_k[0]
-        sc = -kk if metric == "dot" else kk
-        return pd.DataFrame({"qid": qs["qid"].to_numpy()[r], "id": c, "score": sc})
-    return score
-
-
-def _fitted_probes(qs: DataFrame, assigned: DataFrame, centroids: np.ndarray, k: int, metric: str, recall: float,
+            q = np.array(who)
+            chunk = max(1, _SCORE_CELLS // len(q))
+            for c in range(0, len(at), chunk):
+                some = at[c:c + chunk]
+                key = np.zeros((len(q), len(some)), np.float32)
+                for j in range(matrix.shape[1]):
+                    key += tables[q[:, None], j, matrix[some, j][None, :]]
+                if excl is not None:
+                    key[excl[lo + q][:, None] == ids[some][None, :]] = np.inf
+                if key.shape[1] > keep:
+                    mask = key <= np.partition(key, keep - 1, axis=1)[:, keep - 1][:, None]
+                else:
+                    mask = np.ones_like(key, dtype=bool)
+                r, i = np.nonzero(mask & np.isfinite(key))
+                r, best, value = _reduce(q[r], ids[some[i]], key[r, i].astype(np.float64), keep)
+                rows.append(r)
+                got.append(best)
+                keys.append(value)
+        if rows:
+            r, i, v = _reduce(np.concatenate(rows), np.concatenate(got), np.concatenate(keys), keep)
+            out_r.append(lo + r)
+            out_i.append(i)
+            out_k.append(v)
+    if not out_r:
+        return pd.DataFrame({"qid": qs["qid"].iloc[:0], "id": codes["id"].iloc[:0], "key": np.zeros(0)})
+    return pd.DataFrame({"qid": qs["qid"].to_numpy()[np.concatenate(out_r)], "id": np.concatenate(out_i),
+                         "key": np.concatenate(out_k)})
+
+
+def _rescore(batches, metric: str):
+    """Exact scores of (question, corpus row) pairs."""
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        q, c = (np.stack(pdf[x].to_numpy()).astype(np.float64) for x in ("qv", "cv"))
+        score = (q * c).sum(axis=1) if metric == "dot" else ((q - c) ** 2).sum(axis=1)
+        yield pdf[["qid", "id"]].assign(score=score)
+
+
+def _fitted_probes(qs: DataFrame, cs: DataFrame, coded: DataFrame, book: Codebook, k: int, metric: str, recall: float,
                    sample: int) -> int:
     """The fewest probes that find ``recall`` of the exact neighbours of a sample of questions, taken by hash."""
     rows = qs.orderBy(F.xxhash64("qid"), "qid").limit(sample).collect()            # sample rows
+    rows = [r for r in rows if r["qv"] is not None and len(r["qv"]) == book.dim and np.isfinite(r["qv"]).all()]
     if not rows:
         return 1
     asked = qs.sparkSession.createDataFrame(rows, qs.schema)
-    exact = topk(asked, assigned, k, metric, q_vec="qv", c_vec="cv", exclude="qx" if "qx" in qs.columns else None)
-    found = exact.select("qid", "id").join(assigned.select("id", "list"), "id").select("qid", "list").collect()
+    exact = topk(asked, cs, k, metric, q_vec="qv", c_vec="cv", exclude="qx" if "qx" in qs.columns else None)
+    found = exact.select("qid", "id").join(coded.select("id", "list"), "id").select("qid", "list").collect()
     if not found:
         return 1
-    order = _nearest_lists(np.stack([r["qv"] for r in rows]).astype(np.float64), centroids)
-    place = np.argsort(order, axis=1)                       # of each list in a question's order
+    place = np.argsort(book.near(np.stack([r["qv"] for r in rows]).astype(np.float64)), axis=1)
     at = {r["qid"]: i for i, r in enumerate(rows)}
     needed = np.sort([place[at[r["qid"]], r["list"]] + 1 for r in found])
     return int(needed[math.ceil(recall * len(needed)) - 1])
 
 
+def _sampled(cs: DataFrame, n: int, train_rows: int) -> np.ndarray | None:
+    """Vectors of the most common size among ``train_rows`` corpus rows, taken by the hash of their id."""
+    share = min(1.0, 0.95 * train_rows / max(n, 1))
+    some = cs.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(train_rows).select("id", "cv")
+    groups = [m for _, m in _by_size([r["cv"] for r in sorted(some.collect(), key=lambda r: r["id"])])]   # bounded
+    return max(groups, key=len, default=None)
+
+
+def unfit(df: DataFrame, dim: int, key: str = "id", vec: str = "embedding") -> DataFrame:
+    """V4: rows that a search leaves out, ``(key, size)``: not ``dim`` numbers, or one that is not finite."""
+    odd = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return (df.filter(F.coalesce((F.size(vec) != dim) | odd, F.lit(True)))
+            .select(key, F.coalesce(F.size(vec), F.lit(-1)).alias("size")))
+
+
 def ivf_topk(questions: DataFrame, corpus: DataFrame, k: int = 5, n_lists: int | None = None,
              n_probe: int | None = None, metric: str = "dot", q_id: str = "qid", q_vec: str = "embedding",
              c_id: str = "id", c_vec: str = "embedding", exclude: str | None = None,
-             max_group_rows: int = 20000, max_group_questions: int = 4000, seed: int = 7,
-             train_fraction: float | None = None, recall: float = 0.95, sample: int = 256) -> DataFrame:
+             max_group_rows: int = 200_000, max_group_questions: int = 20_000, seed: int = 7,
+             recall: float = 0.97, sample: int = 256, train_rows: int = 16_384, code_bytes: int = 16,
+             rerank: int = 20, max_lists: int = 4096) -> DataFrame:
     """Approximate top-``k`` ``(qid, rank, id, score)``; exact when ``n_probe >= n_lists``.
 
-    Without ``n_probe`` the number of probes is fitted: the fewest lists in
-    which ``sample`` questions find ``recall`` of their exact neighbours.
-
-    ``train_fraction`` fits the centroids on a sample of the corpus (k-means
-    iterates over its input); every corpus row is still assigned and searched.
+    ``train_rows``, ``max_lists`` and ``sample`` bound what is fitted on the driver; every corpus row is coded and every
+    row of a probed list is scored.  Scores are those of the vectors, not of the codes.
     """
     spark = questions.sparkSession
     ship_package(spark)            # the scoring function runs in Python workers
     cs = corpus.select(F.col(c_id).alias("id"), F.col(c_vec).alias("cv"))
-    n = cs.count()
-    if n_lists is None:
-        n_lists = max(1, min(4096, int(math.sqrt(n))))
-    feats = cs.select("id", "cv", array_to_vector("cv").alias("features"))
-    train = feats if not train_fraction else feats.sample(fraction=train_fraction, seed=seed)
-    model = KMeans(k=n_lists, seed=seed, maxIter=20, featuresCol="features", predictionCol="list").fit(train)
-    centroids = np.array([c for c in model.clusterCenters()], dtype=np.float64)   # n_lists x dim, bounded
-    assigned = model.transform(feats).select("id", "cv", F.col("list").cast("int").alias("list"))
-
     qs = questions.select(F.col(q_id).alias("qid"), F.col(q_vec).alias("qv"),
                           *([F.col(exclude).alias("qx")] if exclude else []))
-    q_type = qs.schema["qid"].dataType
+    n = cs.select("id").count()
+    vecs = _sampled(cs, n, train_rows)
+    lists = n_lists if n_lists is not None else max(1, min(max_lists, int(math.sqrt(n))))
+
+    def exact() -> DataFrame:
+        return topk(questions, corpus, k, metric, q_id, q_vec, c_id, c_vec, exclude)
+
+    if vecs is None or (n_probe is not None and n_probe >= min(lists, len(vecs))):
+        return exact()
+    book = Codebook.fit(vecs, lists, code_bytes, seed)
+    id_field = T.StructField("id", cs.schema["id"].dataType)
+    coded = cs.mapInPandas(functools.partial(_encode, book=book), T.StructType(
+        [id_field, T.StructField("list", T.IntegerType()), T.StructField("code", T.BinaryType())])).checkpoint()
     if n_probe is None:
-        n_probe = _fitted_probes(qs, assigned, centroids, k, metric, recall, sample)
-    probes = qs.select("qid", "qv").mapInPandas(
-        _probe_fn(centroids, n_probe, metric),
-        T.StructType([T.StructField("qid", q_type), T.StructField("list", T.IntegerType())]))
-
-    # Per-list counts (at most n_lists rows each) decide the salts.
-    c_cnt = assigned.groupBy("list").agg(F.count("*").alias("c_n"))
-    q_cnt = probes.groupBy("list").agg(F.count("*").alias("q_n"))
-    salts = (c_cnt.join(q_cnt, "list", "full_outer")
-             .select("list",
-                     F.greatest(F.lit(1), F.ceil(F.coalesce("c_n", F.lit(0)) / max_group_rows)).cast("int").alias("cs"),
-                     F.greatest(F.lit(1), F.ceil(F.coalesce("q_n", F.lit(0)) / max_group_questions)).cast("int")
-                     .alias("qs")))
-    salts = F.broadcast(salts)          # one row per list: bounded by n_lists
-    c_side = (assigned.join(salts, "list")
-              .withColumn("c_salt", F.pmod(F.xxhash64("id"), F.col("cs")).cast("int"))
-              .withColumn("q_salt", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
-              .select("list", "c_salt", "q_salt", "id", "cv"))
-    q_side = (probes.join(salts, "list").join(qs, "qid")
-              .withColumn("q_salt", F.pmod(F.xxhash64("qid"), F.col("qs")).cast("int"))
-              .withColumn("c_salt", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)))
-              .select("list", "c_salt", "q_salt", "qid", "qv", *(["qx"] if exclude else [])))
-    out_schema = T.StructType([T.StructField("qid", q_type), T.StructField("id", cs.schema["id"].dataType),
-                               T.StructField("score", T.DoubleType())])
-    keys = ["list", "c_salt", "q_salt"]
-    cand = (c_side.groupBy(*keys).cogroup(q_side.groupBy(*keys))
-            .applyInPandas(lambda c, q: _score_group_fn(k, metric)(c.drop(columns=keys), q.drop(columns=keys)),
-                           out_schema))
+        n_probe = _fitted_probes(qs, cs, coded, book, k, metric, recall, sample)
+    # One row per list (bounded by max_lists): lists that are neighbours along the main axis share a group.
+    count = np.zeros(len(book.lists), np.int64)
+    for r in coded.groupBy("list").count().collect():
+        count[r["list"]] = r["count"]
+    axis = np.linalg.svd(book.lists - book.lists.mean(axis=0), full_matrices=False)[2][0]
+    group_of, salts, held = np.zeros(len(count), np.int64), [1], 0
+    for name in np.argsort(book.lists @ axis, kind="stable"):
+        if held and held + count[name] > max_group_rows:
+            salts.append(1)
+            held = 0
+        group_of[name] = len(salts) - 1
+        held += count[name]
+        salts[-1] = max(salts[-1], math.ceil(held / max_group_rows))
+    of = spark.createDataFrame([(i, int(g), salts[g]) for i, g in enumerate(group_of.tolist())],
+                               "list int, group int, salts int")
+    n_blocks = max(1, math.ceil(qs.select("qid").count() / max_group_questions))
+    asked = qs.mapInPandas(functools.partial(_probe, book=book, n_probe=n_probe, group_of=group_of), T.StructType(
+        [*qs.schema.fields, T.StructField("group", T.IntegerType()), T.StructField("lists", T.ArrayType(T.IntegerType()))]))
+    of_group = F.broadcast(of.select("group", "salts").distinct())          # max_lists rows at most, as below
+    left = (coded.join(F.broadcast(of), "list").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int"))
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+            .select("group", "salt", "block", "id", "list", "code"))
+    right = (asked.join(of_group, "group").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).cast("int"))
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+             .select("group", "salt", "block", *qs.columns, "lists"))
+    q_field = T.StructField("qid", qs.schema["qid"].dataType)
+    keep, keys = k * rerank, ["group", "salt", "block"]
+
+    def score(codes: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        return _score_codes(codes, some, book, keep, metric, exclude is not None)
+
+    cand = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        score, T.StructType([q_field, id_field, T.StructField("key", T.DoubleType())]))
+    first = Window.partitionBy("qid").orderBy("key", "id")
+    short = cand.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= keep).select("qid", "id")
+    pairs = short.join(cs, "id").join(qs.select("qid", "qv"), "qid").select("qid", "id", "qv", "cv")
+    scored = pairs.filter(F.size("cv") == F.size("qv")).mapInPandas(
+        functools.partial(_rescore, metric=metric), T.StructType([q_field, id_field, T.StructField("score", T.DoubleType())]))
     order = F.col("score").desc() if metric == "dot" else F.col("score").asc()
     w = Window.partitionBy("qid").orderBy(order, F.col("id").asc())
-    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(F.col("qid").alias(q_id), "rank", "id", F.round("score", 6).alias("score")))
 
 

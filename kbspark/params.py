@@ -82,9 +82,9 @@ class KbParams:
     content_tag: str | None = None   # None = whole page (the original wrote the whole page text)
     max_crawl_depth: int = 64
     relevance_threshold: float = 0.3
-    # Rows of a block of an exact top-k search.
-    question_block: int = 2048
-    corpus_block: int = 8192
+    # An exact top-k search: bytes of vectors in a block of either side, pivots at most.
+    block_bytes: int = 16 << 20
+    max_cells: int = 1024
     token_choices: tuple = field(default=TOKEN_CHOICES)
 
 

@@ -354,7 +354,7 @@ def test_topk_equals_brute_force(spark):
     qs = emb.select(F.col("vec_id").alias("qid"), "embedding")
     corpus = emb.select(F.col("vec_id").alias("id"), "embedding")
     n = corpus.count()
-    got = topk(qs, corpus, k=n, exclude="qid", question_block=40, corpus_block=70).collect()
+    got = topk(qs, corpus, k=n, exclude="qid", block_bytes=4000).collect()
     pdf = emb.toPandas()
     M = np.stack(pdf.embedding.to_numpy()).astype(np.float64)
     ids = pdf.vec_id.to_numpy()

@@ -118,6 +118,26 @@ def test_ivf_probing_every_list_is_exact_and_salting_is_invisible(spark):
     assert r.total == exact.count() and 0.0 < r.recall <= 1.0
 
 
+@pytest.mark.parametrize("metric", ["dot", "l2"])
+def test_ivf_survives_odd_vectors_and_clusters(spark, metric):
+    import numpy as np
+
+    from kbspark.operators.ann import ivf_topk, recall_at_k, unfit
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 3
+    rows = [(i, (centres[rng.integers(40)] + rng.normal(size=16)).tolist()) for i in range(3000)]
+    odd = [(5000, None), (5001, [1.0, 2.0]), (5002, [float("nan")] * 16), (5003, [float("inf")] + [0.0] * 15), (5004, [])]
+    corpus = spark.createDataFrame(rows + odd, "id long, embedding array<float>").repartition(4)
+    asked = [(i, v) for i, v in rows[::30]] + [(9000, [float("nan")] * 16), (9001, None), (9002, [1.0])]
+    qs = spark.createDataFrame(asked, "qid long, embedding array<float>")
+    exact = topk(qs, corpus, k=10, metric=metric, exclude="qid")
+    got = ivf_topk(qs, corpus, k=10, metric=metric, exclude="qid")
+    assert recall_at_k(got, exact).first().recall >= 0.9
+    assert got.join(exact.select("qid", "id", F.col("score").alias("s")), ["qid", "id"]).filter("score <> s").count() == 0
+    assert sorted(r.id for r in unfit(corpus, 16).collect()) == [5000, 5001, 5002, 5003, 5004]
+
+
 @pytest.mark.parametrize("d", [SF_SMALL, SF_CHECK])
 def test_registered_ivf_meets_the_recall_floor(spark, d):
     from kbspark.operators.ann import recall_at_k
