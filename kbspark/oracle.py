@@ -234,6 +234,23 @@ SELECT url, NULL::INTEGER, NULL::INTEGER, 'no_response' FROM fetch_log GROUP BY
 FROM (SELECT path, arg_max(url, ord) AS url FROM visits WHERE url IN (SELECT url FROM pages) GROUP BY path) w
 JOIN pages p ON p.url = w.url"""),
     "kb_unfetched": _with(("visits",), "SELECT ord, url, path FROM visits WHERE url NOT IN (SELECT url FROM pages)"),
+    "scan_kb_docs": """SELECT coalesce(source, 'none') || '/' || doc_id || '.txt' AS path, length(t)::INTEGER AS chars,
+  sha256(t) AS text_sha256 FROM (SELECT *, CASE WHEN doc_id % 10 <> 0
+    THEN regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') ELSE '' END AS t FROM documents)""",
+    "append_urls": _with(("walk",), "SELECT url, 2::BIGINT AS lines FROM (SELECT DISTINCT url FROM walk WHERE kind = 'page')"),
+    "append_errors": _with(("walk",), """SELECT 'sitemap' AS stage, r.url AS key, coalesce(s.state, 'not_fetched') AS message,
+  2::BIGINT AS lines
+FROM (SELECT DISTINCT url FROM walk WHERE kind = 'sitemap') r LEFT JOIN sitemap_docs s ON r.url = s.url
+WHERE s.state IS NULL OR s.state <> 'ok'"""),
+    "write_kb": _with(("visits",), f"""SELECT w.path, w.url, {_HOST.replace('url', 'w.url')} AS host, {_text_of('p.html')} AS text
+FROM (SELECT path, arg_max(url, ord) AS url FROM visits WHERE url IN (SELECT url FROM pages) GROUP BY path) w
+JOIN pages p ON p.url = w.url"""),
+    "embed_with_model": """SELECT doc_id, length(t)::BIGINT AS chars, (length(t) - length(replace(t, ' ', '')))::BIGINT AS blanks,
+  (length(t) - length(replace(t, 'e', '')))::BIGINT AS es, (length(t) - length(replace(t, chr(10), '')))::BIGINT AS lines
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "generate_with_model": _with(("requests",), """SELECT conv_id, turn,
+  CASE WHEN contains(prompt, 'ing') THEN NULL ELSE replace(prompt, 'e', '3') END AS response,
+  CASE WHEN contains(prompt, 'ing') THEN 'generator failed: refused' END AS error FROM requests"""),
     # vectors and collections
     "topk_cosine": _with(("vq", "dotc"), _topk_sql("SELECT id, cv FROM dotc", P.TOP_K_DOT)),
     "nearest_l2": _with(("vq", "dotc"), _topk_sql("SELECT id, cv FROM dotc", P.TOP_K_L2, "l2")),
@@ -271,6 +288,12 @@ FROM (SELECT e.label, coalesce(l.quality, 0)::DOUBLE AS m, e.embedding[1]::DOUBL
     UNION ALL SELECT (vec_id * 2)::VARCHAR, label + 100, 2, 1 FROM embeddings)) WHERE rn = 1""",
     "upsert_ignore": """SELECT vec_id::VARCHAR AS id, label, 1 AS version FROM embeddings
 UNION ALL SELECT (vec_id * 2)::VARCHAR, label + 100, 2 FROM embeddings WHERE vec_id * 2 NOT IN (SELECT vec_id FROM embeddings)""",
+    "collection_on_disk": """SELECT 'replace' AS policy, id, label, version FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC, src DESC) AS rn FROM (
+    SELECT vec_id::VARCHAR AS id, label, 1 AS version, 0 AS src FROM embeddings
+    UNION ALL SELECT (vec_id * 2)::VARCHAR, label + 100, 2, 1 FROM embeddings)) WHERE rn = 1
+UNION ALL SELECT 'ignore', vec_id::VARCHAR, label, 1 FROM embeddings
+UNION ALL SELECT 'ignore', (vec_id * 2)::VARCHAR, label + 100, 2 FROM embeddings WHERE vec_id * 2 NOT IN (SELECT vec_id FROM embeddings)""",
     "collection_count": """SELECT count(DISTINCT id) AS records FROM (
   SELECT vec_id AS id FROM embeddings UNION ALL SELECT vec_id * 2 FROM embeddings)""",
     "describe_collection": _with(("kb_docs",), """SELECT count(*) AS records, count(DISTINCT substr(sha256(k.path), 1, 10)) AS distinct_ids,

@@ -7,6 +7,7 @@ types match the oracle SQL in :mod:`kbspark.oracle`.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -315,6 +316,104 @@ def q_answer_with_citation(spark, d):
     return r.join(kb, "conv_id").select("conv_id", "turn", U.with_citation(ans, link).alias("answer"))
 
 
+# --- sinks and user models -----------------------------------------------------------------------
+
+def _folder(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_scan_kb_docs(spark, d):
+    """S3 over a tree of text files written from the documents (some without bytes)."""
+    from kbspark.sources.folder import write_folder
+    from kbspark.sources.tables import scan_kb_docs
+    root = _folder(spark, "kb-tree")
+    docs = load(spark, d, "documents").select(
+        F.concat_ws("/", F.coalesce("source", F.lit("none")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+        .alias("path"), F.when(F.col("doc_id") % 10 != 0, F.col("text")).otherwise(F.lit("")).alias("text"))
+    write_folder(docs, root).write.format("noop").mode("overwrite").save()
+    got = scan_kb_docs(spark, root)
+    return got.select(F.substring_index("path", "/", -2).alias("path"), F.char_length("text").alias("chars"),
+                      F.sha2("text", 256).alias("text_sha256"))
+
+
+def q_append_urls(spark, d):
+    """K1: the crawled page urls appended by two runs, as the original's list file had them."""
+    path = _folder(spark, "urls")
+    pages = C.crawl(X.sitemaps(spark, d), X.ROOT_SITEMAP).filter("kind = 'page'").select("url").checkpoint()
+    for _ in range(2):
+        K.append_table(pages, path)
+    return spark.read.parquet(path).groupBy("url").agg(F.count("*").alias("lines"))
+
+
+def q_append_errors(spark, d):
+    """K2: the error lane of the crawl appended by two runs."""
+    path = _folder(spark, "errors")
+    docs = X.sitemaps(spark, d)
+    errors = C.crawl_errors(docs, C.crawl(docs, X.ROOT_SITEMAP)).checkpoint()
+    for _ in range(2):
+        K.append_table(errors, path)
+    return spark.read.parquet(path).groupBy("stage", "key", "message").agg(F.count("*").alias("lines"))
+
+
+def q_write_kb(spark, d):
+    """K3: the knowledge base written by host, twice, and read again."""
+    path = _folder(spark, "kb")
+    lines = X.url_list(spark, d).withColumnRenamed("url", "value")
+    kb = build_kb(lines, load(spark, d, "pages")).checkpoint()
+    for _ in range(2):
+        K.write_kb(kb, path)
+    return spark.read.parquet(path).select("path", "url", F.col("host").cast("string").alias("host"), "text")
+
+
+def q_collection_on_disk(spark, d):
+    """K4 to K6 on disk: created, filled with the old vectors, then the new ones by both policies in turn."""
+    out = None
+    for policy in ("replace", "ignore"):
+        root = _folder(spark, f"collection-{policy}")
+        schema = X.vectors_old(spark, d).select("id", "embedding", "label", "version").schema
+        K.get_or_create(spark, root, schema)
+        K.upsert_into(spark, root, X.vectors_old(spark, d), "replace", schema=schema)
+        coll = K.upsert_into(spark, root, X.vectors_new(spark, d), policy, schema=schema)
+        one = coll.select(F.lit(policy).alias("policy"), "id", "label", "version")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _shape_model():
+    """A model factory: what it gives is plain arithmetic on the text, so SQL can say it too."""
+    import numpy as np
+
+    def predict(texts):
+        return np.array([[len(t), t.count(" "), t.count("e"), t.count("\n")] for t in texts], np.float32)
+
+    return predict
+
+
+def q_embed_with_model(spark, d):
+    """Every document through a user model, loaded once per worker."""
+    from kbspark.operators.embed import model_embedder
+    docs = load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    vecs = docs.select("doc_id", model_embedder(_shape_model, dim=4)(F.col("text")).alias("v"))
+    return vecs.select("doc_id", *[F.col("v")[i].cast("long").alias(n) for i, n in enumerate(("chars", "blanks", "es", "lines"))])
+
+
+def _picky_model():
+    """A model factory that refuses some prompts."""
+    def predict(prompts):
+        if any("ing" in p for p in prompts):
+            raise ValueError("refused")
+        return [p.replace("e", "3") for p in prompts]
+
+    return predict
+
+
+def q_generate_with_model(spark, d):
+    """Every user turn through a user model; what it refuses is an error in its row alone."""
+    from kbspark.plans.answer import model_generator, score_requests
+    out = score_requests(X.requests(spark, d), model_generator(_picky_model))
+    return out.select("conv_id", "turn", "response", "error")
+
+
 def q_normalize_requests(spark, d):
     rq = X.requests(spark, d)
     return rq.select("conv_id", "turn", *normalized_columns(F.col("body")))
@@ -451,6 +550,10 @@ QUERIES: dict[str, Query] = {
     "path_collisions": q_path_collisions,
     "build_kb": q_build_kb,
     "kb_unfetched": q_kb_unfetched,
+    "scan_kb_docs": q_scan_kb_docs,
+    "append_urls": q_append_urls,
+    "append_errors": q_append_errors,
+    "write_kb": q_write_kb,
     # vectors and collections
     "topk_cosine": q_topk_cosine,
     "nearest_l2": q_nearest_l2,
@@ -466,6 +569,7 @@ QUERIES: dict[str, Query] = {
     "upsert_ignore": q_upsert_ignore,
     "collection_count": q_collection_count,
     "describe_collection": q_describe_collection,
+    "collection_on_disk": q_collection_on_disk,
     "truncate_tokens": q_truncate_tokens,
     "truncation_loss": q_truncation_loss,
     # retrieval, prompts, answers, requests
@@ -486,6 +590,8 @@ QUERIES: dict[str, Query] = {
     "log_requests": q_log_requests,
     "request_metrics_daily": q_request_metrics_daily,
     # embedding, populate and streaming
+    "embed_with_model": q_embed_with_model,
+    "generate_with_model": q_generate_with_model,
     "embed_documents": q_embed_documents,
     "retrieve_by_text": q_retrieve_by_text,
     "topk_ivf": q_topk_ivf,

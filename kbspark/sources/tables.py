@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbspark.sources.folder import read_folder
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -51,49 +51,8 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 def scan_kb_docs(spark: SparkSession, root: str, include_empty: bool = True) -> DataFrame:
     """S3: every ``*.txt`` below ``root`` as one row ``(path, text)``.
 
-    Whole file per row (``wholetext``), absolute path from the file metadata,
-    CRLF normalised to LF as Python's text mode does.  Spark's file sources
-    skip zero-byte files; with ``include_empty`` they are added back from the
-    file-system listing (names and lengths only, as the scan planner itself
-    lists files).
-    """
-    texts = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
-             .text(root, wholetext=True)
-             .select(F.url_decode(F.replace(
-                         F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", ""), F.lit("+"), F.lit("%2B"))).alias("path"),
-                     F.regexp_replace("value", "\r\n?", "\n").alias("text")))
-    if not include_empty:
-        return texts
-    empty = _empty_files(spark, root, ".txt")
-    if not empty:
-        return texts
-    return texts.unionByName(spark.createDataFrame([(p, "") for p in empty], "path string, text string"))
-
-
-def _empty_files(spark: SparkSession, root: str, suffix: str) -> list[str]:
-    """Zero-byte ``*suffix`` files below ``root`` (file metadata only, never contents).
-
-    Local folders are listed in one native call; other file systems through
-    the Hadoop client the session already uses.
+    Whole file per row, absolute path, CRLF normalised to LF as Python's text mode does; listed and read in tasks
+    (:mod:`kbspark.sources.folder`).  Files without bytes are rows with an empty text unless ``include_empty`` is off.
     """
-    def keep(name: str) -> bool:
-        return name.endswith(suffix) and not name.startswith((".", "_"))
-
-    local = root[len("file:"):] if root.startswith("file:") else (root if "://" not in root else None)
-    if local is not None:
-        import pyarrow.fs as pafs
-
-        local = os.path.abspath("/" + local.lstrip("/") if local.startswith("//") else local)
-        infos = pafs.LocalFileSystem().get_file_info(pafs.FileSelector(local, recursive=True))
-        return [i.path for i in infos
-                if i.type == pafs.FileType.File and i.size == 0 and keep(i.base_name)]
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    it = fs.listFiles(path, True)
-    out = []
-    while it.hasNext():
-        st = it.next()
-        if st.getLen() == 0 and keep(st.getPath().getName()):
-            out.append(st.getPath().toUri().getPath())
-    return out
+    texts = read_folder(spark, root)
+    return texts if include_empty else texts.filter(F.octet_length("text") > 0)
