@@ -3,7 +3,8 @@
 A repeat is a string of at least ``length`` bytes that starts at two places or more, in one text or in several; matches
 never cross texts.  Its bytes are removed at every place.
 
-1. ``texts``: equal texts are one text with a number of copies (keyed by SHA-256), so copies are never expanded.
+1. ``texts``: equal texts are one text with a number of copies (keyed by half of their SHA-256), so copies are never
+   expanded.
 2. ``pieces``: every window of ``length`` bytes has an anchor, the smallest hash of its ``gram``-byte strings.  A run of
    windows with one anchor value is a piece.  Equal windows have equal anchors, so they lie in pieces of one anchor
    value, and only those are compared.  Of a piece only hashes are shuffled, about one row per 80 bytes of text.
@@ -21,8 +22,8 @@ never cross texts.  Its bytes are removed at every place.
 Repeats longer than a piece show as repeats of consecutive pieces, merged into one span per text.
 
 Scale: pieces are reduced by key before and in each shuffle; joins are plain equi-joins on hashed keys that adaptive
-execution splits where they are skewed; whole texts move only if something is cut out of them or one of their pieces is
-an example.  Tables between the steps lie in the shared checkpoint folder.
+execution splits where they are skewed.  Texts are shuffled once, into a table bucketed by their key, and later joined
+there.  Tables between the steps lie in the shared checkpoint folder and go when no later step reads them.
 
 Defined results: a null text has no bytes and nothing is removed; texts shorter than ``length`` are left alone; a repeated
 row's text is a repeat if it is long enough; null keys are carried along; an empty table gives an empty table; only the
@@ -39,7 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.llm.arrowtext import _BYTE, raw_text, rows_of, slices
@@ -53,8 +54,8 @@ class RepeatParams:
     length: int = 200      # bytes of the shortest repeat
     gram: int = 32         # bytes that an anchor is the hash of
     span: int = 4096       # windows of a piece at most
-    block: int = 4 << 20   # bytes of pieces in one suffix array
-    window: int = 4 << 20  # bytes of text cut into pieces at once
+    block: int = 2 << 20   # bytes of pieces in one suffix array
+    window: int = 1 << 20  # bytes of text cut into pieces at once
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -338,20 +339,37 @@ def _without(batches: Iterator[pa.RecordBatch]):
                 pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=["sha", "n_removed", "n_spans", "kept"])
 
 
+def _key(sha) -> Column:
+    """Half of a SHA-256 in hex, as bytes."""
+    return F.unhex(F.substring(sha, 1, 32))
+
+
 class Repeats:
     """The tables of one run, in a folder of the shared checkpoint folder."""
 
     def __init__(self, df: DataFrame, p: RepeatParams, text: str):
         self.spark, self.p = df.sparkSession, p
-        self.folder = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/repeats-{uuid.uuid4().hex}"
+        run = uuid.uuid4().hex
+        self.folder = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/repeats-{run}"
         long_enough = (df.select(F.col(text).alias("text")).filter(F.octet_length("text") >= p.length)
-                       .select(F.unhex(F.sha2("text", 256)).alias("sha"), "text"))
-        self.texts = self._kept("texts", long_enough.groupBy("sha").agg(
-            F.first("text").alias("text"), F.count("*").alias("copies")).select("sha", "copies", "text"))
+                       .select(_key(F.sha2("text", 256)).alias("sha"), "text"))
+        # Bucketed by key: texts are joined three times, and only what they are joined with is shuffled then.
+        buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        self.table = f"repeats_{run}"
+        (long_enough.groupBy("sha").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+         .select("sha", "copies", "text").write.option("compression", "zstd").option("path", f"{self.folder}/texts")
+         .bucketBy(buckets, "sha").saveAsTable(self.table))
+        forget_shuffles(df)
+        self.texts = self.spark.table(self.table)
         self.pieces = self._kept("pieces", self.texts.mapInArrow(
             functools.partial(_cut_rows, p=p),
             "anchor long, piece long, sha binary, start long, size int, copies long, inner boolean"))
 
+    def _drop(self, name: str) -> None:
+        """Delete a table of this run that no later step reads."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def _kept(self, name: str, df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
         forget_shuffles(df)
@@ -386,6 +404,7 @@ class Repeats:
     def spans(self) -> DataFrame:
         """``sha, spans``: the repeated stretches (first, last) of every distinct text that has one."""
         shared = self._kept("shared", self.shared())
+        self._drop("pieces")
         rows = self._kept("sorted", self.sorted_blocks(shared))
         across = (rows.filter("name IS NOT NULL").groupBy("anchor", "name").agg(F.count("*").alias("blocks"))
                   .filter("blocks > 1").select("anchor", "name"))
@@ -412,10 +431,12 @@ def remove(df: DataFrame, p: RepeatParams = RepeatParams(), key: str = "doc_id",
     the SHA-256 of what is left."""
     run = Repeats(df, p, text)
     lost = run._kept("lost", run.cut_texts().select("sha", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
-    own = df.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
-                    F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("sha"))
+    for name in ("shared", "sorted"):
+        run._drop(name)
+    run.spark.sql(f"DROP TABLE {run.table}")         # its folder stays with the others of the run
+    own = (df.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
+                     F.sha2(F.coalesce(text, F.lit("")), 256).alias("whole")).withColumn("sha", _key(F.col("whole"))))
     zero = F.lit(0).cast("long")
-    return (own.join(lost, "sha", "left")
+    return (own.join(lost.withColumnRenamed("kept_sha256", "rest"), "sha", "left")
             .select(F.col("key").alias(key), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"),
-                    F.coalesce("n_spans", zero).alias("n_spans"),
-                    F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256")))
+                    F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("rest", "whole").alias("kept_sha256")))
