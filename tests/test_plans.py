@@ -4,6 +4,7 @@ import re
 
 import pytest
 from conftest import SF_SMALL
+from pyspark.sql import functions as F
 
 from kbspark.queries import QUERIES
 
@@ -61,3 +62,28 @@ def test_upsert_finds_winners_without_vectors(spark):
 
 def test_metrics_use_no_sketch(spark):
     assert "percentile_approx" not in plan(QUERIES["request_metrics_daily"](spark, SF_SMALL))
+
+
+def test_crawl_levels_shuffle_no_links(spark):
+    """Joined without broadcasts, a level has an exchange on the frontier's side only."""
+    import uuid
+
+    from kbspark.operators.crawl import next_level, write_links
+    from kbspark.session import ensure_checkpoint_dir
+    from kbspark.sources import fixtures as X
+
+    name = f"links_{uuid.uuid4().hex}"
+    links = write_links(X.sitemaps(spark, SF_SMALL), name, f"{ensure_checkpoint_dir(spark)}/{name}")
+    salts = links.groupBy("parent").agg((F.max("salt") + 1).alias("salts")).checkpoint()
+    start = spark.createDataFrame([(X.ROOT_SITEMAP,)], "url string").checkpoint()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        p = plan(next_level(links, salts, start, start, 1).filter("kind = 'sitemap'"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql(f"DROP TABLE {name}")
+    scan = p[:p.index(f"FileScan parquet spark_catalog.default.{name}")]
+    # From the join down to the scan of the links there is no exchange.
+    side = scan[scan.rindex("SortMergeJoin"):]
+    assert "Exchange" not in side, p
