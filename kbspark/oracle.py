@@ -288,6 +288,15 @@ FROM (SELECT e.label, coalesce(l.quality, 0)::DOUBLE AS m, e.embedding[1]::DOUBL
     UNION ALL SELECT (vec_id * 2)::VARCHAR, label + 100, 2, 1 FROM embeddings)) WHERE rn = 1""",
     "upsert_ignore": """SELECT vec_id::VARCHAR AS id, label, 1 AS version FROM embeddings
 UNION ALL SELECT (vec_id * 2)::VARCHAR, label + 100, 2 FROM embeddings WHERE vec_id * 2 NOT IN (SELECT vec_id FROM embeddings)""",
+    "token_windows": f"""SELECT doc_id, w::INTEGER AS window, (w * {P.MAX_EMBED_TOKENS * 3 // 4})::INTEGER AS first,
+  least(w * {P.MAX_EMBED_TOKENS * 3 // 4} + {P.MAX_EMBED_TOKENS}, len(t))::INTEGER AS last,
+  length(array_to_string(t[w * {P.MAX_EMBED_TOKENS * 3 // 4} + 1:w * {P.MAX_EMBED_TOKENS * 3 // 4} + {P.MAX_EMBED_TOKENS}], ' '))::INTEGER AS chars
+FROM (SELECT doc_id, t, unnest(range(greatest(ceil((len(t) - {P.MAX_EMBED_TOKENS}) / {P.MAX_EMBED_TOKENS * 3 // 4}.0), 0)::BIGINT + 1)) AS w
+      FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\t\\n\\v\\f\\r ]+') AS t FROM documents))""",
+    "embed_documents": f"""SELECT doc_id, {P.VECTOR_DIM}::INTEGER AS dim,
+  CASE WHEN regexp_matches(coalesce(text, ''), '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents""",
+    "topk_ivf_recall": _with(("vq", "dotc"), f"""SELECT count(*) AS total, true AS found FROM (
+{_topk_sql("SELECT id, cv FROM dotc", P.TOP_K_DOT)}) t"""),
     "collection_on_disk": """SELECT 'replace' AS policy, id, label, version FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC, src DESC) AS rn FROM (
     SELECT vec_id::VARCHAR AS id, label, 1 AS version, 0 AS src FROM embeddings

@@ -256,6 +256,13 @@ def q_truncation_loss(spark, d):
     return truncation_stats(load(spark, d, "documents"))
 
 
+def q_token_windows(spark, d):
+    """V1: every document as overlapping windows of the embedder's token count."""
+    from kbspark.operators.windows import token_windows
+    w = token_windows(load(spark, d, "documents").select("doc_id", "text"), "doc_id", size=P.MAX_EMBED_TOKENS)
+    return w.select("doc_id", "window", "first", "last", F.char_length("text").alias("chars"))
+
+
 # --- retrieval and answers -----------------------------------------------------------------------
 
 def _generate_stub(df: DataFrame) -> DataFrame:
@@ -496,6 +503,13 @@ def q_topk_ivf(spark, d):
     return ivf_topk(X.questions_v(spark, d), X.corpus_dot(spark, d), k=P.TOP_K_DOT, exclude="qid")
 
 
+def q_topk_ivf_recall(spark, d):
+    """How many of the exact neighbours were asked for, and whether nine in ten were found."""
+    from kbspark.operators.ann import recall_at_k
+    r = recall_at_k(q_topk_ivf(spark, d), q_topk_cosine(spark, d))
+    return r.select("total", (F.col("recall") >= 0.9).alias("found"))
+
+
 def q_populate_index(spark, d):
     from kbspark.streaming.populate import vector_records
     recs = vector_records(X.kb_docs(spark, d).select("path", "text"))
@@ -572,6 +586,7 @@ QUERIES: dict[str, Query] = {
     "collection_on_disk": q_collection_on_disk,
     "truncate_tokens": q_truncate_tokens,
     "truncation_loss": q_truncation_loss,
+    "token_windows": q_token_windows,
     # retrieval, prompts, answers, requests
     "retrieve_p": q_retrieve_p,
     "retrieve_c": q_retrieve_c,
@@ -595,6 +610,7 @@ QUERIES: dict[str, Query] = {
     "embed_documents": q_embed_documents,
     "retrieve_by_text": q_retrieve_by_text,
     "topk_ivf": q_topk_ivf,
+    "topk_ivf_recall": q_topk_ivf_recall,
     "populate_index": q_populate_index,
     "stream_request_metrics": q_stream_request_metrics,
     "stream_populate": q_stream_populate,

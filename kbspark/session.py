@@ -68,17 +68,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Repartition only when the input has fewer partitions than the cluster has cores.
+    """Deal a small input over the cluster's cores.
 
-    Used in front of heavy per-row work (text extraction, tokenizing,
-    embedding, vector scoring).  A landed file with one row group is one
-    task however large it is; on a cluster reading many files the input
-    already has more partitions than cores and this is a no-op.
+    Used in front of heavy per-row work (text extraction, tokenizing).  A landed file with one row group is one task
+    whatever it costs; an input that the planner takes to be smaller than one full scan partition a core is dealt anew,
+    so what is moved is bounded.  A larger one has more partitions than cores already and stays as it is.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    full = spark._jvm.org.apache.spark.sql.internal.SQLConf.get().filesMaxPartitionBytes()
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(target) if planned < target * full else df
 
 
 _SHIPPED: set[str] = set()
