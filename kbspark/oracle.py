@@ -295,6 +295,8 @@ FROM (SELECT doc_id, t, unnest(range(greatest(ceil((len(t) - {P.MAX_EMBED_TOKENS
       FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\t\\n\\v\\f\\r ]+') AS t FROM documents))""",
     "embed_documents": f"""SELECT doc_id, {P.VECTOR_DIM}::INTEGER AS dim,
   CASE WHEN regexp_matches(coalesce(text, ''), '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents""",
+    "embed_learned": """SELECT doc_id, 64::INTEGER AS dim,
+  CASE WHEN regexp_matches(coalesce(text, ''), '[\\p{L}\\p{N}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents""",
     "topk_ivf_recall": _with(("vq", "dotc"), f"""SELECT count(*) AS total, true AS found FROM (
 {_topk_sql("SELECT id, cv FROM dotc", P.TOP_K_DOT)}) t"""),
     "collection_on_disk": """SELECT 'replace' AS policy, id, label, version FROM (

@@ -483,6 +483,14 @@ def q_embed_documents(spark, d):
     return emb.select("doc_id", F.size("embedding").alias("dim"), F.round(l2_norm("embedding"), 6).alias("norm"))
 
 
+def q_embed_learned(spark, d):
+    """V5: latent semantic vectors of all documents, fitted on all of them."""
+    from kbspark.operators.lsa import LsaParams, embed_lsa, fit_lsa
+    docs = truncate_for_embedding(load(spark, d, "documents").select("doc_id", "text"), n=None)
+    emb = embed_lsa(docs, fit_lsa(docs, p=LsaParams()))
+    return emb.select("doc_id", F.size("embedding").alias("dim"), F.round(l2_norm("embedding"), 4).alias("norm"))
+
+
 def q_retrieve_by_text(spark, d):
     """V5 + V11 + R4: documents and user questions embedded by one fitted model, then top-5 and context."""
     from kbspark.operators.embed import apply_embedder, fit_hashing_embedder
@@ -608,6 +616,7 @@ QUERIES: dict[str, Query] = {
     "embed_with_model": q_embed_with_model,
     "generate_with_model": q_generate_with_model,
     "embed_documents": q_embed_documents,
+    "embed_learned": q_embed_learned,
     "retrieve_by_text": q_retrieve_by_text,
     "topk_ivf": q_topk_ivf,
     "topk_ivf_recall": q_topk_ivf_recall,
