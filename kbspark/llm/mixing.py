@@ -7,8 +7,8 @@ source's blocks by their words, so every shard has an integer quota.  A shard la
 that the seed decides, cut into blocks; a quota of more than its blocks takes them all that often, and the rest are
 chosen by a seeded permutation of the blocks.
 
-A shard is a bounded number of documents by a hash of the key, so a source that holds a third of all rows is many
-shards; sums per source and shard are partial aggregates.  Only tables of one row per source or per shard are ranked
+A shard is a bounded number of documents by a hash of key and text, so a source that holds a third of all rows is many
+shards, and so is a key that many texts share (rows alike in both stay in one shard); sums per source and shard are partial aggregates.  Only tables of one row per source or per shard are ranked
 together.  All steps are DataFrame expressions; ``mixed`` alone cuts texts in Python.
 
 Words are ``[^\\x20\\x09-\\x0D]+``.  Defined results: a null text has no words; a null source is a source of its own
@@ -100,12 +100,13 @@ def decide(df: DataFrame, p: MixParams = MixParams(), key: str = "doc_id", text:
     """``key, source, size, source_size, target, taken, passes, spans``: what the mix takes of every row: all of it
     ``passes`` times, and the word ranges ``spans`` (from, to) once more."""
     sized = df.select(F.col(key).alias("doc_key"), F.col(source).alias("source"),
-                      F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = sized.checkpoint()                     # three short columns, read several times
+                      F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+                      F.xxhash64(text).alias("text_hash"))
+    sized = sized.checkpoint()                     # four short columns, read several times
     per_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), p)
     shards = sized.groupBy("source").agg(F.ceil(F.count("*") / p.shard_docs).alias("n_shards"))
     placed = (sized.alias("a").join(shards.alias("b"), F.expr("a.source <=> b.source"))
-              .select("a.*", F.pmod(F.xxhash64("doc_key", F.lit(p.seed)), F.col("n_shards")).alias("shard")))
+              .select("a.*", F.pmod(F.xxhash64("doc_key", "text_hash", F.lit(p.seed)), F.col("n_shards")).alias("shard")))
     blocks = F.ceil(F.col("words") / p.block)
     by_shard = (placed.groupBy("source", "shard").agg(F.sum("size").alias("words"))
                 .withColumn("n_blocks", blocks))
@@ -120,7 +121,8 @@ def decide(df: DataFrame, p: MixParams = MixParams(), key: str = "doc_id", text:
     by_shard = apportion(by_shard, ["source"], ["shard"], "words", "source_quota", "most", "quota")
     by_shard = by_shard.withColumn("passes", F.when(F.col("n_blocks") > 0, F.expr("quota div n_blocks")).otherwise(0)) \
         .withColumn("extra", F.when(F.col("n_blocks") > 0, F.col("quota") % F.col("n_blocks")).otherwise(0))
-    laid = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_key", F.lit(p.seed + 1)), "doc_key", "size")
+    laid = Window.partitionBy("source", "shard").orderBy(
+        F.xxhash64("doc_key", "text_hash", F.lit(p.seed + 1)), "doc_key", "size", "text_hash")
     rows = (placed.withColumn("stop", F.sum("size").over(laid.rowsBetween(Window.unboundedPreceding, 0)))
             .withColumn("start", F.col("stop") - F.col("size")).alias("a")
             .join(by_shard.alias("b"), F.expr("a.source <=> b.source AND a.shard = b.shard"))
@@ -181,17 +183,21 @@ def mixed(df: DataFrame, p: MixParams = MixParams(), key: str = "doc_id", text:
     """The rows of the mix, columns as in ``df``: a document taken twice comes twice, one taken in part comes with the
     words taken (and ``chars``, where that column exists, their length)."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    own = "__"                                     # names that no column of the input begins with
+    while any(c.lower().startswith(own) for c in df.columns):
+        own += "_"
+    of_key, of_source, of_size, nth, passes, spans = (own + x for x in ("key", "source", "size", "nth", "passes", "spans"))
     decisions = decide(df, p, key, text, source).select(
-        F.col(key).alias("__key"), F.col("source").alias("__source"), F.col("size").alias("__size"),
-        F.col("passes").alias("__passes"), F.col("spans").alias("__spans"))
+        F.col(key).alias(of_key), F.col("source").alias(of_source), F.col("size").alias(of_size),
+        F.col("passes").alias(passes), F.col("spans").alias(spans))
     # Rows alike in key, source and size are numbered, so that each meets one decision.
-    like = Window.partitionBy("__key", "__source", "__size")
-    decisions = decisions.withColumn("__nth", F.row_number().over(like.orderBy("__passes", F.size("__spans"))))
-    rows = df.select("*", F.col(key).alias("__key"), F.col(source).alias("__source"), size.alias("__size"))
-    rows = rows.withColumn("__nth", F.row_number().over(like.orderBy(F.xxhash64(F.col(text)))))
-    met = rows.alias("a").join(decisions.alias("b"), F.expr(
-        "a.__key <=> b.__key AND a.__source <=> b.__source AND a.__size = b.__size AND a.__nth = b.__nth"))
-    met = met.filter("b.__passes > 0 OR size(b.__spans) > 0").select(
-        *[F.col(f"a.`{c}`") for c in df.columns], "b.__passes", "b.__spans")
+    like = Window.partitionBy(of_key, of_source, of_size)
+    decisions = decisions.withColumn(nth, F.row_number().over(like.orderBy(passes, F.size(spans))))
+    rows = df.select("*", F.col(key).alias(of_key), F.col(source).alias(of_source), size.alias(of_size))
+    rows = rows.withColumn(nth, F.row_number().over(like.orderBy(F.xxhash64(F.col(text)))))
+    met = rows.alias("a").join(decisions.alias("b"), F.expr(" AND ".join(
+        f"a.{c} <=> b.{c}" for c in (of_key, of_source, of_size, nth))))
+    met = met.filter(f"b.{passes} > 0 OR size(b.{spans}) > 0").select(
+        *[F.col(f"a.`{c}`") for c in df.columns], f"b.{passes}", f"b.{spans}")
     return met.mapInArrow(functools.partial(
         _written, text=text, chars=chars if chars in df.columns else None), df.schema)

@@ -347,3 +347,34 @@ def test_templates_fold_and_stay_in_the_sandbox():
         with pytest.raises(chat.TemplateError):
             chat.parse(bad)
     assert run("{{ m.__class__ }}{{ loop.__init__ }}", messages) == ""
+
+
+def test_mix_of_a_hot_key_and_clashing_names(spark):
+    """One key on all rows: its texts are dealt over all shards; columns may have any name."""
+    rows = [(1, f"w{i} " * (i % 7 + 1), "s", 0, i, "x", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, __key long, __source string, __size long")
+    p = mixing.MixParams(shard_docs=100, share=0.5)
+    decided = mixing.decide(df, p)
+    assert decided.count() == 3000
+    sizes = sum(len(r[1].split()) for r in rows)
+    assert abs(decided.agg(F.sum("taken")).first()[0] - sizes / 2) < 0.01 * sizes
+    out = mixing.mixed(df, p)
+    assert out.columns == df.columns
+    assert out.agg(F.sum(F.size(F.split(F.trim("text"), " +")))).first()[0] == decided.agg(F.sum("taken")).first()[0]
+    shard = F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(p.seed)), F.lit(30))
+    assert df.groupBy(shard.alias("shard")).count().agg(F.max("count")).first()[0] < 200
+
+
+def test_near_copies_under_one_key(spark):
+    """Texts of one key are fetched by their own hash, so many texts under a key meet only themselves."""
+    rng = random.Random(8)
+    base = [f"t{i}" for i in range(120)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        words[rng.randrange(120)] = f"u{i}"
+        texts.append(" ".join(words))
+    one = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string").repartition(4)
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {tuple(r) for r in partenum.join(one).collect()} == {(7, 117, 7)}
+    assert {r.component_id for r in partenum.join(own).collect()} == {0}
