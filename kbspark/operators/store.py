@@ -28,14 +28,15 @@ VECTOR_SCHEMA = T.StructType([
 def upsert_replace(old: DataFrame, new: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
     """K4: union of stored and incoming rows, one row per id, highest ``version`` wins.
 
-    Within one version the incoming row wins over the stored one.  Winners are found on the keys alone (a partial
-    aggregate over id and version); the other columns come back by one join, so a reader that asks for some of them
-    neither reads nor moves the rest (vectors, documents).
+    Within one version the incoming row wins over the stored one, then the greatest by the numeric columns.  Winners are
+    found without the payload (a partial aggregate); the other columns come back by one join, so a reader that asks for
+    some of them neither reads nor moves the rest (vectors, documents).
     """
     cols = [c for c in old.columns]
+    small = [f.name for f in old.schema.fields if f.name not in (key, version) and isinstance(f.dataType, T.NumericType)]
     both = (old.select(*cols, F.lit(0).alias("_src"))
             .unionByName(new.select(*cols, F.lit(1).alias("_src"))))
-    return _newest(both, key, [version, "_src"]).dropDuplicates([key]).select(cols)
+    return _newest(both, key, [version, "_src", *small]).dropDuplicates([key]).select(cols)
 
 
 def _newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
