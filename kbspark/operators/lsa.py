@@ -1,8 +1,8 @@
 """A learned text embedding (V5, V11): latent semantic vectors by a randomized singular value decomposition.
 
 A text is a row of hashed term weights (``1 + ln tf`` times a smoothed inverse document frequency, unit length); its
-embedding is the row times the leading right singular vectors of the whole matrix, unit length again.  The matrix is never
-built: a round sends a block of ``dim + over`` directions to the tasks and takes back ``A' A`` times that block, as sums of
+embedding is the row times the leading right singular vectors of the whole matrix, unit length again.  Texts are read
+once, into their term counts; a dense matrix is never built: a round sends a block of ``dim + over`` directions to the tasks and takes back ``A' A`` times that block, as sums of
 the tasks' partial products.  What the driver holds is a table of terms by directions, whatever the number of texts.
 """
 
@@ -20,7 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.session import ship_package
+from kbspark.session import ensure_checkpoint_dir, ship_package
 
 _TOKEN = re.compile(r"\w+")
 
@@ -52,8 +52,11 @@ def term_counts(texts, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def weighted(texts, idf: np.ndarray) -> np.ndarray:
     """Unit rows of term weights, dense: a bounded batch of texts by ``terms``."""
-    r, c, n = term_counts(texts, len(idf))
-    out = np.zeros((len(texts), len(idf)))
+    return _unit_rows(len(texts), *term_counts(texts, len(idf)), idf)
+
+
+def _unit_rows(size: int, r: np.ndarray, c: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    out = np.zeros((size, len(idf)))
     out[r, c] = (1 + np.log(n)) * idf[c]
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out / np.where(norm > 0, norm, 1)
@@ -65,11 +68,31 @@ def _batches(batches, size: int = 256):
             yield pdf.iloc[lo:lo + size]
 
 
+_COUNT = np.dtype([("column", "<u4"), ("n", "<u4")])
+
+
+def _counted(batches, terms: int):
+    """Each text as the (column, count) of its tokens."""
+    for pdf in _batches(batches):
+        r, c, n = term_counts(pdf["text"].tolist(), terms)
+        found = np.empty(len(r), _COUNT)
+        found["column"], found["n"] = c, n
+        end = np.searchsorted(r, np.arange(len(pdf)), "right")
+        yield pd.DataFrame({"counts": [x.tobytes() for x in np.split(found, end[:-1])] if len(pdf) else []})
+
+
+def _read_counts(counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, count) of the tokens of counted texts."""
+    found = np.frombuffer(b"".join(counts), _COUNT)
+    return (np.repeat(np.arange(len(counts)), [len(x) // _COUNT.itemsize for x in counts]), found["column"].astype(np.int64),
+            found["n"].astype(np.int64))
+
+
 def _frequencies(batches, terms: int):
     """One row a task: texts and, per column, texts that have it."""
     total = np.zeros(terms + 1)
     for pdf in _batches(batches):
-        r, c, _ = term_counts(pdf["text"].tolist(), terms)
+        _, c, _ = _read_counts(pdf["counts"].tolist())
         total[:terms] += np.bincount(c, minlength=terms)
         total[terms] += len(pdf)
     yield pd.DataFrame({"v": [total]})
@@ -79,7 +102,7 @@ def _products(batches, idf: np.ndarray, block: np.ndarray):
     """The rows of ``A' A block`` that the task's texts add to."""
     total = np.zeros_like(block)
     for pdf in _batches(batches):
-        a = weighted(pdf["text"].tolist(), idf)
+        a = _unit_rows(len(pdf), *_read_counts(pdf["counts"].tolist()), idf)
         total += a.T @ (a @ block)
     at = np.flatnonzero(np.abs(total).sum(axis=1))
     if len(at):
@@ -99,11 +122,14 @@ class LsaModel:
 
 
 def fit_lsa(df: DataFrame, text: str = "text", p: LsaParams = LsaParams()) -> LsaModel:
-    """Fit on all texts of ``df``: one pass for the frequencies and ``rounds + 1`` for the directions."""
+    """Fit on all texts of ``df``: one pass over the texts, and over their counts one for the frequencies and
+    ``rounds + 1`` for the directions."""
     ship_package(df.sparkSession)
-    texts = df.select(F.col(text).alias("text"))
-    counted = texts.mapInPandas(functools.partial(_frequencies, terms=p.terms), "v array<double>")
-    row = counted.groupBy(F.lit("all")).agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).first()
+    ensure_checkpoint_dir(df.sparkSession)
+    texts = (df.select(F.col(text).alias("text"))
+             .mapInPandas(functools.partial(_counted, terms=p.terms), "counts binary").checkpoint())
+    summed = texts.mapInPandas(functools.partial(_frequencies, terms=p.terms), "v array<double>")
+    row = summed.groupBy(F.lit("all")).agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).first()
     total = np.array(row["v"]) if row is not None else np.zeros(p.terms + 1)
     n = total[p.terms]
     idf = np.log((1 + n) / (1 + total[:p.terms])) + 1
