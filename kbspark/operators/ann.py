@@ -3,15 +3,17 @@
 The vector services searched approximately.  Here a bounded sample of the corpus (``train_rows`` vectors, taken by the
 hash of their id) fits ``n_lists`` centroids and, for ``code_bytes`` slices of the vector, 256 sub-centroids each.  Every
 corpus row goes to the list of its nearest centroid as a code of ``code_bytes`` bytes; a question probes the ``n_probe``
-lists with the nearest centroids, scores their codes by table lookup, and its best ``k * rerank`` rows are scored again on
-the vectors themselves, which are joined by id.  So codes, not vectors, are what a search moves.
+lists with the nearest centroids, scores their codes by a product with the vectors that they name, and its best
+``k * rerank`` rows of a group are scored again on the vectors themselves, which lie beside the codes.  So what leaves a
+group is ``k`` rows per question, and what a search moves are the rows once per block of questions.  The best ``k`` are
+joined with the vectors by id, as all rows of an id and of a question answer.
 
 Without ``n_probe`` the number of probes is fitted to a recall on sampled questions; with ``n_probe >= n_lists`` the search
 is the exact one (:func:`kbspark.operators.topk.topk`).
 
 Skew: a list may hold a large share of the rows.  Lists are packed into groups of about ``max_group_rows`` codes, a larger
-list is salted, and questions are dealt into blocks of about ``max_group_questions``; a question is sent once to every
-group in which it probes a list.  A group is scored in tasks, which keep the best rows per question; no pair rows are
+list is salted, and questions are dealt into blocks of about ``max_group_questions``, or smaller ones that occupy the
+cores; a question is sent once to every group in which it probes a list.  A group is scored in tasks, which keep the best rows per question; no pair rows are
 produced.
 
 Vectors of another size than most, null ones and those with numbers that are not finite take no part; :func:`unfit` lists
@@ -30,9 +32,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbspark.operators.topk import _SCORE_CELLS, _by_size, _ids, _reduce, _squared, topk
+from kbspark.operators.topk import (_GROUP_WORK, _ROWS, _SCORE_CELLS, _TILE, _by_size, _ids, _kind, _own_rows, _packed,
+                                     _pair_scores, _reduce, _squared, _unpacked, topk)
 from kbspark.session import ship_package
 
+# Bytes of the vectors of a group.
+_GROUP_BYTES = 64 << 20
+
 
 def lloyd(points: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
     """``n`` centroids of a sample (k-means; an empty one takes a random point)."""
@@ -74,11 +80,11 @@ class Codebook:
         """All lists of each question, nearest first."""
         return np.argsort(_squared(vecs, self.lists), axis=1, kind="stable")
 
-    def tables(self, vecs: np.ndarray, metric: str) -> np.ndarray:
-        """What each code byte adds to a question's key (smaller is better): questions x slices x 256."""
-        out = np.zeros((len(vecs), len(self.books), 256), np.float32)
+    def named(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        out = np.zeros((len(codes), self.dim), np.float32)
         for j, (s, b) in enumerate(zip(self.slices, self.books)):
-            out[:, j, :len(b)] = -(vecs[:, s] @ b.T) if metric == "dot" else _squared(vecs[:, s], b)
+            out[:, s] = b[codes[:, j]]
         return out
 
 
@@ -89,82 +95,91 @@ def _of_size(vecs, dim: int):
     return np.zeros(0, np.int64), np.zeros((0, dim))
 
 
-def _encode(batches, book: Codebook):
+def _encode(batches, book: Codebook, kind: str):
     for pdf in batches:
-        for lo in range(0, len(pdf), 4096):
-            part = pdf.iloc[lo:lo + 4096]
+        for lo in range(0, len(pdf), _ROWS):
+            part = pdf.iloc[lo:lo + _ROWS]
             at, vecs = _of_size(part["cv"].to_numpy(), book.dim)
             own, codes = book.place(vecs)
+            v, nnz = _packed(vecs, kind)
             yield pd.DataFrame({"id": part["id"].to_numpy()[at], "list": own.astype(np.int32),
-                                "code": [c.tobytes() for c in codes]})
+                                "code": [c.tobytes() for c in codes], "nnz": nnz, "v": v})
 
 
-def _probe(batches, book: Codebook, n_probe: int, group_of: np.ndarray):
-    """Each question once per group in which it probes a list, with these lists."""
+def _probe(batches, book: Codebook, n_probe: int, group_of: np.ndarray, kind: str):
+    """Each question once per group in which it probes a list."""
+    n = int(group_of.max()) + 1
     for pdf in batches:
-        rows, groups, lists = [], [], []
-        at, vecs = _of_size(pdf["qv"].to_numpy(), book.dim)
-        near = book.near(vecs)[:, :n_probe]
-        for i, own in zip(at.tolist(), near):
-            by = group_of[own]
-            for g in np.unique(by):
-                rows.append(i)
-                groups.append(int(g))
-                lists.append(own[by == g].astype(np.int32).tolist())
-        yield pdf.iloc[rows].assign(group=np.array(groups, np.int32), lists=lists)
-
-
-def _score_codes(codes: pd.DataFrame, qs: pd.DataFrame, book: Codebook, keep: int, metric: str, exclude: bool
-                 ) -> pd.DataFrame:
-    """The best ``keep`` rows of a group for each question, by the codes of the lists that it probes."""
+        for lo in range(0, len(pdf), _ROWS):
+            part = pdf.iloc[lo:lo + _ROWS]
+            at, vecs = _of_size(part["qv"].to_numpy(), book.dim)
+            asks = np.zeros((len(at), n), bool)
+            np.put_along_axis(asks, group_of[book.near(vecs)[:, :n_probe]], True, axis=1)
+            v, nnz = _packed(vecs, kind)
+            some = part.iloc[at].drop(columns="qv").assign(nnz=nnz, v=v)
+            row, group = np.nonzero(asks)
+            for i in range(0, len(row), _ROWS):
+                yield some.iloc[row[i:i + _ROWS]].assign(group=group[i:i + _ROWS].astype(np.int32))
+
+
+def _score_codes(codes: pd.DataFrame, qs: pd.DataFrame, book: Codebook, n_probe: int, keep: int, k: int, metric: str,
+                 exclude: bool, kinds: tuple[str, str]) -> pd.DataFrame:
+    """The best ``k`` rows of a group for each question: by the vectors, of the best ``keep`` by the codes of the lists
+    that it probes."""
+    none = pd.DataFrame({"qid": qs["qid"].iloc[:0], "id": codes["id"].iloc[:0], "score": np.zeros(0)})
     if not len(codes) or not len(qs):
-        return pd.DataFrame({"qid": qs["qid"].iloc[:0], "id": codes["id"].iloc[:0], "key": np.zeros(0)})
-    ids, own = _ids(codes["id"]), codes["list"].to_numpy()
-    matrix = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), -1)
-    order = np.argsort(own, kind="stable")
-    names, first = np.unique(own[order], return_index=True)
-    members = dict(zip(names.tolist(), np.split(order, first[1:])))
-    _, vecs = _of_size(qs["qv"].to_numpy(), book.dim)
-    excl = _ids(qs["qx"]) if exclude else None
-    out_r, out_i, out_k = [], [], []
-    for lo in range(0, len(qs), 512):
-        tables = book.tables(vecs[lo:lo + 512], metric)
-        asked: dict[int, list[int]] = {}
-        for q, lists in enumerate(qs["lists"].iloc[lo:lo + 512]):
-            for name in lists:
-                asked.setdefault(int(name), []).append(q)
-        rows, got, keys = [], [], []
-        for name, who in asked.items():
-            at = members.get(name)
-            if at is None:
-                continue
-            q = np.array(who)
-            chunk = max(1, _SCORE_CELLS // len(q))
-            for c in range(0, len(at), chunk):
-                some = at[c:c + chunk]
-                key = np.zeros((len(q), len(some)), np.float32)
-                for j in range(matrix.shape[1]):
-                    key += tables[q[:, None], j, matrix[some, j][None, :]]
-                if excl is not None:
-                    key[excl[lo + q][:, None] == ids[some][None, :]] = np.inf
-                if key.shape[1] > keep:
-                    mask = key <= np.partition(key, keep - 1, axis=1)[:, keep - 1][:, None]
-                else:
-                    mask = np.ones_like(key, dtype=bool)
-                r, i = np.nonzero(mask & np.isfinite(key))
-                r, best, value = _reduce(q[r], ids[some[i]], key[r, i].astype(np.float64), keep)
-                rows.append(r)
-                got.append(best)
-                keys.append(value)
-        if rows:
-            r, i, v = _reduce(np.concatenate(rows), np.concatenate(got), np.concatenate(keys), keep)
-            out_r.append(lo + r)
-            out_i.append(i)
-            out_k.append(v)
-    if not out_r:
-        return pd.DataFrame({"qid": qs["qid"].iloc[:0], "id": codes["id"].iloc[:0], "key": np.zeros(0)})
-    return pd.DataFrame({"qid": qs["qid"].to_numpy()[np.concatenate(out_r)], "id": np.concatenate(out_i),
-                         "key": np.concatenate(out_k)})
+        return none
+    codes = codes.iloc[np.argsort(codes["list"].to_numpy(), kind="stable")]
+    ids, C = _ids(codes["id"]), _unpacked(codes["v"].to_numpy(), codes["nnz"].to_numpy(), book.dim, kinds[1])
+    names, first = np.unique(codes["list"].to_numpy(), return_index=True)
+    last = np.r_[first[1:], len(codes)]
+    named = book.named(np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), -1))
+    if metric != "dot":        # larger is better: q.c - c.c / 2
+        named = np.concatenate([named, -np.einsum("ij,ij->i", named, named)[:, None] / 2], axis=1)
+    order = np.argsort(ids, kind="stable") if exclude else None
+    out = []
+    for lo in range(0, len(qs), _TILE[0]):
+        some = qs.iloc[lo:lo + _TILE[0]]
+        Q = _unpacked(some["v"].to_numpy(), some["nnz"].to_numpy(), book.dim, kinds[0])
+        probes = np.zeros((len(Q), len(book.lists)), bool)
+        np.put_along_axis(probes, book.near(Q.astype(np.float64))[:, :n_probe], True, axis=1)
+        left = Q.astype(np.float32)
+        if metric != "dot":
+            left = np.concatenate([left, np.ones((len(left), 1), np.float32)], axis=1)
+        own_r, own_c = _own_rows(_ids(some["qx"]), ids, order) if exclude else (np.zeros(0, np.int64),) * 2
+        least = np.full(len(Q), -np.inf, np.float32)
+        best = (np.zeros(0, np.int64), ids[:0], np.zeros(0), np.zeros(0, np.int64))
+        fresh, waiting = [], 0
+
+        def settle(best, fresh):
+            r, c, x = (np.concatenate(y) for y in zip((best[0], best[3], -best[2]), *fresh))
+            r, c, key = _kept(r, c, ids, -x, keep)
+            return r, ids[c], key, c
+
+        for name, begin, end in zip(names.tolist(), first.tolist(), last.tolist()):
+            q = np.flatnonzero(probes[:, name])
+            for t in range(begin, end if len(q) else begin, _TILE[1]):
+                stop = min(t + _TILE[1], end)
+                S = left[q] @ named[t:stop].T
+                hit = (own_c >= t) & (own_c < stop) & probes[own_r, name]
+                S[np.searchsorted(q, own_r[hit]), own_c[hit] - t] = -np.inf
+                flat = np.flatnonzero((S >= least[q][:, None]) & (S > -np.inf))
+                fresh.append((q[flat // S.shape[1]], flat % S.shape[1] + t, S.ravel()[flat].astype(np.float64)))
+                waiting += len(flat)
+                if waiting > 8 * keep * len(Q):
+                    best = settle(best, fresh)
+                    fresh, waiting = [], 0
+                    count = np.bincount(best[0], minlength=len(Q))
+                    enough = count == keep
+                    least[enough] = -best[2][(np.cumsum(count) - 1)[enough]]
+        if fresh:
+            best = settle(best, fresh)
+        key = _pair_scores(Q, C, best[0], best[3], metric)
+        fine = np.isfinite(key)
+        r, i, key = _reduce(best[0][fine], best[1][fine], key[fine], k)
+        out.append((some["qid"].to_numpy()[r], i, key if metric != "dot" else -key))
+    qid, i, score = (np.concatenate(x) for x in zip(*out))
+    return pd.DataFrame({"qid": qid, "id": i, "score": score}) if len(qid) else none
 
 
 def _rescore(batches, metric: str):
@@ -177,6 +192,14 @@ def _rescore(batches, metric: str):
         yield pdf[["qid", "id"]].assign(score=score)
 
 
+def _kept(rows, at, ids, key, keep):
+    """Best ``keep`` per question row by ``(key, id)``, with their places."""
+    order = np.lexsort((ids[at], key, rows))
+    rows, at, key = rows[order], at[order], key[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
+    return rows[rank < keep], at[rank < keep], key[rank < keep]
+
+
 def _fitted_probes(qs: DataFrame, cs: DataFrame, coded: DataFrame, book: Codebook, k: int, metric: str, recall: float,
                    sample: int) -> int:
     """The fewest probes that find ``recall`` of the exact neighbours of a sample of questions, taken by hash."""
@@ -237,8 +260,10 @@ def ivf_topk(questions: DataFrame, corpus: DataFrame, k: int = 5, n_lists: int |
         return exact()
     book = Codebook.fit(vecs, lists, code_bytes, seed)
     id_field = T.StructField("id", cs.schema["id"].dataType)
-    coded = cs.mapInPandas(functools.partial(_encode, book=book), T.StructType(
-        [id_field, T.StructField("list", T.IntegerType()), T.StructField("code", T.BinaryType())])).checkpoint()
+    kinds = _kind(qs, "qv"), _kind(cs, "cv")
+    packed = [T.StructField("nnz", T.IntegerType()), T.StructField("v", T.BinaryType())]
+    coded = cs.mapInPandas(functools.partial(_encode, book=book, kind=kinds[1]), T.StructType(
+        [id_field, T.StructField("list", T.IntegerType()), T.StructField("code", T.BinaryType()), *packed])).checkpoint()
     if n_probe is None:
         n_probe = _fitted_probes(qs, cs, coded, book, k, metric, recall, sample)
     # One row per list (bounded by max_lists): lists that are neighbours along the main axis share a group.
@@ -247,6 +272,7 @@ def ivf_topk(questions: DataFrame, corpus: DataFrame, k: int = 5, n_lists: int |
         count[r["list"]] = r["count"]
     axis = np.linalg.svd(book.lists - book.lists.mean(axis=0), full_matrices=False)[2][0]
     group_of, salts, held = np.zeros(len(count), np.int64), [1], 0
+    max_group_rows = max(1, min(max_group_rows, _GROUP_BYTES // (4 * book.dim)))
     for name in np.argsort(book.lists @ axis, kind="stable"):
         if held and held + count[name] > max_group_rows:
             salts.append(1)
@@ -256,30 +282,38 @@ def ivf_topk(questions: DataFrame, corpus: DataFrame, k: int = 5, n_lists: int |
         salts[-1] = max(salts[-1], math.ceil(held / max_group_rows))
     of = spark.createDataFrame([(i, int(g), salts[g]) for i, g in enumerate(group_of.tolist())],
                                "list int, group int, salts int")
-    n_blocks = max(1, math.ceil(qs.select("qid").count() / max_group_questions))
-    asked = qs.mapInPandas(functools.partial(_probe, book=book, n_probe=n_probe, group_of=group_of), T.StructType(
-        [*qs.schema.fields, T.StructField("group", T.IntegerType()), T.StructField("lists", T.ArrayType(T.IntegerType()))]))
+    # Blocks of questions, and as many more as occupy the cores.
+    n_qs = qs.select("qid").count()
+    share = math.ceil(4 * spark.sparkContext.defaultParallelism / sum(salts))
+    work = math.ceil(n_qs * n * book.dim / sum(salts) / _GROUP_WORK)
+    n_blocks = max(1, math.ceil(n_qs / max_group_questions), min(share, work))
+    q_fields = [*[f for f in qs.schema.fields if f.name != "qv"], *packed]
+    asked = qs.mapInPandas(
+        functools.partial(_probe, book=book, n_probe=n_probe, group_of=group_of, kind=kinds[0]),
+        T.StructType([*q_fields, T.StructField("group", T.IntegerType())]))
     of_group = F.broadcast(of.select("group", "salts").distinct())          # max_lists rows at most, as below
     left = (coded.join(F.broadcast(of), "list").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int"))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-            .select("group", "salt", "block", "id", "list", "code"))
+            .select("group", "salt", "block", "id", "list", "code", "nnz", "v"))
     right = (asked.join(of_group, "group").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).cast("int"))
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-             .select("group", "salt", "block", *qs.columns, "lists"))
+             .select("group", "salt", "block", *[f.name for f in q_fields]))
     q_field = T.StructField("qid", qs.schema["qid"].dataType)
     keep, keys = k * rerank, ["group", "salt", "block"]
 
     def score(codes: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        return _score_codes(codes, some, book, keep, metric, exclude is not None)
+        return _score_codes(codes, some, book, n_probe, keep, k, metric, exclude is not None, kinds)
 
-    cand = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        score, T.StructType([q_field, id_field, T.StructField("key", T.DoubleType())]))
-    first = Window.partitionBy("qid").orderBy("key", "id")
-    short = cand.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= keep).select("qid", "id")
+    # The work of a group is not in its bytes, by which adaptive execution would put many into one task.
+    parts = max(1, min(2000, 2 * sum(salts) * n_blocks))
+    cand = left.repartition(parts, *keys).groupBy(*keys).cogroup(right.repartition(parts, *keys).groupBy(*keys)) \
+        .applyInPandas(score, T.StructType([q_field, id_field, T.StructField("score", T.DoubleType())]))
+    order = F.col("score").desc() if metric == "dot" else F.col("score").asc()
+    first = Window.partitionBy("qid").orderBy(order, "id")
+    short = cand.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k).select("qid", "id")
     pairs = short.join(cs, "id").join(qs.select("qid", "qv"), "qid").select("qid", "id", "qv", "cv")
     scored = pairs.filter(F.size("cv") == F.size("qv")).mapInPandas(
         functools.partial(_rescore, metric=metric), T.StructType([q_field, id_field, T.StructField("score", T.DoubleType())]))
-    order = F.col("score").desc() if metric == "dot" else F.col("score").asc()
     w = Window.partitionBy("qid").orderBy(order, F.col("id").asc())
     return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(F.col("qid").alias(q_id), "rank", "id", F.round("score", 6).alias("score")))
